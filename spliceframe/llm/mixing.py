@@ -4,7 +4,7 @@ Targets are filled like vessels: each source gets its weight's share of all word
 left over is shared anew among the others. Within a source a document's expected copies follow an inclusion weight (the size's
 power of two, to the power FAVOUR: longer documents somewhat more), again stopping at CAP. Its certain whole copies are the
 integer part. For the rest each document draws a uniform number u from a hash of its own row; documents are ranked by
-[u / (1 - u)] / [p / (1 - p)], p the fraction left, and taken in that order until the source's words are reached.
+[u / (1 - u)] / [p / (1 - p)], p the fraction left, and taken in that order while the source's words last; one more document, whose size fits what is missing best, closes the sample.
 The rank's cut is found on a histogram by source, then within one bin of it; no source is sorted as a whole.
 """
 
@@ -68,12 +68,22 @@ def plan_copies(docs: DataFrame, ws: Workspace) -> DataFrame:
     cut = ws.save(cut.unionByName(bins.groupBy("source").agg(F.max("upto").alias("u"), F.first("rest").alias("rest")).where("rest > u").select("source", F.lit(BINS).alias("cut_bin"), F.lit(0.0).alias("left"))), "cuts")
     inside = ranked.join(cut, ranked["source"].eqNullSafe(cut["source"]) & (ranked["bin"] == cut["cut_bin"])).drop(cut["source"])
     so_far = F.sum("size").over(Window.partitionBy("source").orderBy("q", "h", F.col("doc_id").asc_nulls_first()))  # equal rows together
-    last = inside.withColumn("s", so_far).where(F.col("s") - F.col("size") / 2 <= F.col("left")).groupBy("source").agg(F.max(F.struct("q", "h")).alias("last"))
-    ends = cut.join(last, cut["source"].eqNullSafe(last["source"]), "left").drop(last["source"]).select("source", "cut_bin", "last")
+    last = inside.withColumn("s", so_far).where(F.col("s") <= F.col("left")).groupBy("source").agg(F.max(F.struct("q", "h")).alias("last"), F.max("s").alias("s"))
+    ends = cut.join(last, cut["source"].eqNullSafe(last["source"]), "left").drop(last["source"])
+    ends = ws.save(ends.select("source", "cut_bin", "last", (F.col("left") - F.coalesce("s", F.lit(0))).alias("gap")), "ends")
+    # Of the documents behind the cut, the one whose size comes nearest to the words still missing closes the sample.
+    beyond = ranked.join(ends, ranked["source"].eqNullSafe(ends["source"])).drop(ends["source"]).where(~_within())
+    away = F.abs(F.col("size") - F.col("gap"))
+    close = beyond.where(away < F.col("gap")).groupBy("source").agg(F.min(F.struct(away.alias("away"), "q", "h")).alias("c"))
+    ends = ends.join(close, ends["source"].eqNullSafe(close["source"]), "left").drop(close["source"]).select("source", "cut_bin", "last", F.struct("c.q", "c.h").alias("closing"))
     out = bands.join(ends, bands["source"].eqNullSafe(ends["source"]), "left").drop(ends["source"])
     return ws.save(out, "plan")
 
 
+def _within() -> Column:
+    return F.coalesce((F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.struct("q", "h") <= F.col("last"))), F.lit(False))
+
+
 def _drawn() -> Column:
     return F.xxhash64(F.lit(SEED), "doc_id", "text")
 
@@ -101,8 +111,8 @@ def copies(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), "source", word_count(F.col("text")).alias("size"), _drawn().alias("h"))
     rows = rows.withColumn("band", F.floor(F.log2(F.greatest("size", F.lit(1)))).cast("int"))
     got = _with_bands(rows, plan).withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), _rank())).withColumn("bin", _bin())
-    within = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.struct("q", "h") <= F.col("last")))
-    taken = F.col("whole") + F.coalesce(within, F.lit(False)).cast("long")
+    drawn = _within() | F.coalesce(F.struct("q", "h") == F.col("closing"), F.lit(False))
+    taken = F.col("whole") + drawn.cast("long")
     return got.select("row", "size", "source_size", "target", taken.cast("long").alias("copies"))
 
 
