@@ -50,7 +50,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches")
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches", "line")
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +62,61 @@ QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_url_filt
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+_HOST = r"coalesce(translate(regexp_extract({}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '')"
+_REST = r"coalesce(regexp_extract({}, '^.*?://[^/?#]*([^#]*)', 1, 's'), '')"
+
+
+def _node(url: str) -> str:
+    return f"CASE WHEN {_HOST.format(url)} <> '' THEN {_HOST.format(url)} || CASE WHEN {_REST.format(url)} = '' THEN '/' ELSE {_REST.format(url)} END END"
+
+
+def _rules_sql(host: str, path: str, value: int) -> str:
+    """The first rule that fits, longest first. value 0: its text, 1: its verdict."""
+    when = [f"WHEN ({host} = '{h}' OR ends_with({host}, '.{h}')) AND starts_with({path}, '{p}') THEN '{(h + p, v)[value]}'" for h, p, v in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1]))]
+    return "CASE " + " ".join(when) + " END"
+
+
+_TO = r"nullif(regexp_extract(regexp_extract(html, '{}', 0, 's'), '{}', 1, 's'), '')"
+_LINKS = [
+    _TO.format(r"(?i)<link\s[^>]*\brel\s*=\s*[\x22\x27]?canonical\b[^>]*>", r"(?i)\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)"),
+    _TO.format(r"(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*[\x22\x27]?refresh\b[^>]*>", r"(?i)\burl\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)"),
+]
+
+
+def _license_templates() -> str:
+    rows = [f"('{name}', [{', '.join(f"'{g}'" for g in grams)}])" for name, grams in licenses.template_bigrams()]
+    return "(VALUES " + ", ".join(rows) + ") t(license, grams)"
+
+
 ORACLES = {
+    "op3_url_filter": f"""
+WITH RECURSIVE p AS (SELECT page_id, {_HOST.format('url')} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, {_node('url')} AS node, url, html FROM pages),
+l AS (SELECT node, host, unnest([{', '.join(_LINKS)}]) AS t FROM p),
+a AS (SELECT node, CASE WHEN regexp_matches(t, '(?i)^https?://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t END AS t FROM l),
+g AS (SELECT node AS x, {_node('t')} AS y FROM a WHERE t IS NOT NULL),
+e AS (SELECT x, y FROM g WHERE x <> y UNION SELECT y, x FROM g WHERE x <> y),
+n AS (SELECT DISTINCT x AS node FROM e),
+r AS (SELECT node, node AS root FROM n UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+c AS (SELECT node, min(root) AS comp FROM r GROUP BY 1),
+o AS (SELECT node, comp, {_HOST.format("'http://' || node")} AS h, coalesce(regexp_extract('http://' || node, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS q FROM c),
+s AS (SELECT comp, min({_rules_sql('h', 'q', 1)}) AS spread FROM o GROUP BY 1)
+SELECT page_id, host, path, {_rules_sql('host', 'path', 0)} AS rule, coalesce({_rules_sql('host', 'path', 1)}, spread, 'allow') AS verdict
+FROM p LEFT JOIN c ON c.node = p.node LEFT JOIN s ON s.comp = c.comp""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha256(b) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first IS NOT NULL AND page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f""",
+    "op7_licenses": f"""
+WITH l AS (SELECT doc_id, row_number() OVER () AS r, text, string_split(text, chr(10)) AS ls FROM documents),
+u AS (SELECT r, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS t FROM l UNION ALL SELECT r, 0, text FROM l WHERE len(ls) > 1),
+w AS (SELECT r, line, string_split(trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')), ' ') AS ws FROM u),
+b AS (SELECT r, line, list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS g FROM w),
+m AS (SELECT r, line, license, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams))::DOUBLE AS score FROM b, {_license_templates()}
+  WHERE len(g) > 0 AND 200 * len(list_intersect(g, grams)) >= 75 * (len(g) + len(grams))),
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, license, line) AS n, count(*) OVER (PARTITION BY r) AS n_matches FROM m)
+SELECT doc_id, license, score, coalesce(n_matches, 0) AS n_matches FROM l LEFT JOIN k ON k.r = l.r AND k.n = 1""",
     "op8_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
