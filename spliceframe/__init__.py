@@ -1,0 +1 @@
+"""Transcriptome quantification as Spark jobs."""
