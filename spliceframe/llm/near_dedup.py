@@ -3,9 +3,10 @@
 Each document's set of word shingles gets a signature. A tree of the forest is one order of the signature's values; sorted
 by it, rows with a long common prefix stand side by side. Candidates are neighbours whose common prefix reaches MIN_DEPTH, at
 whatever depth they meet: deep where a region is crowded, shallow where it is sparse. They are confirmed on full sets and
-joined to classes. What neighbours can't show is settled by the regions (tree and first MIN_DEPTH values) that still hold
-more than one class: members outside a region's largest class are compared with every member of another class, so no link
-between classes is lost to a cap, and a region of one class, however large, costs nothing more.
+joined to classes. Only regions (a tree and its first MIN_DEPTH values) that still hold more than one class need more, and in a large
+family of loose copies all pairs would be too many. There the rest is settled exactly: with shingles ordered from rare to common, two similar
+sets share one among the first places of both, so members are matched on those, with the bound on the overlap that the places leave.
+No link between classes is lost to a cap, and a region of one class, however large, costs nothing more.
 
 TREES trees of depth MIN_DEPTH miss a pair of similarity 0.75 with probability (1 - 0.75**3)**24, about 2e-6.
 """
@@ -16,14 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceframe.llm.common import Workspace, byte_words, gram_hashes, mix, word_hashes
 from spliceframe.llm.components import connected_components
 
-TREES, MIN_DEPTH, PATH, NEIGHBOUR_TREES, SHINGLE, PERCENT = 24, 3, 8, 3, 5, 75
+TREES, MIN_DEPTH, PATH, NEIGHBOUR_TREES, SHINGLE, PERCENT = 24, 3, 8, 4, 5, 75
 _CHUNK = 512
 
 
@@ -106,16 +108,64 @@ def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(last[2], None, last[0], last[1])], columns=["a", "b", "tree", "path"]).astype({"a": "Int64", "b": "Int64", "tree": "Int32"})
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, ws: Workspace) -> DataFrame:
-    """pairs(a, b) whose full sets are similar enough. The texts of their members, and no others, become sets."""
-    pairs = ws.save(pairs, "pairs")
-    members = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(members, "id", "left_semi").dropDuplicates(["id"])
-    sets = ws.save(texts.mapInPandas(_sets, "id long, shingles binary"), "sets")
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each set."""
+    for b in batches:
+        for at in range(b.num_rows):
+            part = b.slice(at, 1)
+            own = np.frombuffer(part.column("shingles")[0].as_py(), np.int64)
+            n = len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(n, part.column("id")[0].as_py())), pa.array(np.full(n, part.column("c")[0].as_py())), pa.array(np.full(n, n))], ["h", "id", "c", "n"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
+    """pairs(a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    links = ws.save(both.select("a", "b", "sa", "sb").mapInPandas(_confirmed, "a long, b long"), "links")
-    ws.drop(sets)
-    return links
+    return ws.save(both.select("a", "b", "sa", "sb").mapInPandas(_confirmed, "a long, b long"), "links")
+
+
+def _keys(classes: DataFrame, *more: str) -> DataFrame:
+    """A row for each class and tree: the key of its region."""
+    keys = F.array(*[F.xxhash64(F.lit(t), _tree_path(F.col("sig"), t, MIN_DEPTH)) for t in range(TREES)])
+    return classes.select("id", *more, F.explode(keys).alias("key"))
+
+
+def _neighbour_pairs(classes: DataFrame, ws: Workspace) -> DataFrame:
+    """Pairs side by side in some of the orders, each sorted as a whole: a range of rows for each task, whatever the regions' sizes."""
+    step = TREES // NEIGHBOUR_TREES
+    paths = F.array(*[F.struct(F.lit(t).alias("tree"), _tree_path(F.col("sig"), t, PATH).alias("path")) for t in range(0, TREES, step)])
+    rows = classes.select("id", F.explode(paths).alias("p")).select("p.tree", "p.path", "id")
+    parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = ws.save(rows.repartitionByRange(parts, "tree", "path", "id").sortWithinPartitions("tree", "path", "id").mapInPandas(_neighbours, "a long, b long, tree int, path binary"), "neighbours")
+    ends = met.where("tree is not null")  # two rows for each partition
+    order = Window.orderBy("tree", "path", "a")
+    across = ends.select("a", "tree", "path", F.lag("a").over(order).alias("b"), F.lag("tree").over(order).alias("t0"), F.lag("path").over(order).alias("p0"))
+    across = across.where((F.col("t0") == F.col("tree")) & (F.substring("p0", 1, MIN_DEPTH * 4) == F.substring("path", 1, MIN_DEPTH * 4)))
+    near = met.where("b is not null").select("a", "b").unionAll(across.select("a", "b"))
+    return ws.save(near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near")
+
+
+def _least_overlap(n: Column, m: Column) -> Column:
+    """Shingles that two sets of n and m must share to reach the similarity."""
+    return F.ceil((n + m) * PERCENT / (100 + PERCENT) - 1e-9)
+
+
+def _rare_first_pairs(mixed: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
+    """mixed(id, c) -> pairs of different classes that share a shingle at places where enough overlap can still follow, in the order of their shingles from rare to common."""
+    own = sets.join(mixed, "id").mapInArrow(_shingles, "h long, id long, c long, n long")
+    df = own.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    listed = own.join(df, "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))  # of one document
+    # Shingles that no other member has come before all of these.
+    first, last = F.col("n") - F.size("x"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - 1e-9)
+    head = F.transform(F.slice("x", 1, F.greatest(F.least(last - first + 1, F.size("x")), F.lit(0)).cast("int")), lambda v, i: F.struct(v["h"].alias("h"), i.alias("i")))
+    heads = ws.save(listed.select("id", "c", "n", F.explode(head).alias("v"), first.alias("first")).select("id", "c", "n", "v.h", (F.col("v.i") + F.col("first")).alias("i")), "heads")
+    counts = heads.groupBy("h", "c").agg(F.count("*").alias("k"))
+    main = counts.groupBy("h").agg(F.count("*").alias("classes"), F.max(F.struct("k", "c")).alias("m")).where("classes > 1").select("h", F.col("m.c").alias("main"))
+    x = heads.join(main, "h").where("c <> main").select("h", "main", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
+    y = heads.select("h", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
+    enough = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= _least_overlap(F.col("nx"), F.col("ny"))
+    met = x.join(y, "h").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))) & enough)
+    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -124,41 +174,32 @@ def near_duplicate_groups(docs: DataFrame, ws: Workspace | None = None) -> DataF
     Documents are linked when 100 * intersection >= 75 * union of their sets of lower-cased 5-word shingles. component_id is the
     least doc_id reachable; kept is doc_id = component_id. Empty or null texts have an empty set and are their own component.
     A null doc_id takes no part: it has a null component_id and is kept. Rows that repeat a doc_id are one document: its set
-    is that of the text met first by its set's key. Ties fall to the least doc_id. No rows give no rows."""
+    is that of one of its texts. Ties fall to the least doc_id. No rows give no rows."""
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "near")
     signed = ws.save(docs.select("doc_id", "text").mapInPandas(_signed, "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
     known = signed.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
-    classes = ws.save(classes.groupBy("id").agg(F.min(F.struct("set_key", "sig")).alias("x")).select("id", F.col("x.sig").alias("sig")), "classes")
+    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).dropDuplicates(["id"])
+
+    # Only members of a region with another class can have a link; their texts, and no others, become sets.
+    members = _keys(classes)
+    crowded = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    met = members.join(crowded, "key").select("id").distinct()
+    classes = ws.save(classes.join(met, "id"), "classes")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
+    sets = ws.save(texts.mapInPandas(_sets, "id long, shingles binary"), "sets")
 
-    # Neighbours in a few orders, over the whole of each order: a range of rows for each task, whatever the regions' sizes.
-    paths = F.array(*[F.struct(F.lit(8 * t).alias("tree"), _tree_path(F.col("sig"), 8 * t, PATH).alias("path")) for t in range(NEIGHBOUR_TREES)])
-    rows = classes.select("id", F.explode(paths).alias("p")).select("p.tree", "p.path", "id")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = ws.save(rows.repartitionByRange(parts, "tree", "path", "id").sortWithinPartitions("tree", "path", "id").mapInPandas(_neighbours, "a long, b long, tree int, path binary"), "neighbours")
-    ends = met.where("tree is not null")  # two rows for each partition
-    order = Window.orderBy("tree", "path", "a")
-    across = ends.select("a", "tree", "path", F.lag("a").over(order).alias("b"), F.lag("tree").over(order).alias("t0"), F.lag("path").over(order).alias("p0"))
-    across = across.where((F.col("t0") == F.col("tree")) & (F.substring("p0", 1, MIN_DEPTH * 4) == F.substring("path", 1, MIN_DEPTH * 4)))
-    near = met.where("b is not null").select("a", "b").unionAll(across.select("a", "b"))
-    near = near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    texts = docs.select("doc_id", "text")
-    links = _confirm(near, texts, ws)
+    near = _neighbour_pairs(classes, ws)
+    links = _confirm(near, sets, ws)
     first = connected_components(links, ws)
+    labelled = ws.save(classes.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "sig"), "labelled")
 
     # Regions that still hold several classes.
-    labelled = classes.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "sig")
-    labelled = ws.save(labelled, "labelled")
-    keys = F.array(*[F.xxhash64(F.lit(t), _tree_path(F.col("sig"), t, MIN_DEPTH)) for t in range(TREES)])
-    members = labelled.select("id", "c", F.explode(keys).alias("key"))
-    counts = members.groupBy("key", "c").agg(F.count("*").alias("n"))
-    mixed = counts.groupBy("key").agg(F.count("*").alias("k"), F.max(F.struct("n", "c")).alias("m")).where("k > 1").select("key", F.col("m.c").alias("main"))
-    inside = ws.save(members.join(mixed, "key"), "regions")
-    others = inside.where("c <> main").select("key", F.col("id").alias("x"), F.col("c").alias("cx"), "main")
-    cross = others.join(inside.select("key", F.col("id").alias("y"), F.col("c").alias("cy")), "key").where("cx <> cy and (cy = main or x > y)")
-    cross = cross.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    more = _confirm(cross.join(near, ["a", "b"], "left_anti"), texts, ws)
+    members = _keys(labelled, "c")
+    mixed = members.groupBy("key", "c").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    mixed = ws.save(members.join(mixed, "key").select("id", "c").distinct(), "mixed")
+    cross = _rare_first_pairs(mixed, sets, ws).join(near, ["a", "b"], "left_anti")
+    more = _confirm(cross, sets, ws)
     component = connected_components(more.unionAll(links), ws)
 
     by_set = known.groupBy("set_key").agg(F.min("doc_id").alias("id"))
