@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,9 +31,11 @@ class Workspace:
     """Written tables that cut lineage. They stand in the shared folder, so they survive lost executors, and go when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        path, fs = self._fs(self.root)
+        self.spark, self.n = spark, 0
+        path, fs = self._fs(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
         fs.deleteOnExit(path)
+        # With its scheme, as tasks that write files themselves don't know Spark's default one.
+        self.root = re.sub(r"^(\w+):/(?!/)", r"\1:///", fs.makeQualified(path).toString())
 
     def _fs(self, where: str):
         path = self.spark._jvm.org.apache.hadoop.fs.Path(where)

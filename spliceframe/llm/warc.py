@@ -200,8 +200,9 @@ def salvage(f, size: int, start: int, end: int) -> Iterator[tuple]:
     """Records that begin in [start, end) as (offset, length, head, payload, payload_bytes, ""), and gaps as (offset, length, None, None, 0, reason)."""
     win = _Bytes(f, size, start)
     at = start if start == 0 else _search(win, start)
+    seen = False
     while at < min(end, size):
-        win.floor = at
+        win.floor, seen = at, True
         try:
             head, block, length = _one(win, at)
             payload, n = _checked(head, block)
@@ -211,6 +212,10 @@ def salvage(f, size: int, start: int, end: int) -> Iterator[tuple]:
             on = _search(win, at + 1)
             yield at, on - at, None, None, 0, str(e)
             at = on
+    else:
+        # What follows the range's last record is its own if nothing seems to begin there: the next range would search past it.
+        if end <= at < size and (start == 0 or seen) and not _starts(win, at):
+            yield at, _search(win, at + 1) - at, None, None, 0, "no record here"
 
 
 def _reader(with_payload: bool):

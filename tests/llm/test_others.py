@@ -224,4 +224,5 @@ def test_shared_folder(spark):
     saved = ws.save(spark.range(5).toDF("x"), "five")
     assert saved.count() == 5 and os.path.isdir(saved._saved_at.removeprefix("file://"))
     ws.drop(saved)
-    assert not os.path.isdir(saved._saved_at.removeprefix("file://")) and re.match(r"file:///.*/t-[0-9a-f]{32}/001-five", saved._saved_at)
+    assert not os.path.isdir(saved._saved_at.removeprefix("file://"))
+    assert re.match(r"file:///.*/t-[0-9a-f]{32}/001-five", saved._saved_at)
