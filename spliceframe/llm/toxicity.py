@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. Each sentence has a chance p = sigmoid(bias + weights of its distinct words) of being offensive, and the
+A document is a bag of sentences. Each sentence has a chance p = sigmoid(bias + weights of its distinct words and word starts) of being offensive, and the
 document's score is their noisy-or, 1 - (1 - leak) * prod(1 - p). Only documents have labels; the gradient of the document's likelihood
 tells each sentence how much of the label it has to explain, and the fitted p then point out the offending sentences.
 The model is fitted on a bounded sample of labelled documents (SAMPLE, the least hashes of doc_id) with at most VOCABULARY words, so its size
@@ -22,7 +22,7 @@ from pyspark.sql.functions import arrow_udf
 
 from spliceframe.llm.common import Workspace
 
-SAMPLE, VOCABULARY, LEAST_DOCS, ROUNDS, RATE, PENALTY, THRESHOLD, OFFENDING = 16384, 2048, 3, 150, 0.2, 2e-5, 0.7, 0.5
+SAMPLE, VOCABULARY, LEAST_DOCS, ROUNDS, RATE, PENALTY, THRESHOLD, OFFENDING, STARTS = 16384, 2048, 3, 150, 0.2, 2e-5, 0.7, 0.5, (5, 7)
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TOKEN = re.compile(r"[^\W_]+")
 _RESULT = "struct<score:double,predicted:int,sentences:int,offending:array<struct<start:int,end:int,score:double>>>"
@@ -36,14 +36,23 @@ class Model:
     weights: dict[str, float]
 
 
+def _with_starts(words: set[str]) -> set[str]:
+    """The words, and the first STARTS letters of longer ones, which show what inflected and compound words share."""
+    short, long = STARTS
+    more = {f"^{w[:short]}" for w in words if len(w) > short}
+    more.update([f"^{w[:long]}" for w in words if len(w) > long])
+    more |= words
+    return more
+
+
 def sentence_words(text: str | None) -> Iterator[tuple[int, int, set[str]]]:
-    """Start, end and distinct lower-cased words of each sentence; a text without sentences is one empty sentence."""
+    """Start, end and distinct lower-cased words of each sentence, with the starts of long ones; a text without sentences is one empty sentence."""
     none = True
     for m in _SENTENCE.finditer(text or ""):
         words = _TOKEN.findall(m[0].lower())
         if words:
             none = False
-            yield m.start(), m.end(), set(words)
+            yield m.start(), m.end(), _with_starts(set(words))
     if none:
         yield 0, 0, set()
 
