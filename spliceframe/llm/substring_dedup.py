@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from spliceframe.llm.common import Workspace, byte_words, gram_hashes, word_hashes
 
-WINDOW, GRAM, SHARD_WORDS, TASK_SEGMENTS = 50, 25, 1_000_000, 200_000
+WINDOW, GRAM, SHARD_WORDS, TASK_SEGMENTS = 50, 25, 250_000, 100_000
 _P = 2147483647
 _NO_ID = 9223372036854775807
 
