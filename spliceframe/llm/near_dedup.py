@@ -153,11 +153,13 @@ def _least_overlap(n: Column, m: Column) -> Column:
 def _rare_first_pairs(mixed: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
     """mixed(id, c) -> pairs of different classes that share a shingle at places where enough overlap can still follow, in the order of their shingles from rare to common."""
     own = sets.join(mixed, "id").mapInArrow(_shingles, "h long, id long, c long, n long")
-    df = own.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    listed = own.join(df, "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("x"))  # of one document
+    # Shingles that stand in just the same members (an edit makes five of them) go by one name, the xor of their members' hashes; the first speaks for all.
+    df = own.groupBy("h").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("id")).alias("s")).where("df > 1")
+    listed = own.join(df, "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))  # of one document
     # Shingles that no other member has come before all of these.
     first, last = F.col("n") - F.size("x"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - 1e-9)
-    head = F.transform(F.slice("x", 1, F.greatest(F.least(last - first + 1, F.size("x")), F.lit(0)).cast("int")), lambda v, i: F.struct(v["h"].alias("h"), i.alias("i")))
+    head = F.transform(F.slice("x", 1, F.greatest(F.least(last - first + 1, F.size("x")), F.lit(0)).cast("int")), lambda v, i: F.struct(v["s"].alias("h"), i.alias("i")))
+    head = F.filter(head, lambda v: F.coalesce(F.get("x", v["i"] - 1)["s"] != v["h"], F.lit(True)))
     heads = ws.save(listed.select("id", "c", "n", F.explode(head).alias("v"), first.alias("first")).select("id", "c", "n", "v.h", (F.col("v.i") + F.col("first")).alias("i")), "heads")
     counts = heads.groupBy("h", "c").agg(F.count("*").alias("k"))
     main = counts.groupBy("h").agg(F.count("*").alias("classes"), F.max(F.struct("k", "c")).alias("m")).where("classes > 1").select("h", F.col("m.c").alias("main"))
