@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spliceframe.llm.common import Workspace
 
-K, LISTS, SAMPLE_ROWS, LIST_ROWS, REPLICAS, REPLICA_RATIO, PROBES, PROBE_RATIO, DEGREE, BEAM, QUERY_ROWS = 20, 1024, 32768, 1024, 3, 1.1, 48, 1.6, 24, 64, 512
+K, LISTS, SAMPLE_ROWS, LIST_ROWS, REPLICAS, REPLICA_RATIO, PROBES, PROBE_RATIO, DEGREE, BEAM, QUERY_ROWS = 20, 256, 16384, 1024, 4, 1.1, 72, 1.6, 20, 24, 512
 
 
 class Graph:
@@ -91,8 +91,8 @@ def _listed(centroids: np.ndarray, norm: float, query: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         graph = Graph(centroids)
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
                 lists, dist = graph.search(_matrix(part["embedding"], norm, query), most)
                 keep = (dist <= ratio * dist[:, :1] + 1e-12) & (lists < len(centroids))
                 row, col = np.nonzero(keep)
@@ -145,7 +145,7 @@ def nearest(vectors: DataFrame, is_query=None, k: int = K, ws: Workspace | None
     # Only the k + 1 least ids of equal vectors can be among anyone's k nearest; the limit is applied before rows of a group meet.
     rank = F.row_number().over(Window.partitionBy("equal", "embedding").orderBy("vec_id"))
     kept = ws.save(rows.withColumn("r", rank).where(F.col("r") <= k + 1), "candidates")
-    picked = kept.where("r = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE_ROWS, 32 * LISTS)).select("embedding").toPandas()
+    picked = kept.where("r = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE_ROWS, 64 * LISTS)).select("embedding").toPandas()
     lists = int(max(1, min(LISTS, len(picked) // 16)))
     centroids = fit_centroids(_matrix(picked["embedding"], m), lists)
 
