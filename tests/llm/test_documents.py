@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -267,6 +268,58 @@ def test_licenses(spark, odd, none):
         assert all(best(m) == (lo <= m <= hi) for m in range(1, 200))
 
 
+def test_licenses_wrapped_embedded_and_within_lines(spark):
+    whole = dict(licenses.TEXTS)
+    gpl = next(t for n, t in licenses.TEMPLATES if n == "GPL-2.0-or-later-notice")
+    code = "\n".join(f"x{i} = compute({i}, y{i}) + offset{i}" for i in range(60))
+    texts = [
+        "MIT License\n\nCopyright (c) 2020 A. Person\n\n" + whole["MIT"],
+        "import os\n" + "\n".join("# " + x for x in textwrap.wrap(gpl, 72)) + "\n" + code,  # a wrapped header in a longer file
+        code + "\n/*\n * " + whole["ISC"].replace("\n", "\n * ") + "\n */\n" + code,
+        "Some words come before this, Released under the MIT License. And then others follow it in the same paragraph " + "of words " * 20,
+        "\n".join([code, "* Released under", "* the MIT License.", code, "Released under", "the MIT License.", code]),  # two copies
+        code,
+        "Third parties\n" + code + "\n" + whole["Apache-2.0"],  # whole text within bounds
+        "\n".join(f"z{i} = other({i}, y{i})" for i in range(2400)) + "\n" + whole["Apache-2.0"],
+    ]
+    got = [r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert [r["license"] for r in got[1:6]] == ["GPL-2.0-or-later-notice", "ISC", "MIT-notice", "MIT-notice", None]
+    assert {("MIT", 0), ("MIT-grant", 5)} <= {(m["license"], m["line"]) for m in got[0]["matches"]}
+    assert got[1]["line"] == 2 and got[1]["score"] == got[2]["score"] == got[3]["score"] == 1.0 and got[2]["line"] == 62 and got[3]["line"] == 1
+    assert [m["line"] for m in got[4]["matches"]] == [61, 123] and got[5]["n_matches"] == 0
+    assert {"Apache-2.0", "Apache-2.0-header"} <= {m["license"] for m in got[6]["matches"]} & {m["license"] for m in got[7]["matches"]}
+    assert [m["line"] for m in got[7]["matches"] if m["license"] == "Apache-2.0"] == [2402]  # after an empty first line
+
+
+def test_license_windows_equal_all_windows(spark):
+    rng = random.Random(4)
+    name, text = "T", "a b c d a b e f g c d h"
+    t = set(licenses.template_bigrams([(name, text)])[0][1])
+    rows = []
+    for i in range(60):
+        ws = [rng.choice("abcdefghxyz") for _ in range(30)]
+        part = text.split()
+        for _ in range(rng.randrange(4)):
+            part[rng.randrange(len(part))] = rng.choice("abcdxyz")
+        at = rng.randrange(30)
+        ws[at:at] = part
+        rows.append((i, "".join(w + rng.choice("   \n") for w in ws)))
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: r["m"] for r in docs.select("doc_id", licenses.scan(F.col("text"), 75, [(name, text)]).alias("m")).collect()}
+    hits = 0
+    for i, x in rows:
+        w = x.split()
+        g = [f"{a} {b}" for a, b in zip(w, w[1:])]
+        dice = lambda u: 2 * len(set(u) & t) / (len(set(u)) + len(t))
+        best = max(dice(g[a:b]) for a in range(len(g)) for b in range(a + 1, len(g) + 1))
+        assert bool(got[i]) == (best >= 0.75)
+        lines = [y.split() for y in x.split("\n")]
+        if best >= 0.75 and max(dice(u) for u in [g, *([f"{a} {b}" for a, b in zip(y, y[1:])] for y in lines)]) < 0.75:
+            assert abs(max(m["score"] for m in got[i]) - best) < 1e-12
+            hits += 1
+    assert 10 < hits < 60
+
+
 def toxic_corpus(spark, n=1500):
     rng = random.Random(5)
     rows = []
