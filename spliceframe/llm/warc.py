@@ -23,7 +23,7 @@ from spliceframe.llm.common import Workspace
 
 LEAST_REVISIT, RANGE_BYTES, ARCHIVE_BYTES, CHUNK = 100, 32 << 20, 256 << 20, 1 << 20
 DATE = "2024-01-01T00:00:00Z"
-_MAGIC, _VERSION, _MAX_HEADER = b"\x1f\x8b\x08", b"WARC/1.", 1 << 16
+_MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _RECORD = "path string, offset long, length long, kind string, record_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary, reason string"
 
 
@@ -108,7 +108,7 @@ class _Bytes:
 
 def _parse(raw: bytes) -> tuple[dict, bytes, int] | None:
     """Header fields, block and length of the record at the start of raw; None if it isn't whole."""
-    end = raw.find(b"\r\n\r\n", 0, _MAX_HEADER)
+    end = raw.find(b"\r\n\r\n")
     if not raw.startswith(_VERSION) or end < 0:
         return None
     lines = raw[:end].decode("utf-8", "replace").split("\r\n")
@@ -163,6 +163,16 @@ def _search(win: _Bytes, at: int) -> int:
     return win.size
 
 
+def _top(win: _Bytes, at: int) -> bytes:
+    """What begins here, at least to the end of its header; to the end of the file if it has none. The window doubles, so growing costs no more than reading."""
+    n, seen = 1 << 16, 0
+    while True:
+        top = win.get(at, n)
+        if top.find(b"\r\n\r\n", max(0, seen - 3)) >= 0 or len(top) < n:
+            return top
+        n, seen = n * 2, len(top)
+
+
 def _one(win: _Bytes, at: int) -> tuple[dict, bytes, int]:
     """The record at a place, checked; raises ValueError or zlib.error."""
     head = win.get(at, 8)
@@ -174,7 +184,7 @@ def _one(win: _Bytes, at: int) -> tuple[dict, bytes, int]:
         return got[0], got[1], length
     if not head.startswith(_VERSION):
         raise ValueError("no record here")
-    top = win.get(at, _MAX_HEADER)
+    top = _top(win, at)
     m = re.search(rb"\r\ncontent-length:\s*(\d+)\s*\r\n", top[: top.find(b"\r\n\r\n") + 2], re.I)
     got = _parse(win.get(at, top.find(b"\r\n\r\n") + 8 + int(m[1]))) if m else None
     if got is None:

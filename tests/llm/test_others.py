@@ -99,6 +99,20 @@ def test_warc_salvage(plain):
         assert {at[5], at[9], at[13]} <= {g[0] for g in gaps} and all(r[5] for r in got if not r[2])
 
 
+def test_warc_long_urls(spark):
+    urls = ["http://a/?" + "q" * 200_000, "http://b/?" + " " * 70_000, "data:text/html," + "x%20" * 400_000, "http://c/"]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.archive_pages(pages).collect()) == [(i, 4) for i in range(4)]
+    body = [b"one", b"two " * 50, b"three", b"four"]
+    recs = [warc.record_bytes(i, u, b, hashlib.sha256(b).hexdigest()) for i, (u, b) in enumerate(zip(urls, body))]
+    for members in (recs, [warc._member(r) for r in recs]):
+        for step in (None, 50_000):
+            got = salvaged(b"".join(members), step)
+            assert [r[3] for r in got] == body and [r[2]["warc-target-uri"] for r in got] == [warc._uri(u) for u in urls]
+    cut = recs[0] + recs[1][:100_000]  # a header without an end
+    assert [(r[0], r[1], bool(r[2])) for r in salvaged(cut)] == [(0, len(recs[0]), True), (len(recs[0]), 100_000, False)]
+
+
 def test_warc_members_are_gzip():
     b = b"<html>" * 40
     raw = gzip.decompress(warc._member(warc.record_bytes(3, "http://x/ y", b, hashlib.sha256(b).hexdigest())))
