@@ -44,11 +44,39 @@ def own_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return text, verdict
 
 
+def _decoded(c: Column) -> Column:
+    """Decodes the basic entities, &amp; last, so that nothing is decoded twice."""
+    code = lambda dec, hex_: rf"(?i)&#(?:0*{dec}|x0*{hex_});"
+    for entity, char in ((rf"&lt;|{code(60, '3c')}", "<"), (rf"&gt;|{code(62, '3e')}", ">"), (rf"&quot;|{code(34, '22')}", '"'), (rf"&apos;|{code(39, '27')}", "'"), (rf"&amp;|{code(38, '26')}", "&")):
+        c = F.regexp_replace(c, entity, char)
+    return c
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with /, without its . and .. segments, as in RFC 3986, 5.2.4."""
+    parts = F.slice(F.split(path, "/", -1), 2, F.length(path) + 1)
+    kept = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    whole = F.aggregate(parts, F.array().cast("array<string>"), kept)
+    return F.concat(F.lit("/"), F.array_join(whole, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(whole) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
 def _target(html: Column, tag: str, attribute: str, url: Column) -> Column:
-    """Where the first such tag points: absolute, scheme-relative or root-relative links; other kinds give null."""
-    to = F.nullif(F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1), F.lit(""))
+    """Where the first such tag points, its link resolved against the page's url; links of other schemes than http and https give null."""
+    to = _decoded(F.nullif(F.regexp_extract(F.regexp_extract(html, tag, 0), attribute, 1), F.lit("")))
     origin = F.concat(F.lit("http://"), host_of(url))
-    return F.when(to.rlike("(?i)^https?://"), to).when(to.startswith("//"), F.concat(F.lit("http:"), to)).when(to.startswith("/"), F.concat(origin, to))
+    path = F.when(path_of(url) == "", F.lit("/")).otherwise(path_of(url))
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1), F.lit(""))
+    way, rest = F.regexp_extract(to, r"(?s)^([^?#]*)(.*)$", 1), F.regexp_extract(to, r"(?s)^([^?#]*)(.*)$", 2)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    return (
+        F.when(to.rlike("(?i)^https?://"), to)
+        .when(to.startswith("//"), F.concat(F.lit("http:"), to))
+        .when(to.rlike("(?i)^[a-z][a-z0-9+.-]*:") | (host_of(url) == ""), F.lit(None).cast("string"))
+        .when(to.startswith("/"), F.concat(origin, _without_dots(way), rest))
+        .when(to.startswith("?"), F.concat(origin, path, to))
+        .when(to.startswith("#"), F.concat(origin, path, query, to))
+        .otherwise(F.concat(origin, _without_dots(F.concat(folder, way)), rest))
+    )
 
 
 def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules=RULES, ws: Workspace | None = None) -> DataFrame:

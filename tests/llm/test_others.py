@@ -51,6 +51,19 @@ def test_urls(spark):
     assert more["verdict"] == "block"
 
 
+def test_url_links_of_each_form(spark):
+    forms = {
+        "index.html": "/a/b/index.html", "../de/1": "/a/de/1", "../../de/1": "/de/1", "../../../../de/1": "/de/1", "./x": "/a/b/x", "x/../y/./z": "/a/b/y/z", "..": "/a/", ".": "/a/b/", "?id=2": "/a/b/c?id=2",
+        "?a=1&amp;b=2": "/a/b/c?a=1&b=2", "x?u=../y": "/a/b/x?u=../y", "/r/../s?t": "/s?t", "/r&#38;s": "/r&s", "&amp;lt;": "/a/b/&lt;", "#top": "/a/b/c?q=1",
+    }
+    for form, want in [*((k, "shop.com" + v) for k, v in forms.items()), ("//D.com/x", "d.com/x"), ("https://d.com/x?a&amp;b#c", "d.com/x?a&b"), ("mailto:x@y.z", None)]:
+        page = spark.createDataFrame([("http://Shop.com/a/b/c?q=1#f", f'<link rel="canonical" href="{form}">')], "url string, html string")
+        assert page.select(url_filter.node_of(url_filter._target(F.col("html"), url_filter._CANONICAL, url_filter._HREF, F.col("url")))).first()[0] == want, form
+    pages = [(1, "http://shop.com/a/x", '<meta http-equiv="refresh" content="0; url=../de/1">'), (2, "http://shop.com", '<link rel="canonical" href="de/2">'), (3, None, '<link rel="canonical" href="de/2">')]
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow"}
+
+
 PAGES = [(1, "http://a/1", "x" * 99), (2, "http://a/2", "x" * 99), (7, "u", "é" * 50), (5, "u\n v", "é" * 50), (9, None, "é" * 50), (3, "u", None), (4, "u", ""), (6, "w", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" + "y" * 300), (None, "n", "z" * 200), (8, "n", "z" * 200), (8, "n", "z" * 200), (10, "big", "long " * 900_000)]
 
 
