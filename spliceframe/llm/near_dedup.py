@@ -1,31 +1,34 @@
 """Near-duplicate groups by MinHash and an LSH forest.
 
 Each document's set of word shingles gets a signature. A tree of the forest is one order of the signature's values; sorted
-by it, rows with a long common prefix stand side by side. Candidates are neighbours whose common prefix reaches MIN_DEPTH, at
-whatever depth they meet: deep where a region is crowded, shallow where it is sparse. They are confirmed on full sets and
-joined to classes. Only regions (a tree and its first MIN_DEPTH values) that still hold more than one class need more, and in a large
-family of loose copies all pairs would be too many. There the rest is settled exactly: with shingles ordered from rare to common, two similar
-sets share one among the first places of both, so members are matched on those, with the bound on the overlap that the places leave.
-No link between classes is lost to a cap, and a region of one class, however large, costs nothing more.
+by it, rows with a long common prefix stand side by side. Candidates are neighbours in these orders: at whatever depth they meet, deep where
+a region is crowded and shallow where it is sparse, down to MIN_DEPTH values. They are confirmed on full sets, and the classes that
+links make are contracted, so the next round looks at neighbours of different classes only. A region is a tree and its first MIN_DEPTH values.
+What a region still holds of other classes than its largest is then held against the whole region, in blocks: no pair of a region is left out,
+and a region of one class, however large, costs nothing more. Before a pair leaves an order or a block it has to pass two exact bounds
+that need no set: sizes, and a bitmap. The bitmap has a bit for each residue of the shingles' hashes, set where an odd number of them falls,
+so where two bitmaps differ at least one shingle stands in one set only.
 
 TREES trees of depth MIN_DEPTH miss a pair of similarity 0.75 with probability (1 - 0.75**3)**24, about 2e-6.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceframe.llm.common import Workspace, byte_words, gram_hashes, mix, word_hashes
 from spliceframe.llm.components import connected_components
 
-TREES, MIN_DEPTH, PATH, NEIGHBOUR_TREES, SHINGLE, PERCENT = 24, 3, 8, 4, 5, 75
+TREES, MIN_DEPTH, PATH, SHINGLE, PERCENT, BLOCK = 24, 3, 12, 5, 75, 512
+#: Of each round: every how many trees are sorted, and how many rows before a row are its neighbours.
+ROUNDS = ((6, 1), (1, 4))
 _CHUNK = 512
 
 
@@ -53,121 +56,173 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out.astype(np.uint32)
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """The parity of the hashes that fall on each of 2 to 4 bits a shingle, a power of two, in words of 64."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
+_SIGNED = "doc_id long, tk long, n long, id binary, sig binary, bits array<long>"
+
+
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
         for text in pdf["text"]:
             s = shingle_set(text)
-            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signature(s).astype(">u4").tobytes() if len(s) else None))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [r[0] for r in rows], "set_key": [r[1] for r in rows], "sig": [r[2] for r in rows]}).astype({"doc_id": "Int64"})
+            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).astype(">u4").tobytes(), bitmap(s)) if len(s) else (0, None, None, None))
+        yield pd.DataFrame({"doc_id": pdf["doc_id"], "tk": pdf["tk"], **{c: [r[i] for r in rows] for i, c in enumerate(("n", "id", "sig", "bits"))}}).astype({"doc_id": "Int64"})
 
 
-def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "shingles": [shingle_set(t).astype("<u8").tobytes() for t in pdf["text"]]})
+def _similar(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sets reach the similarity, counted on the full sets."""
+    if min(len(p), len(q)) * 100 < PERCENT * max(len(p), len(q)):
+        return False
+    both = np.concatenate([p, q])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(both) - common)
 
 
 def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs whose sets reach the similarity, counted on the full sets."""
     for pdf in batches:
-        ok = []
-        for x, y in zip(pdf["sa"], pdf["sb"]):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if min(len(p), len(q)) * 100 < PERCENT * max(len(p), len(q)):
-                ok.append(False)
-                continue
-            both = np.concatenate([p, q])
-            both.sort()
-            common = int((both[1:] == both[:-1]).sum())
-            ok.append(100 * common >= PERCENT * (len(both) - common))
-        yield pdf.loc[ok, ["a", "b"]]
-
-
-def _tree_path(sig, tree: int, depth: int):
-    """The first values of one tree's order: its own MIN_DEPTH values, then those of the trees that follow it."""
-    step, n = 4, TREES * MIN_DEPTH
-    at = tree * MIN_DEPTH
-    head = F.substring(sig, at * step + 1, min(depth, n - at) * step)
-    return head if at + depth <= n else F.concat(head, F.substring(sig, 1, (at + depth - n) * step))
+        sets = {}
+        for i, t in (*zip(pdf["a"], pdf["ta"]), *zip(pdf["b"], pdf["tb"])):
+            if i not in sets:
+                sets[i] = shingle_set(t)
+        yield pdf.loc[[_similar(sets[a], sets[b]) for a, b in zip(pdf["a"], pdf["b"])], ["a", "b"]]
 
 
-def _neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by tree, path and id. Side by side with a common prefix of MIN_DEPTH: a candidate. The first and the last row also go on, for the next partition."""
-    last, least, first = None, MIN_DEPTH * 4, True
+def _path(tree: int, depth: int) -> Column:
+    """The first values of one tree's order: its own MIN_DEPTH values, then those of the trees that follow it."""
+    step, n, at = 4, TREES * MIN_DEPTH, tree * MIN_DEPTH
+    head = F.substring("sig", at * step + 1, min(depth, n - at) * step)
+    return head if at + depth <= n else F.concat(head, F.substring("sig", 1, (at + depth - n) * step))
+
+
+def _folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap as it would be with fewer bits."""
+    while len(x) > words:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> int:
+    """A number that the shingles of one set only aren't below."""
+    words = min(len(x), len(y))
+    return int(np.bitwise_count((_folded(x, words) ^ _folded(y, words)).view(np.uint64)).sum())
+
+
+def _able(n: int, m: int, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether sizes and bitmaps leave the similarity open: then at most (n + m) * (1 - t) / (1 + t) shingles stand in one set only."""
+    return min(n, m) * 100 >= PERCENT * max(n, m) and _apart(x, y) * (100 + PERCENT) <= (n + m) * (100 - PERCENT)
+
+
+def _neighbours(reach: int):
+    """Rows come sorted by tree and path. Those of the reach rows before a row that share MIN_DEPTH values with it and are of another class."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before: list[tuple] = []
+        for pdf in batches:
+            out = []
+            for row in zip(*(pdf[c] for c in ("region", "id", "c", "n", "bits"))):
+                if before and before[-1][0] != row[0]:
+                    before = []
+                out += [(row[1], o[1]) for o in before if o[2] != row[2] and _able(o[3], row[3], o[4], row[4])]
+                before = [*before, row][-reach:]
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return run
+
+
+def _members(classes: DataFrame, step: int, *columns: str) -> DataFrame:
+    """A row for each class and tree, with its region."""
+    trees = F.array(*[F.xxhash64(F.lit(t), _path(t, MIN_DEPTH)) for t in range(0, TREES, step)])
+    return classes.select("id", *columns, F.posexplode(trees).alias("at", "region"))
+
+
+def _mixed(labelled: DataFrame, ws: Workspace) -> DataFrame:
+    """Regions that hold several classes: region, size, main (the largest class), others (rows of the other ones)."""
+    counts = _members(labelled, 1, "c").groupBy("region", "c").agg(F.count("*").alias("k"))
+    regions = counts.groupBy("region").agg(F.count("*").alias("classes"), F.sum("k").alias("size"), F.max(F.struct("k", "c")).alias("m"))
+    return ws.save(regions.where("classes > 1").select("region", "size", F.col("m.c").alias("main"), (F.col("size") - F.col("m.k")).alias("others")), "mixed")
+
+
+def _near(labelled: DataFrame, step: int, reach: int, regions: DataFrame | None) -> DataFrame:
+    """Candidates a, b: neighbours in every step-th order, each sorted as a whole, so that a task has a range of rows whatever the regions' sizes."""
+    rows = _members(labelled, step, "c", "n", "bits", "sig")
+    if regions is not None:
+        rows = rows.join(regions.select("region"), "region")
+    path = F.element_at(F.array(*[_path(t, PATH) for t in range(0, TREES, step)]), F.col("at") + 1)
+    rows = rows.select("at", path.alias("path"), "region", "id", "c", "n", "bits")
+    parts = max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartitionByRange(parts, "at", "path", "id").sortWithinPartitions("at", "path", "id").mapInPandas(_neighbours(reach), "a binary, b binary")
+
+
+def _pairs_of(rows: list[tuple]) -> list[tuple]:
+    """Pairs a, b of one region and block pair that pass both bounds: _able() for all of them at once.
+
+    rows: region, i, j; the row's own block among the other classes, if it is of one, and among all; id, c, main, n, bits."""
+    if not rows:
+        return []
+    i, j = rows[0][1:3]
+    sides: tuple[dict, dict] = {}, {}
+    for r in rows:
+        if r[3] == i and r[6] != r[7]:
+            sides[0].setdefault(len(r[9]), []).append(r)
+        if r[4] == j:
+            sides[1].setdefault(len(r[9]), []).append(r)
+    code = {c: k for k, c in enumerate(sorted({r[6] for r in rows}))}
+    out = []
+    for (p, x), (q, y) in itertools.product(sides[0].items(), sides[1].items()):
+        if max(p, q) > 2 * min(p, q):  # sizes within the bound have bitmaps of one length, or one is twice as long
+            continue
+        words = min(p, q)
+        right = np.stack([_folded(r[9], words) for r in y]).view(np.uint64)
+        m, d, largest = np.array([r[8] for r in y]), np.array([code[r[6]] for r in y]), np.array([r[6] == r[7] for r in y])
+        step = max(1, (1 << 21) // (words * len(y)))
+        for at in range(0, len(x), step):
+            part = x[at : at + step]
+            left = np.stack([_folded(r[9], words) for r in part]).view(np.uint64)
+            n, c = np.array([r[8] for r in part])[:, None], np.array([code[r[6]] for r in part])[:, None]
+            apart = np.bitwise_count(left[:, None, :] ^ right[None, :, :]).sum(2, dtype=np.int64)
+            able = (c != d) & (np.minimum(n, m) * 100 >= PERCENT * np.maximum(n, m)) & (apart * (100 + PERCENT) <= (n + m) * (100 - PERCENT))
+            out += [(part[k][5], y[v][5]) for k, v in zip(*np.nonzero(able)) if largest[v] or part[k][5] > y[v][5]]
+    return out
+
+
+def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows come sorted by region and block pair, of which one is held at a time."""
+    at, rows = None, []
     for pdf in batches:
         out = []
-        for row in zip(pdf["tree"], pdf["path"], pdf["id"]):
-            if first:
-                out.append((row[2], None, row[0], row[1]))
-                first = False
-            elif last[0] == row[0] and last[1][:least] == row[1][:least]:
-                out.append((row[2], last[2], None, None))
-            last = row
-        yield pd.DataFrame(out, columns=["a", "b", "tree", "path"]).astype({"a": "Int64", "b": "Int64", "tree": "Int32"})
-    if last:
-        yield pd.DataFrame([(last[2], None, last[0], last[1])], columns=["a", "b", "tree", "path"]).astype({"a": "Int64", "b": "Int64", "tree": "Int32"})
-
-
-def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each shingle of each set."""
-    for b in batches:
-        for at in range(b.num_rows):
-            part = b.slice(at, 1)
-            own = np.frombuffer(part.column("shingles")[0].as_py(), np.int64)
-            n = len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.full(n, part.column("id")[0].as_py())), pa.array(np.full(n, part.column("c")[0].as_py())), pa.array(np.full(n, n))], ["h", "id", "c", "n"])
-
-
-def _confirm(pairs: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
-    """pairs(a, b) whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return ws.save(both.select("a", "b", "sa", "sb").mapInPandas(_confirmed, "a long, b long"), "links")
-
-
-def _keys(classes: DataFrame, *more: str) -> DataFrame:
-    """A row for each class and tree: the key of its region."""
-    keys = F.array(*[F.xxhash64(F.lit(t), _tree_path(F.col("sig"), t, MIN_DEPTH)) for t in range(TREES)])
-    return classes.select("id", *more, F.explode(keys).alias("key"))
-
-
-def _neighbour_pairs(classes: DataFrame, ws: Workspace) -> DataFrame:
-    """Pairs side by side in some of the orders, each sorted as a whole: a range of rows for each task, whatever the regions' sizes."""
-    step = TREES // NEIGHBOUR_TREES
-    paths = F.array(*[F.struct(F.lit(t).alias("tree"), _tree_path(F.col("sig"), t, PATH).alias("path")) for t in range(0, TREES, step)])
-    rows = classes.select("id", F.explode(paths).alias("p")).select("p.tree", "p.path", "id")
-    parts = max(1, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = ws.save(rows.repartitionByRange(parts, "tree", "path", "id").sortWithinPartitions("tree", "path", "id").mapInPandas(_neighbours, "a long, b long, tree int, path binary"), "neighbours")
-    ends = met.where("tree is not null")  # two rows for each partition
-    order = Window.orderBy("tree", "path", "a")
-    across = ends.select("a", "tree", "path", F.lag("a").over(order).alias("b"), F.lag("tree").over(order).alias("t0"), F.lag("path").over(order).alias("p0"))
-    across = across.where((F.col("t0") == F.col("tree")) & (F.substring("p0", 1, MIN_DEPTH * 4) == F.substring("path", 1, MIN_DEPTH * 4)))
-    near = met.where("b is not null").select("a", "b").unionAll(across.select("a", "b"))
-    return ws.save(near.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "near")
-
-
-def _least_overlap(n: Column, m: Column) -> Column:
-    """Shingles that two sets of n and m must share to reach the similarity."""
-    return F.ceil((n + m) * PERCENT / (100 + PERCENT) - 1e-9)
-
-
-def _rare_first_pairs(mixed: DataFrame, sets: DataFrame, ws: Workspace) -> DataFrame:
-    """mixed(id, c) -> pairs of different classes that share a shingle at places where enough overlap can still follow, in the order of their shingles from rare to common."""
-    own = sets.join(mixed, "id").mapInArrow(_shingles, "h long, id long, c long, n long")
-    # Shingles that stand in just the same members (an edit makes five of them) go by one name, the xor of their members' hashes; the first speaks for all.
-    df = own.groupBy("h").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("id")).alias("s")).where("df > 1")
-    listed = own.join(df, "h").groupBy("id", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("x"))  # of one document
-    # Shingles that no other member has come before all of these.
-    first, last = F.col("n") - F.size("x"), F.col("n") - F.ceil(F.col("n") * PERCENT / 100 - 1e-9)
-    head = F.transform(F.slice("x", 1, F.greatest(F.least(last - first + 1, F.size("x")), F.lit(0)).cast("int")), lambda v, i: F.struct(v["s"].alias("h"), i.alias("i")))
-    head = F.filter(head, lambda v: F.coalesce(F.get("x", v["i"] - 1)["s"] != v["h"], F.lit(True)))
-    heads = ws.save(listed.select("id", "c", "n", F.explode(head).alias("v"), first.alias("first")).select("id", "c", "n", "v.h", (F.col("v.i") + F.col("first")).alias("i")), "heads")
-    counts = heads.groupBy("h", "c").agg(F.count("*").alias("k"))
-    main = counts.groupBy("h").agg(F.count("*").alias("classes"), F.max(F.struct("k", "c")).alias("m")).where("classes > 1").select("h", F.col("m.c").alias("main"))
-    x = heads.join(main, "h").where("c <> main").select("h", "main", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("n").alias("nx"), F.col("i").alias("ix"))
-    y = heads.select("h", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("n").alias("ny"), F.col("i").alias("iy"))
-    enough = F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy")) >= _least_overlap(F.col("nx"), F.col("ny"))
-    met = x.join(y, "h").where((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") > F.col("y"))) & enough)
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        for row in zip(*(pdf[c] for c in ("region", "i", "j", "x", "y", "id", "c", "main", "n", "bits"))):
+            if row[:3] != at:
+                out += _pairs_of(rows)
+                at, rows = row[:3], []
+            rows.append(row)
+        yield pd.DataFrame(out, columns=["a", "b"])
+    yield pd.DataFrame(_pairs_of(rows), columns=["a", "b"])
+
+
+def _rest(labelled: DataFrame, regions: DataFrame) -> DataFrame:
+    """Candidates a, b: each class outside its region's largest one against all of the region, dealt in blocks of about BLOCK rows on either side."""
+    rows = _members(labelled, 1, "c", "n", "bits").join(regions, "region")
+    h, blocks = F.xxhash64("id"), lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    rows = rows.withColumns({"x": F.when(F.col("c") != F.col("main"), F.pmod(h, blocks("others")).cast("int")), "y": F.pmod(h, blocks("size")).cast("int")})
+    pairs = lambda n, pair: F.transform(F.sequence(F.lit(0), blocks(n) - 1), lambda k: F.struct(*(v.alias(c) for c, v in zip("ij", pair(k)))))
+    right, left = pairs("others", lambda i: (i, F.col("y"))), pairs("size", lambda j: (F.col("x"), j))
+    rows = rows.withColumn("p", F.explode(F.when(F.col("x").isNull(), right).otherwise(F.array_union(right, left))))
+    rows = rows.select("region", "p.i", "p.j", "x", "y", "id", "c", "main", "n", "bits")
+    parts = max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInPandas(_met, "a binary, b binary")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
+    """Of pairs(a, b) those whose full sets are similar enough."""
+    pairs = ws.save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+    return ws.save(both.select("a", "b", "ta", "tb").mapInPandas(_confirmed, "a binary, b binary"), "links")
 
 
 def near_duplicate_groups(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -175,45 +230,48 @@ def near_duplicate_groups(docs: DataFrame, ws: Workspace | None = None) -> DataF
 
     Documents are linked when 100 * intersection >= 75 * union of their sets of lower-cased 5-word shingles. component_id is the
     least doc_id reachable; kept is doc_id = component_id. Empty or null texts have an empty set and are their own component.
-    A null doc_id takes no part: it has a null component_id and is kept. Rows that repeat a doc_id are one document: its set
-    is that of one of its texts. Ties fall to the least doc_id. No rows give no rows."""
+    A null doc_id takes no part: it has a null component_id and is kept. Rows that repeat a doc_id are one document: each of its texts
+    takes part, and all of them are in one component. Ties fall to the least doc_id. No rows give no rows."""
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "near")
-    signed = ws.save(docs.select("doc_id", "text").mapInPandas(_signed, "doc_id long, n_shingles long, set_key binary, sig binary"), "signed")
-    known = signed.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).dropDuplicates(["id"])
-
-    # Only members of a region with another class can have a link; their texts, and no others, become sets.
-    members = _keys(classes)
-    crowded = members.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    met = members.join(crowded, "key").select("id").distinct()
-    classes = ws.save(classes.join(met, "id"), "classes")
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(classes.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    sets = ws.save(texts.mapInPandas(_sets, "id long, shingles binary"), "sets")
-
-    near = _neighbour_pairs(classes, ws)
-    links = _confirm(near, sets, ws)
-    first = connected_components(links, ws)
-    labelled = ws.save(classes.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "sig"), "labelled")
-
-    # Regions that still hold several classes.
-    members = _keys(labelled, "c")
-    mixed = members.groupBy("key", "c").agg(F.lit(1)).groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
-    mixed = ws.save(members.join(mixed, "key").select("id", "c").distinct(), "mixed")
-    cross = _rare_first_pairs(mixed, sets, ws).join(near, ["a", "b"], "left_anti")
-    more = _confirm(cross, sets, ws)
-    component = connected_components(more.unionAll(links), ws)
-
-    by_set = known.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    final = by_set.join(component.withColumnRenamed("node", "id"), "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    signed = ws.save(rows.mapInPandas(_signed, _SIGNED), "signed")
+    known = signed.where("doc_id is not null and n > 0")
+    # Equal sets are one class, known by its set's 128-bit hash.
+    classes = known.groupBy("id").agg(F.min(F.struct("doc_id", "tk")).alias("of"), *[F.first(c).alias(c) for c in ("n", "sig", "bits")])
+
+    # Only members of a region with another class can have a link; their texts, and no others, are read again.
+    members = _members(classes, 1)
+    crowded = members.groupBy("region").agg(F.count("*").alias("k")).where("k > 1").select("region")
+    met = members.join(crowded, "region").select("id").distinct()
+    classes = ws.save(classes.join(met, "id").select("id", "of.doc_id", "of.tk", "n", "sig", "bits"), "classes")
+    texts = ws.save(rows.join(classes.select("id", "doc_id", "tk"), ["doc_id", "tk"]).groupBy("id").agg(F.first("text").alias("text")), "texts")
+
+    links = ws.save(_texts_of_one_document(known), "same")
+    labelled = classes.withColumn("c", F.col("id"))
+    for at, (step, reach) in enumerate(ROUNDS):
+        pairs = _near(labelled, step, reach, _mixed(labelled, ws) if at else None)
+        links = links.unionAll(_confirm(pairs, texts, ws))
+        component = connected_components(links, ws)
+        labelled = ws.save(classes.join(component.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), "n", "sig", "bits"), "labelled")
+    component = connected_components(links.unionAll(_confirm(_rest(labelled, _mixed(labelled, ws)), texts, ws)), ws)
+
+    least = known.groupBy("id").agg(F.min("doc_id").alias("first")).join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    final = least.join(least.groupBy("c").agg(F.min("first").alias("component_id")), "c").select("id", "component_id")
     return (
-        signed.select("doc_id", "n_shingles", "set_key")
-        .join(final, "set_key", "left")
+        signed.select("doc_id", F.col("n").alias("n_shingles"), "id")
+        .join(final, "id", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
 
+def _texts_of_one_document(known: DataFrame) -> DataFrame:
+    """Links a, b between the classes of rows that repeat a doc_id."""
+    first = known.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").select("doc_id", "a")
+    return known.select("doc_id", F.col("id").alias("b")).join(first, "doc_id").where("a <> b").select("a", "b").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that are kept: one document of each group, and all rows without a doc_id. Rows that repeat a kept doc_id stay as they are."""
     gone = near_duplicate_groups(docs).where(~F.col("kept")).select("doc_id").distinct()
