@@ -34,12 +34,3 @@ def pair_up(points: Column) -> Column:
     n = F.floor(F.size(points) / 2).cast("int")
     pairs = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.get(points, 2 * i - 2).alias("s"), F.get(points, 2 * i - 1).alias("e")))
     return F.when(n > 0, pairs).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
-
-
-def unit_of(n: Column, size: int) -> Column:
-    """Ceiling division."""
-    return F.ceil(n / F.lit(size)).cast("long")
-
-
-def next_pow2(n: Column) -> Column:
-    return F.pow(F.lit(2), F.ceil(F.log2(F.greatest(n, F.lit(1))))).cast("long")

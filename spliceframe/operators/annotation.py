@@ -9,9 +9,19 @@ from pyspark.sql import functions as F
 
 from spliceframe.operators.intervals import islands
 
-#: The standard genetic code, codons in the order T, C, A, G at each place. Fixed value.
-CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-_CODONS = {"".join(c): aa for c, aa in zip(product("TCAG", repeat=3), CODE)}
+#: The standard genetic code, codons in the order T, C, A, G at each place, stops as dots. Fixed value.
+CODE = "FFLLSSSSYY..CC.WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+#: What each ambiguity letter stands for, and its complement, letter by letter. Fixed values.
+AMBIGUOUS = {"A": "A", "C": "C", "G": "G", "T": "T", "M": "AC", "R": "AG", "W": "AT", "S": "CG", "Y": "CT", "K": "GT", "V": "ACG", "H": "ACT", "D": "AGT", "B": "CGT", "N": "ACGT"}
+LETTERS, COMPLEMENTS = "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"
+
+
+def _codons() -> dict[str, str]:
+    """Amino acids of codons, those with ambiguity letters where all they stand for is one amino acid, or asparagine and its acid (B), or glutamine and its acid (Z)."""
+    plain = {"".join(c): aa for c, aa in zip(product("TCAG", repeat=3), CODE)}
+    all_of = {"".join(c): {plain["".join(x)] for x in product(*(AMBIGUOUS[b] for b in c))} for c in product(AMBIGUOUS, repeat=3)}
+    pairs = {frozenset("ND"): "B", frozenset("EQ"): "Z"}
+    return {c: next(iter(aa)) if len(aa) == 1 else pairs[frozenset(aa)] for c, aa in all_of.items() if len(aa) == 1 or frozenset(aa) in pairs}
 
 
 def merged_exons(exons: DataFrame, by: list[str]) -> DataFrame:
@@ -25,8 +35,9 @@ def transcript_lengths(exons: DataFrame, by: list[str]) -> DataFrame:
 
 
 def gene_lengths(genes: DataFrame, transcripts: DataFrame, exons: DataFrame) -> DataFrame:
-    """gene_id, length: the longest transcript's, 0 without one. genes(gene_id), transcripts(tx_id, gene_id), exons(tx_id, start, end)."""
-    tx = transcripts.join(transcript_lengths(exons, ["tx_id"]), "tx_id")
+    """gene_id, length: the longest transcript's, 0 without one. genes(gene_id), transcripts(tx_id, gene_id), exons(tx_id, start, end); with a seqid in both a transcript is one on each contig."""
+    key = ["tx_id", "seqid"] if "seqid" in transcripts.columns and "seqid" in exons.columns else ["tx_id"]
+    tx = transcripts.join(transcript_lengths(exons, key), key)
     return genes.select("gene_id").join(tx.groupBy("gene_id").agg(F.max("length").alias("length")), "gene_id", "left").select("gene_id", F.coalesce("length", F.lit(0)).cast("long").alias("length"))
 
 
@@ -72,13 +83,13 @@ def cds_phases(cds: DataFrame, by: list[str]) -> DataFrame:
 
 def reverse_complement(seq: Column) -> Column:
     """Ambiguity letters included; case is kept."""
-    return F.reverse(F.translate(seq, "ACGTUMRWSYKVHDBNacgtumrwsykvhdbn", "TGCAAKYWSRMBDHVNtgcaakywsrmbdhvn"))
+    return F.reverse(F.translate(seq, LETTERS, COMPLEMENTS))
 
 
 def translate(seq: Column) -> Column:
-    """Codons to amino acids: a last part of a codon is left out, codons with other letters give X, stops give *."""
+    """Codons to amino acids: a last part of a codon is left out, codons that stand for several amino acids or none give X, stops give a dot."""
     codons = F.regexp_extract_all(F.translate(F.upper(seq), "U", "T"), F.lit("([A-Z*-]{3})"))
-    table = F.create_map(*[F.lit(x) for pair in _CODONS.items() for x in pair])
+    table = F.create_map(*[F.lit(x) for pair in _codons().items() for x in pair])
     return F.array_join(F.transform(codons, lambda c: F.coalesce(F.try_element_at(table, c), F.lit("X"))), "")
 
 

@@ -38,24 +38,27 @@ def with_tpm(counts: DataFrame, by: list[str]) -> DataFrame:
     if by:
         counts = counts.join(counts.groupBy(*by).agg(exact.alias("_all")), by)
     else:
-        counts = counts.withColumn("_k", F.lit(0)).join(counts.agg(exact.alias("_all")).withColumn("_k", F.lit(0)), "_k").drop("_k")
+        counts = counts.crossJoin(F.broadcast(counts.agg(exact.alias("_all"))))  # one row
     return counts.withColumn("tpm", F.coalesce(F.try_divide(F.lit(1e6) * F.col("rate"), "_all"), F.lit(0.0))).drop("rate", "_all")
 
 
 def gap_exclusions(genes: DataFrame, frags: DataFrame, by: list[str], width: int = BIN) -> DataFrame:
-    """gene_id, swallowed: fragments whose gap strictly holds the gene."""
+    """gene_id, swallowed, by: fragments whose gap strictly holds the gene."""
     gaps = weighed(frags.where("gap_start is not null").select(*by, "gap_start", "gap_end"), [*by, "gap_start", "gap_end"])
     met = overlap_join(gaps, genes.select(*by, "gene_id", "g_start", "g_end"), by, width, ("gap_start", "gap_end"), ("g_start", "g_end")).where(swallowed())
-    n = met.groupBy("gene_id").agg(F.sum("weight").alias("swallowed"))
-    return genes.select("gene_id").join(n, "gene_id", "left").select("gene_id", F.coalesce("swallowed", F.lit(0).cast("long")).alias("swallowed"))
+    return _per_gene(genes, met, by, "swallowed")
 
 
 def inner_gaps(genes: DataFrame, frags: DataFrame, by: list[str], width: int = BIN) -> DataFrame:
-    """gene_id, inner: gaps that start within the gene, before its end, and end in it."""
+    """gene_id, inner, by: gaps that start within the gene, before its end, and end in it."""
     gaps = weighed(frags.where("gap_start is not null").select(*by, "gap_start", "gap_end"), [*by, "gap_start", "gap_end"])
     met = overlap_join(gaps, genes.select(*by, "gene_id", "g_start", "g_end"), by, width, ("gap_start", "gap_end"), ("g_start", "g_end"))
     met = met.where("gap_start >= g_start and gap_start < g_end and gap_end <= g_end")
-    n = met.groupBy("gene_id").agg(F.sum("weight").alias("inner"))
-    return genes.select("gene_id").join(n, "gene_id", "left").select("gene_id", F.coalesce("inner", F.lit(0).cast("long")).alias("inner"))
+    return _per_gene(genes, met, by, "inner")
 
 
+def _per_gene(genes: DataFrame, met: DataFrame, by: list[str], name: str) -> DataFrame:
+    """The weights met by each row of genes, 0 where nothing is met."""
+    key = [*by, "gene_id", "g_start", "g_end"]
+    n = met.groupBy(*key).agg(F.sum("weight").alias(name))
+    return genes.select(*key).join(n, key, "left").select("gene_id", F.coalesce(name, F.lit(0).cast("long")).alias(name), *by)

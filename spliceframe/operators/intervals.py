@@ -17,12 +17,12 @@ def _bins(start: Column, end: Column, width: int) -> Column:
     return F.sequence(first, F.greatest(first, last))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, by: list[str], width: int = BIN, left_span=("start", "end"), right_span=("start", "end"), how: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, by: list[str], width: int = BIN, left_span=("start", "end"), right_span=("start", "end")) -> DataFrame:
     """Pairs with left.start <= right.end and right.start <= left.end and equal keys. Columns of right but its keys are to have names of their own."""
     (ls, le), (rs, re_) = left_span, right_span
     a = left.where(F.col(ls) <= F.col(le)).withColumn("_bin", F.explode(_bins(F.col(ls), F.col(le), width)))
     b = right.where(F.col(rs) <= F.col(re_)).withColumn("_bin", F.explode(_bins(F.col(rs), F.col(re_), width)))
-    met = a.join(b, [*by, "_bin"], how)
+    met = a.join(b, [*by, "_bin"])
     first = F.greatest(F.floor(F.col(ls) / width), F.floor(F.col(rs) / width))
     return met.where((F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le)) & (F.col("_bin") == first)).drop("_bin")
 
@@ -78,7 +78,7 @@ def containment_join(outer: DataFrame, inner: DataFrame, by: list[str], width: i
     return b.join(a, [*by, "_bin"]).where((F.col(s) >= F.col(os)) & starts & (F.col(e) <= F.col(oe))).drop("_bin")
 
 
-def as_of(points: DataFrame, marks: DataFrame, by: list[str], point: str, mark: str, carried: str, name: str, block: int = 1 << 34) -> DataFrame:
+def as_of(points: DataFrame, marks: DataFrame, by: list[str], point: str, mark: str, carried: str, name: str, block: int = 1 << 20) -> DataFrame:
     """points plus, under name, carried of the last mark at or before each point (null if none). Marks at one place: the greatest carried value.
 
     The axis is cut into blocks; a block starts from the last mark of the blocks before it, found on one row for each block."""

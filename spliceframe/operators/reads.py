@@ -4,7 +4,7 @@ alignments follow model.ALIGNMENTS; ord is the place in the file. All state is b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceframe.functions import cigar
@@ -153,7 +153,8 @@ def fragments(alignments: DataFrame, opt: Options = Options()) -> DataFrame:
         out = single_fragments(alignments, opt)
     out = out.withColumn("has_junction", F.size("js") > 0)
     if opt.strict:
-        out = out.withColumn("has_junction", F.when(F.max("has_junction").over(Window.partitionBy("sample_id")), F.col("has_junction")).otherwise(F.raise_error("no fragment has a junction")))
+        some = out.groupBy("sample_id").agg(F.max("has_junction").alias("_some"))
+        out = out.join(some, "sample_id").withColumn("has_junction", F.when(F.col("_some"), F.col("has_junction")).otherwise(F.raise_error("no fragment has a junction"))).drop("_some")
     return out
 
 

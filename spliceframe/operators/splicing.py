@@ -11,11 +11,13 @@ from spliceframe.operators.intervals import BIN, containment_join, overlap_join,
 from spliceframe.operators.junctions import match_junctions
 
 
-def first_events(events: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Of events that share an ase_id, in all files, the first by file and line; of files that share a type, then, the first. events(ase_id, ase_type, file_idx, line_no, ...)."""
+def first_events(events: DataFrame, by: list[str] | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Of events that share an ase_id, in all files, the first by file and line; of files that share a type, then, the first. events(ase_id, ase_type, file_idx, line_no, ...).
+
+    files(ase_type, file_idx): all files, so that a type's first one counts even if none of its events is usable; by default those with events."""
     by = by or []
     once = events.withColumn("_n", F.row_number().over(Window.partitionBy(*by, "ase_id").orderBy("file_idx", "line_no"))).where("_n = 1").drop("_n")
-    lead = events.groupBy("ase_type").agg(F.min("file_idx").alias("_file"))
+    lead = (events if files is None else files).groupBy("ase_type").agg(F.min("file_idx").alias("_file"))
     return once.join(lead, "ase_type").where(F.col("file_idx") == F.col("_file")).drop("_file")
 
 

@@ -35,24 +35,30 @@ def load_alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
 
 
 def per_sample(rows: DataFrame, samples: DataFrame) -> DataFrame:
-    """rows once for each sample. Both sides are annotation-sized: the samples' ids, and genes or events."""
-    return rows.withColumn("_k", F.lit(1)).join(samples.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    """rows once for each sample: genes or events, dealt out, and the samples' ids, one for each input file."""
+    return rows.crossJoin(F.broadcast(samples))
 
 
-def quantify(records: DataFrame, genes: DataFrame, events: DataFrame, opt: Options = Options()) -> Result:
-    """genes as from gff.gene_table(), events as from tables.parse_events(). All counts are by sample; a sample without fragments has no rows."""
-    frags = reads.fragments(records, opt)
+def once(rows: DataFrame) -> DataFrame:
+    """rows, written to the checkpoint folder where the session has one, else kept by the executors: what several results read is computed once."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
+
+
+def quantify(records: DataFrame, genes: DataFrame, events: DataFrame, opt: Options = Options(), files: DataFrame | None = None) -> Result:
+    """genes as from gff.gene_table(), events as from tables.parse_events(), files as in splicing.first_events(). All counts are by sample; a sample without
+    fragments has rows with zero counts. The alignments are read for the fragments and, with them, the samples; all results come from those."""
+    frags = once(reads.fragments(records, opt))
     rows = reads.fragment_junctions(frags)
     counts = junctions.junction_counts(rows, KEY)
-    samples = records.select("sample_id").distinct()
+    samples = once(records.select("sample_id").distinct())
     own_genes = per_sample(genes, samples)
     tpm = expression.with_tpm(expression.gene_counts(own_genes, frags, KEY, 16_384), ["sample_id"])
-    once = splicing.first_events(events)
-    own_events = per_sample(once, samples)
+    firsts = splicing.first_events(events, files=files)
+    own_events = per_sample(firsts, samples)
     plain = splicing.junction_support(own_events.where("ase_type <> 'RI'"), counts, KEY)
     kept = splicing.retention_support(own_events.where("ase_type = 'RI'"), frags, counts, KEY, 16_384)
     psi = splicing.with_psi(plain.unionByName(kept))
-    owned = splicing.owners(once, genes, ["ref_id"], 16_384)
+    owned = splicing.owners(firsts, genes, ["ref_id"], 16_384)
     fused = fusion.fusion_pairs(own_genes, frags, ["sample_id"], opt.gene_max_gap)
     return Result(tpm, psi, owned, counts, fused, reads.run_log(frags))
 
@@ -63,7 +69,7 @@ def run(spark: SparkSession, gff_path: str, length_path: str, event_files: list[
     lengths = tables.parse_lengths(tables.lines_of(spark, length_path))
     genes = gff.gene_table(gff.read_gff(spark, gff_path), refs, lengths)
     events = tables.read_events(spark, event_files, refs)
-    out = quantify(records, genes, events, opt)
+    out = quantify(records, genes, events, opt, spark.createDataFrame([(kind, i) for i, (kind, _) in enumerate(event_files)], "ase_type string, file_idx int"))
     sinks.write_tsv(sinks.gene_rows(out.genes), f"{output}/gene")
     sinks.write_tsv(sinks.event_rows(out.events, out.owners, genes), f"{output}/ase", ["ase_type"])
     name = lambda x: genes.select(F.col("gene_id").alias(f"gene_{x.lower()}"), F.col("gene_name").alias(f"{x}_name"))
@@ -80,4 +86,4 @@ def prepare(spark: SparkSession, gff_path: str, output: str) -> None:
     features = gff.parse_lines(lines)
     transcripts, exons = gff.tree(features)
     genes = features.where("kind = 'gene' and gene_id is not null").select("gene_id").distinct()
-    sinks.write_lengths(annotation.gene_lengths(genes, transcripts.select("tx_id", "gene_id"), exons), f"{output}/length_table.csv")
+    sinks.write_lengths(annotation.gene_lengths(genes, transcripts.select("tx_id", "seqid", "gene_id"), exons), f"{output}/length_table.csv")

@@ -59,7 +59,7 @@ def overlap_prefix_count(spark, sf_dir):
 
 @query("SELECT g.gene_id, count(f.f_start) AS swallowed FROM genes g LEFT JOIN fragments f ON g.ref_id = f.ref_id AND f.gap_start < g.g_start AND f.gap_end > g.g_end GROUP BY 1")
 def gap_exclusion_counts(spark, sf_dir):
-    return expression.gap_exclusions(fx.genes(spark, sf_dir), fx.fragments(spark, sf_dir), BY)
+    return expression.gap_exclusions(fx.genes(spark, sf_dir), fx.fragments(spark, sf_dir), BY).select("gene_id", "swallowed")
 
 
 @query("SELECT g.gene_id, count(*) FILTER (WHERE f.gap_start < g.g_start) - count(*) FILTER (WHERE f.gap_end <= g.g_end) AS n FROM genes g LEFT JOIN fragments f ON g.ref_id = f.ref_id AND f.gap_start IS NOT NULL GROUP BY 1")
@@ -70,7 +70,7 @@ def gap_outer_rank(spark, sf_dir):
 
 @query("SELECT g.gene_id, count(f.f_start) AS \"inner\" FROM genes g LEFT JOIN fragments f ON g.ref_id = f.ref_id AND f.gap_start >= g.g_start AND f.gap_start < g.g_end AND f.gap_end <= g.g_end GROUP BY 1")
 def gap_inner_contain(spark, sf_dir):
-    return expression.inner_gaps(fx.genes(spark, sf_dir), fx.fragments(spark, sf_dir), BY)
+    return expression.inner_gaps(fx.genes(spark, sf_dir), fx.fragments(spark, sf_dir), BY).select("gene_id", "inner")
 
 
 @query("SELECT ref_id, j_start AS start, j_end AS \"end\", cnt AS count FROM junctions")
@@ -118,16 +118,6 @@ def psi_a3ss(spark, sf_dir):
     return _psi(spark, sf_dir, False)
 
 
-@query(f"{_ONE}, {_PSI} {_SELECT}")
-def psi_a5ss(spark, sf_dir):
-    return _psi(spark, sf_dir, False)
-
-
-@query(f"{_TWO}, {_PSI} {_SELECT}")
-def psi_nse(spark, sf_dir):
-    return _psi(spark, sf_dir, True)
-
-
 @query(f"""v AS (SELECT e.ase_id, count(f.f_start) / 2 AS count_in FROM events e LEFT JOIN fragments f ON f.ref_id = e.ref_id AND NOT f.has_junction AND f.f_start <= e.in1_end AND f.f_end >= e.in1_start GROUP BY 1),
 n AS (SELECT e.ase_id, CAST(v.count_in AS DOUBLE) AS count_in, CAST(coalesce(o.cnt, 0) AS DOUBLE) AS count_out, 1 AS k FROM events e JOIN v USING (ase_id) {_MATCH.format(a='o', s='out')}), {_PSI} {_SELECT}""")
 def psi_ri(spark, sf_dir):
@@ -137,28 +127,33 @@ def psi_ri(spark, sf_dir):
 
 
 def _tail(a: str, b: str, x: str) -> str:
-    """I_x(a, b) for whole a and b: the chance of at least a successes in a + b - 1 trials."""
-    return f"list_sum([exp(lgamma({a} + {b}) - lgamma(j + 1) - lgamma({a} + {b} - j) + j * ln({x}) + ({a} + {b} - 1 - j) * ln(1 - {x})) for j in range(CAST({a} AS BIGINT), CAST({a} + {b} AS BIGINT))])"
+    """I_x(a, b) for a whole a and any b > 0, as one less the first terms of its series."""
+    return f"(1 - list_sum([exp(lgamma({b} + j) - lgamma({b}) - lgamma(j + 1) + j * ln({x}) + {b} * ln(1 - {x})) for j in range(0, CAST({a} AS BIGINT))]))"
 
 
-@query(f"""{_ONE}, d AS (SELECT DISTINCT count_in AS i, count_out AS o FROM n WHERE count_in > 0 AND count_out > 0),
+def _interval_sql(counts: str) -> str:
+    return f"""{counts}, d AS (SELECT DISTINCT count_in / k AS i, count_out AS o FROM n WHERE count_in > 0 AND count_out > 0),
 b AS (SELECT i, o, 0 AS step, 0.0::DOUBLE AS l1, 1.0::DOUBLE AS h1, 0.0::DOUBLE AS l2, 1.0::DOUBLE AS h2 FROM d UNION ALL
  SELECT i, o, step + 1, CASE WHEN u < 0.025 THEN m1 ELSE l1 END, CASE WHEN u < 0.025 THEN h1 ELSE m1 END, CASE WHEN v < 0.975 THEN m2 ELSE l2 END, CASE WHEN v < 0.975 THEN h2 ELSE m2 END
  FROM (SELECT *, (l1 + h1) / 2 AS m1, (l2 + h2) / 2 AS m2, {_tail('o', '(i + 1)', '((l1 + h1) / 2)')} AS u, {_tail('(o + 1)', 'i', '((l2 + h2) / 2)')} AS v FROM b WHERE step < 45)),
 q AS (SELECT i, o, 1 - m1 AS ub, 1 - m2 AS lb FROM (SELECT *, (l1 + h1) / 2 AS m1, (l2 + h2) / 2 AS m2 FROM b WHERE step = 45)), {_PSI}
-SELECT ase_id, round(psi, 3) AS psi, round(coalesce(lb, CASE WHEN count_in + count_out >= 5 THEN 1 ELSE 0 END), 3) AS psi_lb, round(coalesce(ub, 1), 3) AS psi_ub FROM p LEFT JOIN q ON q.i = p.count_in AND q.o = p.count_out""")
-def psi_ci_a3ss(spark, sf_dir):
-    return splicing.with_psi(_counted(spark, sf_dir, False)).select("ase_id", *[F.round(c, 3).alias(c) for c in ("psi", "psi_lb", "psi_ub")])
+SELECT ase_id, round(psi, 3) AS psi, round(coalesce(lb, CASE WHEN count_in / k + count_out >= 5 THEN 1 ELSE 0 END), 3) AS psi_lb, round(coalesce(ub, 1), 3) AS psi_ub FROM p LEFT JOIN q ON q.i = p.count_in / k AND q.o = p.count_out"""
 
 
-ORACLES["psi_ci_a3ss"] = ORACLES["psi_ci_a3ss"].replace("WITH ", "WITH RECURSIVE ", 1)
+@query(_interval_sql(_ONE))
+def psi_ci_a3ss(spark, sf_dir):
+    return splicing.with_psi(_counted(spark, sf_dir, False)).select("ase_id", *[F.round(c, 3).alias(c) for c in ("psi", "psi_lb", "psi_ub")])
 
 
-@query()
+@query(_interval_sql(_TWO))
 def psi_ci_se(spark, sf_dir):
     return splicing.with_psi(_counted(spark, sf_dir, True)).select("ase_id", *[F.round(c, 3).alias(c) for c in ("psi", "psi_lb", "psi_ub")])
 
 
+for _name in ("psi_ci_a3ss", "psi_ci_se"):
+    ORACLES[_name] = ORACLES[_name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
 @query(f"""x AS ({fx.FRAGMENTS.format(x=10)}), t AS (SELECT (CAST(ref_id AS BIGINT) << 32) + f_start AS s, (CAST(ref_id AS BIGINT) << 32) + f_end AS e FROM x),
 l AS (SELECT gene_id, (CAST(ref_id AS BIGINT) << 32) + g_start AS gs, (CAST(ref_id AS BIGINT) << 32) + g_end AS ge FROM genes),
 a AS (SELECT t.s, t.e, l.gene_id AS ga, l.ge AS end_a FROM t ASOF JOIN l ON t.s >= l.gs), b AS (SELECT a.*, l.gene_id AS gb, l.gs AS start_b FROM a ASOF JOIN l ON a.e >= l.gs)
@@ -243,12 +238,6 @@ _filter_query("read_filter_primary", "primary", f"({_FLAG} & 256) = 0")
 _filter_query("read_filter_multi", "multi", f"(({_FLAG} & 256) = 0 OR ({_FLAG} & 2) <> 0)")
 
 
-@query("SELECT coalesce(gap_end - gap_start, -1) AS gap, count(*) AS n FROM fragments WHERE coalesce(gap_end - gap_start <= 25, true) GROUP BY 1")
-def gap_filter(spark, sf_dir):
-    kept = fx.fragments(spark, sf_dir).where(F.coalesce(F.col("gap_end") - F.col("gap_start") <= 25, F.lit(True)))
-    return kept.groupBy(F.coalesce(F.col("gap_end") - F.col("gap_start"), F.lit(-1)).alias("gap")).agg(F.count("*").alias("n"))
-
-
 _JS = "CASE l_linenumber % 4 WHEN 1 THEN [{s: 20, e: 120}] WHEN 2 THEN [{s: 20, e: 50}, {s: 60, e: 100}] ELSE [] END"
 
 

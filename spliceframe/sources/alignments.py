@@ -12,6 +12,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,19 +23,47 @@ from spliceframe.model import ALIGNMENTS
 from spliceframe.sources.tables import sample_id
 
 _OPS = "MIDNSHP=X"
-_SPLIT = 64 << 20
+_SPLIT, _BATCH = 64 << 20, 4096
+_ARROW = pa.schema([
+    ("sample_id", pa.string()), ("ord", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("ref_id", pa.int32()), ("pos", pa.int64()), ("mpos", pa.int64()), ("isize", pa.int32()), ("l_seq", pa.int32()),
+    ("nh", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))),
+])
+
+
+def _open(path: str):
+    if "://" not in path:
+        return open(path, "rb")
+    fs, name = pafs.FileSystem.from_uri(path)
+    return fs.open_input_file(name)
+
+
+def _size(path: str) -> int:
+    if "://" not in path:
+        return os.path.getsize(path)
+    fs, name = pafs.FileSystem.from_uri(path)
+    return fs.get_file_info(name).size
+
+
+def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
 
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Records of SAM text files; header lines are left out. '=' as the mate's reference needs no care: only positions are used."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ord"))
-    refs = sam_refs(spark, path)
+    lines = spark.read.text(path).select("value", sample_id(F.col("_metadata.file_path")).alias("sample_id"), F.monotonically_increasing_id().alias("ord"))
+    return parse_sam(lines, sam_refs(spark, path))
+
+
+def parse_sam(lines: DataFrame, refs: DataFrame) -> DataFrame:
+    """lines(value, sample_id, ord), refs(ref_name, ref_id) -> model.ALIGNMENTS. Header lines and lines of fewer than eleven fields are left out; an unknown reference is -1."""
     f = F.split("value", "\t")
     g = lambda i: F.get("f", F.lit(i))
     rows = lines.where(~F.col("value").startswith("@")).withColumn("f", f).where(F.size("f") >= 11)
     nh = F.regexp_extract(F.array_join(F.slice("f", 12, F.greatest(F.size("f") - 11, F.lit(0))), "\t"), r"(?:^|\t)NH:i:(\d+)", 1).try_cast("int")
     rows = rows.select(
-        sample_id(F.col("path")).alias("sample_id"), "ord", g(0).alias("qname"), g(1).cast("int").alias("flag"), g(2).alias("ref_name"), (g(3).cast("bigint") - 1).alias("pos"), (g(7).cast("bigint") - 1).alias("mpos"),
+        "sample_id", "ord", g(0).alias("qname"), g(1).cast("int").alias("flag"), g(2).alias("ref_name"), (g(3).cast("bigint") - 1).alias("pos"), (g(7).cast("bigint") - 1).alias("mpos"),
         g(8).cast("int").alias("isize"), F.when(g(9) == "*", 0).otherwise(F.length(g(9))).cast("int").alias("l_seq"), nh.alias("nh"), cigar.parse(g(5)).alias("cigar"),
     )
     rows = rows.join(refs, "ref_name", "left").withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)))
@@ -97,8 +127,8 @@ class _Blocks:
 
 def _file_header(path: str) -> tuple[list[str], int, int]:
     """Reference names, and the block and the place in it where records begin."""
-    with open(path, "rb") as f:
-        blocks, data, starts = _Blocks(f, os.path.getsize(path), 0), b"", []
+    with _open(path) as f:
+        blocks, data, starts = _Blocks(f, _size(path), 0), b"", []
 
         def need(n: int) -> None:
             nonlocal data
@@ -171,7 +201,7 @@ def _record(data: bytes, at: int, sample: str, order: int) -> tuple:
     ops = struct.unpack_from(f"<{n_cigar}I", data, p)
     tags = data[p + 4 * n_cigar + (l_seq + 1) // 2 + l_seq : at + 4 + size]
     name = data[at + 36 : at + 35 + l_name].decode("ascii", "replace")
-    return sample, order, name, flag, ref, pos, mpos, isize, l_seq, _nh(tags), [(_OPS[o & 15] if o & 15 < 9 else "?", o >> 4) for o in ops]
+    return sample, order, name, flag, ref, pos, mpos, isize, l_seq, _nh(tags), [{"op": _OPS[o & 15] if o & 15 < 9 else "?", "len": o >> 4} for o in ops]
 
 
 class _Part(InputPartition):
@@ -184,17 +214,17 @@ class _BamReader(DataSourceReader):
         self.paths, self.split = paths, split
 
     def partitions(self):
-        return [_Part(p, at, min(at + self.split, os.path.getsize(p))) for p in self.paths for at in range(0, os.path.getsize(p), self.split)]
+        return [_Part(p, at, min(at + self.split, size)) for p in self.paths for size in (_size(p),) for at in range(0, size, self.split)]
 
-    def read(self, part: _Part) -> Iterator[tuple]:
+    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         names, first_block, first_at = _file_header(part.path)
         sample = os.path.basename(part.path).rsplit(".", 1)[0]
-        size = os.path.getsize(part.path)
-        with open(part.path, "rb") as f:
+        size = _size(part.path)
+        with _open(part.path) as f:
             blocks = _Blocks(f, size, part.start if part.start > first_block else first_block)
             if not blocks.seek(part.end):
                 return
-            data, starts, at = b"", [], None
+            data, starts, at, rows = b"", [], None, []
             while True:
                 got = blocks.next()
                 if got is not None:
@@ -216,13 +246,21 @@ class _BamReader(DataSourceReader):
                         if got is None:
                             return
                         continue
+                in_block = 0
                 while at + 4 <= len(data) and at + 4 + struct.unpack_from("<i", data, at)[0] <= len(data):
-                    base, block = [x for x in starts if x[0] <= at][-1]
+                    while in_block + 1 < len(starts) and starts[in_block + 1][0] <= at:
+                        in_block += 1
+                    base, block = starts[in_block]
                     if block >= part.end:
+                        yield from _batch(rows)
                         return
-                    yield _record(data, at, sample, (block << 16) | (at - base))
+                    rows.append(_record(data, at, sample, (block << 16) | (at - base)))
                     at += 4 + struct.unpack_from("<i", data, at)[0]
+                if len(rows) >= _BATCH:
+                    yield from _batch(rows)
+                    rows = []
                 if got is None:
+                    yield from _batch(rows)
                     return
                 keep = [x for x in starts if x[0] <= at][-1:]
                 drop = keep[0][0] if keep else 0
@@ -230,7 +268,7 @@ class _BamReader(DataSourceReader):
 
 
 class BamDataSource(DataSource):
-    """spark.read.format("bam").option("split", bytes).load(path): path is a file, or files separated by commas, that each task can open."""
+    """spark.read.format("bam").option("split", bytes).load(path): path is a file, or files separated by commas: local paths, or addresses of a shared file system."""
 
     @classmethod
     def name(cls) -> str:

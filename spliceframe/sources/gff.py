@@ -54,7 +54,7 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     gene = F.col("kind") == "gene"
     name3 = F.coalesce(*[attribute(at, n) for n in ("gene_name", "geneName", "gene_sym", "gene")], F.when(gene, attribute(at, "Name")))
     id3 = F.coalesce(attribute(at, "geneID"), attribute(at, "gene_id"), F.when(gene, attribute(at, "ID")))
-    parents3 = F.when(~gene, F.filter(F.transform(F.split(attribute(at, "Parent"), ","), F.trim), lambda p: p != ""))
+    parents3 = F.when(~gene, F.filter(F.transform(F.split(attribute(at, "Parent"), ","), lambda p: F.trim(p)), lambda p: p != ""))
     tx = attribute(at, "transcript_id", True)
     has_id = attribute(at, "ID").isNotNull()
     return rows.select(
@@ -67,36 +67,50 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
-    return parse_lines(spark.read.text(path))
+    return parse_lines(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()))
 
 
 def gene_table(features: DataFrame, refs: DataFrame, lengths: DataFrame, length_key: str = "gene_id") -> DataFrame:
     """gene_id, gene_name, ref_id, ref_name, strand, g_start, g_end, length: genes on a known reference that have a length. A missing name is the id.
 
-    refs(ref_name, ref_id), lengths(gene_id, length). length_key: gene_id, or gene_name for tables by name. Attributes of a repeated id are those of its first row by place."""
+    refs(ref_name, ref_id), lengths(gene_id, length). length_key: gene_id, or gene_name for tables by name. Rows that repeat an id keep their places, but name, reference name and strand are
+    those of the first of them on a known reference: by line_no if features have it, else by place."""
     g = features.where("kind = 'gene' and gene_id is not null").withColumn("gene_name", F.coalesce("gene_name", "gene_id"))
     g = g.join(refs, g["seqid"] == refs["ref_name"])
+    order = F.struct(*[c for c in ("line_no", "ref_id", "start", "end", "gene_name", "strand") if c in g.columns])
+    first = g.groupBy("gene_id").agg(F.min_by(F.struct("gene_name", "ref_name", "strand"), order).alias("_first"))
+    g = g.join(first, "gene_id").withColumns({c: F.col(f"_first.{c}") for c in ("gene_name", "ref_name", "strand")})
     size = lengths.select(F.col("gene_id").alias("_key"), "length")
     out = g.join(size, F.col(length_key) == F.col("_key"))
     return out.select("gene_id", "gene_name", "ref_id", "ref_name", "strand", F.col("start").alias("g_start"), F.col("end").alias("g_end"), "length")
 
 
 def tree(features: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """transcripts(tx_id, gene_id, seqid, strand, start, end), exons(tx_id, start, end): two levels over parent links, each on one contig and strand.
+    """transcripts(tx_id, gene_id, seqid, strand, start, end), exons(tx_id, seqid, start, end): two levels over parent links, each on one contig and strand.
 
-    Exons without exon features come from coding and untranslated segments; a transcript is shrunk to its exons' span."""
-    genes = features.where("kind = 'gene'").select(F.col("id").alias("gid"), "seqid", F.coalesce("gene_id", "id").alias("gene_id")).dropDuplicates(["gid", "seqid"])
+    A transcript id that stands on several contigs is a transcript on each; of repeats on one contig the least strand and gene count. Exons of
+    transcripts without exon features are their coding and untranslated segments; a transcript is shrunk to its exons' span."""
+    key = ["tx_id", "seqid"]
+    genes = features.where("kind = 'gene'").groupBy(F.col("id").alias("gid"), "seqid").agg(F.min(F.coalesce("gene_id", "id")).alias("gene_id"))
     tx = features.where("kind = 'transcript' and id is not null").select(F.col("id").alias("tx_id"), "seqid", "strand", F.explode_outer("parents").alias("gid"))
-    tx = tx.join(genes, ["gid", "seqid"], "left").select("tx_id", "seqid", "strand", "gene_id").dropDuplicates(["tx_id", "seqid"])
+    tx = tx.join(genes, ["gid", "seqid"], "left").groupBy(*key).agg(F.min("strand").alias("strand"), F.min("gene_id").alias("gene_id"))
     parts = features.where("kind in ('exon', 'utr', 'cds')").select(F.explode("parents").alias("tx_id"), "seqid", F.col("strand").alias("_strand"), "kind", "start", "end")
-    parts = parts.join(tx.select("tx_id", "seqid", "strand"), ["tx_id", "seqid"]).where("_strand = strand")
-    whole = parts.where("kind = 'exon'").select("tx_id").distinct()
-    exons = parts.where("kind = 'exon'").unionByName(parts.where("kind <> 'exon'").join(whole, "tx_id", "left_anti")).select("tx_id", "start", "end")
-    span = exons.groupBy("tx_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return tx.join(span, "tx_id").select("tx_id", "gene_id", "seqid", "strand", "start", "end"), exons
+    parts = parts.join(tx.select(*key, "strand"), key).where("_strand = strand")
+    whole = parts.where("kind = 'exon'").select(*key).distinct()
+    exons = parts.where("kind = 'exon'").unionByName(parts.where("kind <> 'exon'").join(whole, key, "left_anti")).select(*key, "start", "end")
+    span = exons.groupBy(*key).agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return tx.join(span, key).select("tx_id", "gene_id", "seqid", "strand", "start", "end"), exons
 
 
-def to_gff3(features: DataFrame) -> Column:
+def to_gff3() -> Column:
     """A GFF3 line from the parsed columns."""
     dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
     return F.concat_ws("\t", dot("seqid"), dot("source"), dot("type"), dot("start"), dot("end"), dot("score"), dot("strand"), dot("phase"), "attrs")
+
+
+def to_gtf(tx_id: Column, gene_id: Column) -> Column:
+    """A GTF line from the parsed columns: transcript and gene ids, and the gene's name if there is one."""
+    dot = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    pair = lambda name, v: F.concat(F.lit(f'{name} "'), v, F.lit('";'))
+    ids = F.concat_ws(" ", pair("transcript_id", tx_id), pair("gene_id", gene_id), pair("gene_name", F.col("gene_name")))
+    return F.concat_ws("\t", dot("seqid"), dot("source"), dot("type"), dot("start"), dot("end"), dot("score"), dot("strand"), dot("phase"), ids)

@@ -55,7 +55,10 @@ def read_events(spark: SparkSession, files: list[tuple[str, str]], refs: DataFra
     """files: (type, path) in the order that counts for repeated ids; each has one header line, its first."""
     all_lines = None
     for i, (kind, path) in enumerate(files):
-        lines = lines_of(spark, path).where("line_no > 0").withColumns({"ase_type": F.lit(kind), "file_idx": F.lit(i)})
+        # The header is the line that begins its file; a file read in several blocks has one first line.
+        raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("line_no"), F.col("_metadata.file_block_start").alias("_at"), F.col("_metadata.file_path").alias("_of"))
+        heads = raw.where("_at = 0").groupBy("_of").agg(F.min("line_no").alias("_head"))  # one row for each file
+        lines = raw.join(F.broadcast(heads), "_of", "left").where("line_no <> _head").select("value", "line_no").withColumns({"ase_type": F.lit(kind), "file_idx": F.lit(i)})
         all_lines = lines if all_lines is None else all_lines.unionByName(lines)
     return parse_events(all_lines, refs)
 

@@ -123,3 +123,46 @@ def test_filters_and_strandness(spark, files):
     assert reads.fragments(turned, Options(strandness=2)).count() == 1  # single reads always stay
     assert reads.fragments(sam, Options(mode=1)).count() == 0
     assert reads.fragments(sam, Options(pairing="keyed")).count() == 4
+
+
+def test_repeated_ids_and_contigs(spark):
+    lines = "chr1\tx\tgene\t10\t20\t.\t+\t.\tID=G10;Name=first\nchr2\tx\tgene\t5\t9\t.\t-\t.\tID=G10;Name=second\n"
+    for c in ("chr1", "chr2"):
+        lines += f"{c}\tx\tmRNA\t1\t9\t.\t+\t.\tID=T10;Parent=G10\n{c}\tx\texon\t1\t101\t.\t+\t.\tParent=T10\n"
+    rows = [(i, v) for i, v in enumerate(lines.splitlines())]
+    features = gff.parse_lines(spark.createDataFrame(rows, "line_no long, value string"))
+    assert {tuple(r["parents"]) for r in features.where("kind <> 'gene'").collect()} == {("G10",), ("T10",)}
+    refs = spark.createDataFrame([("chr1", 0), ("chr2", 1)], "ref_name string, ref_id int")
+    got = gff.gene_table(features, refs, spark.createDataFrame([("G10", 7)], "gene_id string, length long")).orderBy("g_start").collect()
+    assert [(r["gene_name"], r["ref_id"], r["ref_name"], r["strand"], r["g_start"]) for r in got] == [("first", 1, "chr1", "+", 5), ("first", 0, "chr1", "+", 10)]
+    transcripts, exons = gff.tree(features)
+    assert transcripts.count() == 2
+    from spliceframe.operators import annotation
+
+    assert annotation.gene_lengths(spark.createDataFrame([("G10",)], "gene_id string"), transcripts.select("tx_id", "seqid", "gene_id"), exons).first()["length"] == 100
+
+
+def test_a_type_is_judged_by_its_first_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,chr,strand,donor,acceptor,in\n")
+    (tmp_path / "b.csv").write_text("id,chr,strand,donor,acceptor,in\nE2,chr1,+,1^,2-,1^2-\n")
+    refs = spark.createDataFrame([("chr1", 0)], "ref_name string, ref_id int")
+    events = tables.read_events(spark, [("SE", str(tmp_path / "a.csv")), ("SE", str(tmp_path / "b.csv"))], refs)
+    from spliceframe.operators.splicing import first_events
+
+    assert first_events(events).count() == 1
+    assert first_events(events, files=spark.createDataFrame([("SE", 0), ("SE", 1)], "ase_type string, file_idx int")).count() == 0
+
+
+def test_alignments_are_decoded_once(spark, files, monkeypatch):
+    """A run reads its BAM file for the fragments and for the samples, and for nothing else."""
+    plans = []
+    once = quantify.once
+    monkeypatch.setattr(quantify, "once", lambda rows: plans.append(rows) or once(rows))
+    refs = al.bam_refs(spark, str(files / "s.bam"))
+    genes = gff.gene_table(gff.read_gff(spark, str(files / "g.gff3")), refs, tables.parse_lengths(tables.lines_of(spark, str(files / "l.csv"))))
+    out = quantify.quantify(al.read_bam(spark, str(files / "s.bam")), genes, tables.read_events(spark, [("SE", str(files / "se.csv"))], refs))
+    assert len(plans) == 2
+    for rows in (out.genes, out.events, out.fusions, out.log):
+        rows.collect()
+        shown = rows._jdf.queryExecution().withCachedData().toString()
+        assert ("InMemoryRelation" in shown or "LogicalRDD" in shown) and "bam" not in shown.split("InMemoryRelation")[0]

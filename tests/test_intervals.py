@@ -32,6 +32,8 @@ def test_overlap_join_and_counts(spark, spans, width):
 def test_gap_identity_and_containment(spark, spans):
     (genes, g), (items, d) = spans
     f = d.select("ref_id", F.col("start").alias("gap_start"), F.col("end").alias("gap_end"))
+    two = expression.gap_exclusions(g.unionByName(g.withColumn("ref_id", F.col("ref_id") + 2)), f, ["ref_id"], 32).collect()
+    assert {(r[2], r[0]): r[1] for r in two if r[2] > 1} == {(a[1] + 2, a[0]): 0 for a in genes}  # each key counts for itself
     out = {r[0]: r[1] for r in intervals.outer_contained(g, f, ["ref_id"], ("g_start", "g_end"), ("gap_start", "gap_end")).select("gene_id", "n").collect()}
     inner = {r[0]: r[1] for r in expression.inner_gaps(g, f, ["ref_id"], 32).collect()}
     gone = {r[0]: r[1] for r in expression.gap_exclusions(g, f, ["ref_id"], 32).collect()}
@@ -99,7 +101,8 @@ def test_intervals_of_counts(spark):
 
 def test_sequences(spark):
     d = spark.createDataFrame([("ATGGCNTAAg",)], "s string")
-    assert d.select(annotation.translate(F.col("s")), annotation.reverse_complement(F.col("s"))).first()[:] == ("MX*", "cTTANGCCAT")
+    assert d.select(annotation.translate(F.col("s")), annotation.reverse_complement(F.col("s"))).first()[:] == ("MX.", "cTTANGCCAT")
+    assert spark.createDataFrame([("MGAYTARAYSARTRANNNacuGGNATHWWW-",)], "s string").select(annotation.translate(F.col("s"))).first()[0] == "RLBZ.XTGIX"
     exons = spark.createDataFrame([("t", "c", "-", 1, 3), ("t", "c", "-", 6, 8)], "tx string, ref_name string, strand string, start long, end long")
     assert annotation.spliced_sequence(exons, spark.createDataFrame([("c", "AACGGTTTGG")], "ref_name string, seq string"), ["tx"]).first()["sequence"] == "AAAGTT"
     cds = spark.createDataFrame([("t", "+", 1, 4), ("t", "+", 10, 14), ("t", "+", 20, 22)], "tx string, strand string, start long, end long")
