@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by inner product, over balanced posting lists.
 
-Largest inner product becomes least Euclidean distance by one more coordinate, sqrt(M * M - |x| * |x|), M the largest norm. Centroids are fitted on a
-bounded sample; a graph of each centroid's nearest ones is searched in memory, best first with a beam, to find the centroids near a
-vector. A vector goes to the lists of all centroids at most REPLICA_RATIO times as far as its nearest, REPLICAS at most, so those at a border stand
-in several lists. Lists longer than LIST_ROWS are dealt into parts, so that no list grows with a popular region. A query reads the lists of centroids
-within PROBE_RATIO of its nearest, PROBES at most. Vectors that are equal bit by bit stand for one another: only the least vec_ids of such a group
-can be among the nearest, and a vector's rank among its equals decides that without gathering the group.
+Largest inner product becomes least Euclidean distance by one more coordinate, sqrt(M * M - |x| * |x|), M the largest norm. Centroids, one for LIST_ROWS
+vectors up to LISTS, are fitted in two levels on a bounded sample; a graph of each centroid's nearest ones is searched in memory, best first with a beam, to find
+the centroids near a vector. A vector goes to the lists of all centroids at most REPLICA_RATIO times as far as its nearest, REPLICAS at most, so those at a border
+stand in several lists. Lists are dealt into parts of about PART_ROWS, so that no list grows with a popular region. A query reads the lists of
+all centroids within PROBE_RATIO of its nearest, whatever their number: few where vectors cluster, many where they lie alike in all directions. The
+FIRST nearest of them are read first; their k-th best score is a bound that lets little through from the others. Vectors that are equal bit
+by bit stand for one another: only the least vec_ids of such a group can be among the nearest, and a vector's rank among its equals decides
+that without gathering the group.
 """
 
 from __future__ import annotations
@@ -19,54 +21,58 @@ from pyspark.sql import functions as F
 
 from spliceframe.llm.common import Workspace
 
-K, LISTS, SAMPLE_ROWS, LIST_ROWS, REPLICAS, REPLICA_RATIO, PROBES, PROBE_RATIO, DEGREE, BEAM, QUERY_ROWS = 20, 256, 16384, 1024, 4, 1.1, 72, 1.6, 20, 24, 512
+K, LIST_ROWS, LISTS, SAMPLE_ROWS, PART_ROWS, REPLICAS, REPLICA_RATIO, PROBE_RATIO, FIRST, DEGREE, BEAM, QUERY_ROWS = 20, 256, 4096, 65536, 2048, 4, 1.02, 1.18, 8, 20, 24, 512
 
 
 class Graph:
-    """Centroids and, for each, its DEGREE nearest; search() goes from beam to beam until nothing nearer turns up."""
+    """Centroids and, for each, its DEGREE nearest and a few far ones; a search expands the best places of its beam until nothing nearer turns up."""
 
     def __init__(self, centroids: np.ndarray):
         self.c, self.sq = centroids, (centroids**2).sum(1)
         n = len(centroids)
-        d = self.sq[:, None] + self.sq[None, :] - 2 * centroids @ centroids.T
-        np.fill_diagonal(d, -1)
-        order = np.argsort(d, axis=1, kind="stable")
-        near = order[:, 1 : DEGREE + 1]
-        rng = np.random.default_rng(3)
-        far = rng.integers(0, n, (n, 4))  # a few long edges keep the graph in one piece
-        self.links = np.concatenate([near, far], axis=1)
+        near = [np.argsort(self.sq[None, :] - 2 * part @ centroids.T, axis=1, kind="stable")[:, : DEGREE + 1] for part in np.array_split(centroids, max(1, n // 512))]
+        far = np.random.default_rng(3).integers(0, n, (n, 4))  # a few long edges keep the graph in one piece
+        self.links = np.concatenate([np.concatenate(near), far], axis=1)
         self.entry = np.unique(np.linspace(0, n - 1, min(n, BEAM)).astype(int))
 
-    def search(self, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and distances of about the k nearest centroids for each row of x, nearest first."""
-        n, width = len(self.c), min(len(self.c), max(BEAM, k))
-        beam = np.broadcast_to(self.entry, (len(x), len(self.entry)))
-        dist = self._to(x, beam)
-        for _ in range(64):
-            cand = np.concatenate([beam, self.links[beam].reshape(len(x), -1)], axis=1)
-            cand.sort(axis=1)
-            double = np.concatenate([np.zeros((len(x), 1), bool), cand[:, 1:] == cand[:, :-1]], axis=1)
-            d = np.where(double, np.inf, self._to(x, cand))
-            take = np.argsort(d, axis=1, kind="stable")[:, :width]
-            new, new_d = np.take_along_axis(cand, take, 1), np.take_along_axis(d, take, 1)
-            settled = new.shape == beam.shape and np.array_equal(new, beam)
-            beam, dist = new, new_d
-            if settled:
-                break
-        ok = np.isfinite(dist)
-        return np.where(ok, beam, n)[:, :k], np.sqrt(np.maximum(dist, 0))[:, :k]
-
-    def _to(self, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return self.sq[ids] - 2 * np.einsum("ij,ikj->ik", x, self.c[ids]) + (x**2).sum(1)[:, None]
+    def search(self, x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and distances of about the width nearest centroids for each row of x, nearest first. A distance is computed once."""
+        n = len(self.c)
+        width, dist, expanded = min(n, width), np.full((len(x), n), np.inf), np.zeros((len(x), n), bool)
+        row, node = np.repeat(np.arange(len(x)), len(self.entry)), np.tile(self.entry, len(x))
+        while len(row):
+            dist[row, node] = self.sq[node] - 2 * np.einsum("ij,ij->i", x[row], self.c[node]) + (x[row] ** 2).sum(1)
+            beam = np.argpartition(dist, width - 1, axis=1)[:, :width]
+            open_ = ~np.take_along_axis(expanded, beam, 1) & np.isfinite(np.take_along_axis(dist, beam, 1))
+            row, col = np.nonzero(open_)
+            expanded[row, beam[row, col]] = True
+            new = np.zeros_like(expanded)
+            new[np.repeat(row, self.links.shape[1]), self.links[beam[row, col]].ravel()] = True
+            row, node = np.nonzero(new & np.isinf(dist))
+        order = np.argsort(dist, axis=1, kind="stable")[:, :width]
+        return order, np.sqrt(np.maximum(np.take_along_axis(dist, order, 1), 0))
+
+    def within(self, x: np.ndarray, ratio: float, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, centroid, and place by distance (from 0) of the centroids at most ratio times as far as a row's nearest; most: so many at most. Beams widen for the rows that need it."""
+        rows, width, parts = np.arange(len(x)), BEAM, []
+        while len(rows):
+            ids, dist = self.search(x[rows], width)
+            near = dist <= ratio * dist[:, :1] + 1e-12
+            full = near.all(1) & (ids.shape[1] < len(self.c)) & (most is None or width < most)
+            r, place = np.nonzero(near[~full][:, :most])
+            parts.append((rows[~full][r], ids[~full][r, place], place))
+            rows, width = rows[full], width * 2
+        return tuple(np.concatenate(p) for p in zip(*parts)) if parts else (np.zeros(0, int),) * 3
 
 
 def fit_centroids(x: np.ndarray, k: int) -> np.ndarray:
     """k means with balance: in each round a centroid's distance counts more the fuller its cluster is; empty ones restart at the farthest rows."""
     rng = np.random.default_rng(5)
     c = x[rng.permutation(len(x))[:k]].copy()
+    k = len(c)
     load, share = np.ones(k), len(x) / k
     for _ in range(12):
-        near = np.concatenate([np.argmin(((c**2).sum(1)[None, :] - 2 * p @ c.T) + 0.05 * np.abs((c**2).mean()) * (load / share - 1)[None, :], axis=1) for p in np.array_split(x, max(1, len(x) // 2048))])
+        near = _closest(x, c, 0.05 * np.abs((c**2).mean()) * (load / share - 1))
         load = np.bincount(near, minlength=k).astype(float)
         sums = np.zeros_like(c)
         np.add.at(sums, near, x)
@@ -78,45 +84,65 @@ def fit_centroids(x: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
-def _matrix(column: pd.Series, norm: float, query: bool = False) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float64) for v in column])
+def _closest(x: np.ndarray, c: np.ndarray, more=0.0) -> np.ndarray:
+    return np.concatenate([np.argmin(((c**2).sum(1) + more)[None, :] - 2 * p @ c.T, axis=1) for p in np.array_split(x, max(1, len(x) // 2048))])
+
+
+def fit_lists(x: np.ndarray, k: int) -> np.ndarray:
+    """About k centroids; of many, first some whose clusters then get theirs in proportion to their rows."""
+    if k <= 256:
+        return fit_centroids(x, k)
+    top = fit_centroids(x, int(k**0.5))
+    near = _closest(x, top)
+    return np.concatenate([fit_centroids(x[near == i], max(1, round(k * (near == i).mean()))) for i in np.unique(near)])
+
+
+def _matrix(column: pd.Series, scale: float, norm: float, query: bool = False) -> np.ndarray:
+    """Vectors divided by scale, with the coordinate that makes products distances."""
+    x = np.stack([np.asarray(v, np.float64) for v in column]) / scale
     more = np.zeros(len(x)) if query else np.sqrt(np.maximum(norm * norm - (x * x).sum(1), 0))
     return np.concatenate([x, more[:, None]], axis=1)
 
 
-def _listed(centroids: np.ndarray, norm: float, query: bool):
+def _listed(graph: Graph, scale: float, norm: float, query: bool):
     """One row for each list that a vector belongs to, or that a query reads."""
-    most, ratio = (PROBES, PROBE_RATIO) if query else (REPLICAS, REPLICA_RATIO)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = Graph(centroids)
         for pdf in batches:
             for at in range(0, len(pdf), 64):
                 part = pdf.iloc[at : at + 64]
-                lists, dist = graph.search(_matrix(part["embedding"], norm, query), most)
-                keep = (dist <= ratio * dist[:, :1] + 1e-12) & (lists < len(centroids))
-                row, col = np.nonzero(keep)
-                yield part.iloc[row][["vec_id", "embedding"]].assign(list=lists[row, col])
+                x = _matrix(part["embedding"], scale, norm, query)
+                row, lists, place = graph.within(x, PROBE_RATIO) if query else graph.within(x, REPLICA_RATIO, REPLICAS)
+                yield part.iloc[row].assign(list=lists, place=place)
 
     return run
 
 
+_FOUND = "query_id long, vec_id long, score double"
+
+
 def _nearest(k: int):
-    """Of one part of a list and one block of its queries: each query's k + 1 best in the part."""
+    """Of one part of a list and one block of its queries: each query's k best in the part that reach the score it has to beat."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        ids = right["vec_id"].to_numpy()
-        x = np.stack(right["embedding"]).astype(np.float64)
-        out = []
-        for qid, q in zip(left["vec_id"], left["embedding"]):
-            s = x @ np.asarray(q, np.float64)
-            s[ids == qid] = -np.inf
-            best = np.lexsort((ids, -s))[:k] if len(s) <= 4 * k else (lambda c: c[np.lexsort((ids[c], -s[c]))][:k])(np.flatnonzero(s >= np.partition(s, len(s) - k)[len(s) - k]))
-            best = best[np.isfinite(s[best])]
-            out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[best], "score": s[best]}))
-        return pd.concat(out)
+        ids, own = right["vec_id"].to_numpy(), left["vec_id"].to_numpy()
+        x, q = np.stack(right["embedding"]).astype(np.float64), np.stack(left["embedding"]).astype(np.float64)
+        with np.errstate(over="ignore", invalid="ignore"):
+            s = q @ x.T
+            s[np.isnan(s)] = -np.inf
+            s[own[:, None] == ids] = -np.inf
+            at = max(len(ids) - k, 0)
+            cut = np.maximum(np.partition(s, at, axis=1)[:, at], left["least"].to_numpy(np.float64))
+            # The product of two matrices may round equal vectors differently; what comes close is summed again row by row.
+            slack = np.where(np.isfinite(cut), 1e-9 * np.abs(cut), 0)
+            row, col = np.nonzero((s >= (cut - slack)[:, None]) & (own[:, None] != ids))
+            score = np.concatenate([(q[r] * x[c]).sum(1) for r, c in zip(np.array_split(row, len(row) // 65536 + 1), np.array_split(col, len(col) // 65536 + 1))])
+        order = np.lexsort((ids[col], -np.where(np.isnan(score), -np.inf, score), row))
+        row, col, score = row[order], col[order], score[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        return pd.DataFrame({"query_id": own[row[best]], "vec_id": ids[col[best]], "score": score[best]})
 
     return run
 
@@ -131,45 +157,52 @@ def usable(vectors: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, is_query=None, k: int = K, ws: Workspace | None = None) -> DataFrame:
     """vectors(vec_id, embedding, ...) -> query_id, rank, vec_id, score: for each query its k nearest found by inner product, itself left out; ties to the smaller vec_id.
 
-    is_query: a condition on vec_id (by default divisible by 20). Vectors must have one length. Of rows that repeat a vec_id the least vector counts.
-    Queries that find fewer than k are searched again over all lists, so fewer than k rows mean fewer candidates. No usable vectors give no rows."""
+    is_query: a condition on vec_id (by default divisible by 20). Components that a vector lacks to the longest one count as 0. A product may be infinite;
+    one that isn't a number comes last. Of rows that repeat a vec_id the least vector counts. Queries that find fewer than k are searched
+    again over all lists, so fewer than k rows mean fewer candidates. No usable vectors give no rows."""
     spark = vectors.sparkSession
     ws = ws or Workspace(spark, "vectors")
-    rows = usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    rows = ws.save(rows.withColumn("equal", F.xxhash64("embedding")), "vectors")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    n, m = rows.agg(F.count("*"), F.max(norm)).first()
-    schema = "query_id long, rank int, vec_id long, score double"
+    rows = ws.save(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "usable")
+    n, short_, long_, scale = rows.agg(F.count("*"), F.min(F.size("embedding")), F.max(F.size("embedding")), F.max(F.array_max(F.transform("embedding", F.abs)))).first()
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if short_ < long_:
+        rows = rows.withColumn("embedding", F.concat("embedding", F.array_repeat(F.lit(0.0), F.lit(long_) - F.size("embedding"))))
+    norm = rows.agg(F.max(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + (x / F.lit(scale)) * (x / F.lit(scale)))))).first()[0]
     # Only the k + 1 least ids of equal vectors can be among anyone's k nearest; the limit is applied before rows of a group meet.
     rank = F.row_number().over(Window.partitionBy("equal", "embedding").orderBy("vec_id"))
-    kept = ws.save(rows.withColumn("r", rank).where(F.col("r") <= k + 1), "candidates")
-    picked = kept.where("r = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE_ROWS, 64 * LISTS)).select("embedding").toPandas()
-    lists = int(max(1, min(LISTS, len(picked) // 16)))
-    centroids = fit_centroids(_matrix(picked["embedding"], m), lists)
-
-    postings = kept.select("vec_id", "embedding").mapInPandas(_listed(centroids, m, False), "vec_id long, embedding array<double>, list int")
-    postings = ws.save(postings, "postings")
-    sizes = postings.groupBy("list").count().select("list", F.ceil(F.col("count") / LIST_ROWS).cast("int").alias("parts"))  # LISTS rows at most
+    kept = ws.save(rows.withColumn("equal", F.xxhash64("embedding")).withColumn("r", rank).where(F.col("r") <= k + 1), "candidates")
+    lists = max(1, min(LISTS, n // LIST_ROWS))
+    picked = kept.where("r = 1").orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(SAMPLE_ROWS, 32 * lists)).select("embedding").toPandas()
+    graph = Graph(fit_lists(_matrix(picked["embedding"], scale, norm), lists))
+    lists = len(graph.c)
+
+    listed = "vec_id long, embedding array<double>, list int, place int"
+    postings = ws.save(kept.select("vec_id", "embedding").mapInPandas(_listed(graph, scale, norm, False), listed).drop("place"), "postings")
+    sizes = postings.groupBy("list").count().select("list", F.ceil(F.col("count") / PART_ROWS).cast("int").alias("parts"))  # LISTS rows at most
     postings = postings.join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     queries = rows.where((F.col("vec_id") % 20 == 0) if is_query is None else is_query).select("vec_id", "embedding")
 
-    def search(queries: DataFrame, reads: DataFrame) -> DataFrame:
-        """reads(vec_id, embedding, list): scores within all parts of the lists, in blocks of queries."""
+    def search(reads: DataFrame) -> DataFrame:
+        """reads(vec_id, embedding, list, least): scores of at least least within all parts of the lists, in blocks of queries."""
         blocks = reads.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("blocks"))
         q = reads.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
         q = q.join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         p = postings.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         keys = ["list", "part", "block"]
-        found = q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(_nearest(k), "query_id long, vec_id long, score double")
-        return found.dropDuplicates(["query_id", "vec_id"])
-
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    top = lambda found: found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    first = ws.save(top(search(queries, queries.mapInPandas(_listed(centroids, m, True), "vec_id long, embedding array<double>, list int"))), "found")
-    short = ws.save(queries.join(first.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "short")
+        return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(_nearest(k), _FOUND)
+
+    order = F.desc(F.when(F.isnan("score"), F.lit(float("-inf"))).otherwise(F.col("score")))
+    best = Window.partitionBy("query_id").orderBy(order, "vec_id")
+    top = lambda found: found.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    reads = ws.save(queries.mapInPandas(_listed(graph, scale, norm, True), listed), "reads")
+    none = F.lit(float("-inf"))
+    first = ws.save(top(search(reads.where(F.col("place") < FIRST).withColumn("least", none))), "first")
+    bound = first.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.when(F.isnan("score"), none).otherwise(F.col("score")).alias("bound"))
+    others = reads.where(F.col("place") >= FIRST).join(bound, "vec_id", "left").withColumn("least", F.coalesce("bound", none)).drop("bound")
+    found = ws.save(top(first.drop("rank").unionByName(search(others))), "found")
+    short = ws.save(queries.join(found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "short")
     if not short.isEmpty():
-        every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1))))  # the queries left over, times at most LISTS
-        first = first.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(top(search(short, every)))
-    return first.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1)))).withColumn("least", none)  # the queries left over, times at most LISTS
+        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(top(search(every)))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
