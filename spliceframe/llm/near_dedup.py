@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from spliceframe.llm.common import Workspace, byte_words, gram_hashes, mix, word_hashes
 from spliceframe.llm.components import connected_components
 
-TREES, MIN_DEPTH, PATH, SHINGLE, PERCENT, BLOCK = 24, 3, 12, 5, 75, 512
+TREES, MIN_DEPTH, PATH, SHINGLE, PERCENT, BLOCK, HELD = 24, 3, 12, 5, 75, 512, 1 << 21
 #: Of each round: every how many trees are sorted, and how many rows before a row are its neighbours.
 ROUNDS = ((6, 1), (1, 4))
 _CHUNK = 512
@@ -65,13 +66,14 @@ def bitmap(s: np.ndarray) -> np.ndarray:
 _SIGNED = "doc_id long, tk long, n long, id binary, sig binary, bits array<long>"
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for text in pdf["text"]:
-            s = shingle_set(text)
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts, rows = b.column("text"), []
+        for i in range(b.num_rows):  # one text at a time is taken out of the batch
+            s = shingle_set(texts[i].as_py())
             rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), signature(s).astype(">u4").tobytes(), bitmap(s)) if len(s) else (0, None, None, None))
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "tk": pdf["tk"], **{c: [r[i] for r in rows] for i, c in enumerate(("n", "id", "sig", "bits"))}}).astype({"doc_id": "Int64"})
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tk"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds))], ["doc_id", "tk", "n", "id", "sig", "bits"])
 
 
 def _similar(p: np.ndarray, q: np.ndarray) -> bool:
@@ -84,13 +86,21 @@ def _similar(p: np.ndarray, q: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(both) - common)
 
 
-def _confirmed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        sets = {}
-        for i, t in (*zip(pdf["a"], pdf["ta"]), *zip(pdf["b"], pdf["tb"])):
-            if i not in sets:
-                sets[i] = shingle_set(t)
-        yield pdf.loc[[_similar(sets[a], sets[b]) for a, b in zip(pdf["a"], pdf["b"])], ["a", "b"]]
+def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b, ta, tb = (batch.column(c) for c in ("a", "b", "ta", "tb"))
+        sets, held, ok = {}, 0, []
+        for i in range(batch.num_rows):
+            pair = []
+            for k, t in ((a[i].as_py(), ta), (b[i].as_py(), tb)):
+                if k not in sets:
+                    sets[k] = shingle_set(t[i].as_py())
+                    held += len(sets[k])
+                pair.append(sets[k])
+            ok.append(_similar(*pair))
+            if held > HELD:
+                sets, held = {}, 0
+        yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _path(tree: int, depth: int) -> Column:
@@ -222,7 +232,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
     """Of pairs(a, b) those whose full sets are similar enough."""
     pairs = ws.save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return ws.save(both.select("a", "b", "ta", "tb").mapInPandas(_confirmed, "a binary, b binary"), "links")
+    return ws.save(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a binary, b binary"), "links")
 
 
 def near_duplicate_groups(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -234,8 +244,8 @@ def near_duplicate_groups(docs: DataFrame, ws: Workspace | None = None) -> DataF
     takes part, and all of them are in one component. Ties fall to the least doc_id. No rows give no rows."""
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "near")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("tk"), "text")
-    signed = ws.save(rows.mapInPandas(_signed, _SIGNED), "signed")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
+    signed = ws.save(rows.mapInArrow(_signed, _SIGNED), "signed")
     known = signed.where("doc_id is not null and n > 0")
     # Equal sets are one class, known by its set's 128-bit hash.
     classes = known.groupBy("id").agg(F.min(F.struct("doc_id", "tk")).alias("of"), *[F.first(c).alias(c) for c in ("n", "sig", "bits")])
