@@ -3,7 +3,8 @@
 A document is a bag of sentences. Each sentence has a chance p = sigmoid(bias + weights of its distinct words and word starts) of being offensive, and the
 document's score is their noisy-or, 1 - (1 - leak) * prod(1 - p). Only documents have labels; the gradient of the document's likelihood
 tells each sentence how much of the label it has to explain, and the fitted p then point out the offending sentences.
-The model is fitted on a bounded sample of labelled documents (SAMPLE, the least hashes of doc_id) with at most VOCABULARY words, so its size
+As a fit that stops early is too timid, two numbers then stretch and shift the log odds of the scores; they come from scores of FOLDS parts of the
+sample, each by a fit on the others. The model is fitted on a bounded sample of labelled documents (SAMPLE, the least hashes of doc_id) with at most VOCABULARY words, so its size
 never depends on the corpus; scoring is one pass over all texts without a shuffle.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql.functions import arrow_udf
 
 from spliceframe.llm.common import Workspace
 
-SAMPLE, VOCABULARY, LEAST_DOCS, ROUNDS, RATE, PENALTY, THRESHOLD, OFFENDING, STARTS = 16384, 2048, 3, 150, 0.2, 2e-5, 0.7, 0.5, (5, 7)
+SAMPLE, VOCABULARY, LEAST_DOCS, ROUNDS, RATE, PENALTY, THRESHOLD, OFFENDING, STARTS, FOLDS = 16384, 2048, 3, 150, 0.2, 2e-5, 0.7, 0.5, (5, 7), 3
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _TOKEN = re.compile(r"[^\W_]+")
 _RESULT = "struct<score:double,predicted:int,sentences:int,offending:array<struct<start:int,end:int,score:double>>>"
@@ -34,6 +35,8 @@ class Model:
     bias: float
     leak: float
     weights: dict[str, float]
+    stretch: float = 1.0
+    shift: float = 0.0
 
 
 def _with_starts(words: set[str]) -> set[str]:
@@ -64,7 +67,8 @@ def fold_held_out(doc_id: Column) -> Column:
 def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         words, toxic = [], []
-        for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+        for text, y in zip(b.column("text"), b.column("toxic").to_pylist()):
+            text = text.as_py()
             own = set().union(*(w for _, _, w in sentence_words(text)))
             words += own
             toxic += [y] * len(own)
@@ -75,7 +79,8 @@ def _bags(index: dict[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for text, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+            for text, y, h in zip(b.column("text"), b.column("toxic").to_pylist(), b.column("h").to_pylist()):
+                text = text.as_py()
                 n, flat, sizes = 0, [], []
                 for _, _, words in sentence_words(text):
                     own = [index[w] for w in words & index.keys()]
@@ -83,12 +88,52 @@ def _bags(index: dict[str, int]):
                     if own:
                         flat += own
                         sizes.append(len(own))
-                rows.append((y, n, flat, sizes))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int32()))], ["toxic", "n", "flat", "sizes"])
+                rows.append((y, n, flat, sizes, h))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32())), pa.array([r[3] for r in rows], pa.list_(pa.int32())), pa.array([r[4] for r in rows], pa.int64())], ["toxic", "n", "flat", "sizes", "h"])
 
     return run
 
 
+def log_none(p: np.ndarray, p0: float, leak: float, doc: np.ndarray, plain: np.ndarray) -> np.ndarray:
+    """Logarithm of the chance that no sentence of a document is offensive. p: of sentences with known words, doc: whose they are; p0: of each of the plain others."""
+    return np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(plain)) + plain * np.log1p(-p0) + np.log1p(-leak)
+
+
+def log_odds(none: float) -> float:
+    return math.log(math.expm1(-none)) if none > -700 else -none
+
+
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Stretch and shift of log odds z that make them fit labels y best; stays at 1 and 0 without both labels."""
+    theta = np.array([1.0, 0.0])
+    if not 0 < y.sum() < len(y):
+        return 1.0, 0.0
+    x = np.stack([z, np.ones_like(z)], axis=1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ theta, -500, 500)))
+        slope = x.T @ (p - y) + (theta - [1.0, 0.0])  # a pull of one document's weight to where it began
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2), slope)
+        theta = theta - step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(np.clip(theta[0], 0.2, 5)), float(np.clip(theta[1], -8, 8))
+
+
+def held_out_odds(y: np.ndarray, n: np.ndarray, flat: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, words: int, fold: np.ndarray) -> np.ndarray:
+    """Log odds of each document by a fit on the folds that it isn't in; arguments as in fit_bags()."""
+    doc, z = np.repeat(np.arange(len(y)), per_doc), np.zeros(len(y))
+    for k in np.unique(fold):
+        own, others = fold == k, fold != k
+        if not others.any():
+            continue
+        s = others[doc]
+        bias, leak, w = fit_bags(y[others], n[others], flat[np.repeat(s, sizes)], sizes[s], per_doc[others], words)
+        p = 1 / (1 + np.exp(-np.minimum(bias + np.bincount(np.repeat(np.arange(len(sizes)), sizes), w[flat], len(sizes)), 30)))
+        none = log_none(p, 1 / (1 + math.exp(-bias)), leak, doc, n - per_doc)
+        z[own] = [log_odds(x) for x in none[own]]
+    return z
+
+
 def fit_bags(y: np.ndarray, n: np.ndarray, flat: np.ndarray, sizes: np.ndarray, per_doc: np.ndarray, words: int) -> tuple[float, float, np.ndarray]:
     """y: labels; n: sentences of each document; per_doc of them have known words: sizes[i] word numbers each, in flat. Returns bias, leak, weights.
 
@@ -103,7 +148,7 @@ def fit_bags(y: np.ndarray, n: np.ndarray, flat: np.ndarray, sizes: np.ndarray,
         z = theta[-2] + np.bincount(sent, theta[flat], len(sizes))
         p = 1 / (1 + np.exp(-z))
         p0, leak = 1 / (1 + np.exp(-theta[-2])), 1 / (1 + np.exp(-theta[-1]))
-        none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(y)) + plain * np.log1p(-p0) + np.log1p(-leak)  # log of "no sentence"
+        none = log_none(p, p0, leak, doc, plain)
         keep = np.exp(none)
         pull = np.where(y > 0, -keep / np.maximum(1 - keep, 1e-9), 1.0)  # d loss / d (-none)
         gz = p * pull[doc]
@@ -124,8 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace | None = None) -> Mode
     Without labelled rows, or without a word that toxic ones prefer, all texts score close to the leak."""
     ws = ws or Workspace(docs.sparkSession, "toxic")
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("long").alias("toxic"))
-    picked = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id", "toxic")
-    sample = ws.save(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"), "sample")  # at most SAMPLE rows are broadcast
+    picked = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(SAMPLE).select("doc_id", "toxic", "h")
+    sample = ws.save(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "h"), "sample")  # at most SAMPLE rows are broadcast
     count, toxic = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not count:
         return Model(-7.0, 0.02, {})
@@ -134,12 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace | None = None) -> Mode
     expected = F.col("n") * F.lit(rate)
     best = df.where((F.col("t") >= LEAST_DOCS) & (F.col("t") > 1.5 * expected)).withColumn("gain", (F.col("t") - expected) ** 2 / expected)
     words = [r[0] for r in best.orderBy(F.desc("gain"), "word").limit(VOCABULARY).select("word").collect()]
-    bags = sample.mapInArrow(_bags({w: i for i, w in enumerate(words)}), "toxic long, n long, flat array<int>, sizes array<int>").toPandas()
+    bags = sample.mapInArrow(_bags({w: i for i, w in enumerate(words)}), "toxic long, n long, flat array<int>, sizes array<int>, h long").toPandas().sort_values("h", kind="stable")
     per_doc = np.array([len(s) for s in bags["sizes"]], np.int64)
     joined = lambda c: np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in bags[c]]])
-    bias, leak, w = fit_bags(bags["toxic"].to_numpy(float), bags["n"].to_numpy(float), joined("flat"), joined("sizes"), per_doc, len(words))
+    data = bags["toxic"].to_numpy(float), bags["n"].to_numpy(float), joined("flat"), joined("sizes"), per_doc, len(words)
+    bias, leak, w = fit_bags(*data)
+    stretch, shift = calibrate(held_out_odds(*data, bags["h"].to_numpy() % FOLDS), data[0])
     ws.drop(sample)
-    return Model(bias, leak, {k: float(x) for k, x in zip(words, w)})
+    return Model(bias, leak, {k: float(x) for k, x in zip(words, w)}, stretch, shift)
 
 
 def score_text(text: str | None, model: Model, plain: float | None = None) -> dict:
@@ -157,7 +204,8 @@ def score_text(text: str | None, model: Model, plain: float | None = None) -> di
         none += math.log1p(-p)
         if p >= OFFENDING:
             worst.append({"start": start, "end": end, "score": p})
-    score = -math.expm1(none)
+    z = model.stretch * log_odds(none) + model.shift
+    score = 1 / (1 + math.exp(-z)) if z > -700 else 0.0
     return {"score": score, "predicted": int(score >= THRESHOLD), "sentences": n, "offending": worst}
 
 
@@ -167,7 +215,7 @@ def scorer(model: Model):
     @arrow_udf(_RESULT)
     def score(texts: pa.Array) -> pa.Array:
         plain = float(np.log1p(-1 / (1 + np.exp(-model.bias))))
-        return pa.array([score_text(t, model, plain) for t in texts.to_pylist()], pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("sentences", pa.int32()), ("offending", _OFFENDING)]))
+        return pa.array([score_text(t.as_py(), model, plain) for t in texts], pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("sentences", pa.int32()), ("offending", _OFFENDING)]))
 
     return score
 
