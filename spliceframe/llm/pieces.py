@@ -4,26 +4,29 @@ The pieces of a vocabulary that match a text form a lattice over its characters.
 weights. Forward filtering sums the weights of all paths to each place; backward sampling draws the last piece in proportion to what it adds,
 then the one before it, and so on: an exact draw of a whole path. No piece continues past a space mark, so the lattice falls apart into
 units (a run of spaces and what follows), whose sums are computed once for each distinct unit and drawn from at each occurrence, all units
-of a chunk side by side. Random numbers come from a hash of the row's key, the unit's number and the step, so a row's segmentation
+of a chunk side by side; a unit of more than LONG characters is walked by itself and keeps one number a character. Random numbers come from a hash of the row's key, the unit's number and the step, so a row's segmentation
 depends on nothing but its key and text. Characters without a piece become byte pieces, as does a space mark that stands in the text itself.
 Piece files give ranks, not probabilities: a piece's weight is (rank + RANK_SHIFT) ** -alpha.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from spliceframe.llm.common import mix
 
-ALPHA, RANK_SHIFT, CHUNK_CHARS, UNKNOWN = 1.0, 10.0, 1_000_000, 1e-9
+ALPHA, RANK_SHIFT, CHUNK_CHARS, UNKNOWN, LONG = 1.0, 10.0, 600_000, 1e-9, 256
 _MARK, _LITERAL = "▁", "\ud800"  # the second stands for a mark of the text itself: no valid text holds a lone surrogate
 _UNIT = re.compile(f"{_MARK}+[^{_MARK}]*|[^{_MARK}]+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -116,9 +119,9 @@ def _matches(codes: np.ndarray, left: np.ndarray, v: Vocabulary):
             yield n, at[ok], piece[ok]
 
 
-def lattices(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Forward sums of all units. Edges in order of the node they lead to: node + running share of the weight that reaches it, piece, node they come
-    from; and each unit's first and last node. A negative piece is -1 - c for a character c that no piece covers."""
+def lattices(units: list[str], v: Vocabulary) -> tuple[np.ndarray, ...]:
+    """Forward sums of all units. Edges in order of the node they lead to: running share of the weight that reaches it; the first edge of each node; piece,
+    node they come from; and each unit's first and last node. A negative piece is -1 - c for a character c that no piece covers."""
     lens = np.array([len(u) for u in units])
     codes = _codes("".join(units))
     ends = np.cumsum(lens)
@@ -159,43 +162,110 @@ def lattices(units: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray, n
         s = np.add.reduceat(x, new)
         value[e] = x / np.repeat(s, np.diff(np.append(new, len(e))))
         scale[to] = top + np.log(s)
-    run = np.cumsum(value)
-    head = np.concatenate([[True], dst[1:] != dst[:-1]])
-    size = np.diff(np.append(np.flatnonzero(head), len(dst)))
-    share = np.minimum(run - np.repeat((run - value)[head], size), 1.0)
-    share[np.append(np.flatnonzero(head)[1:], len(dst)) - 1] = 1.0
-    return share + dst, piece, src, first, first + lens
+    # Running shares begin anew at each node, in the order of its edges, so that they depend on the unit alone.
+    head = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]])[: len(dst)])
+    size = np.diff(np.append(head, len(dst)))
+    share = value.copy()
+    at, left = head, size
+    while (more := left > 1).any():
+        at, left = at[more] + 1, left[more] - 1
+        share[at] += share[at - 1]
+    share[head + size - 1] = 1.0
+    begin = np.zeros(total + 1, np.int64)
+    begin[dst[head] + 1] = size
+    return share, np.cumsum(begin), piece, src, first, first + lens
+
+
+def _edges(unit: str, at: int, v: Vocabulary) -> list[tuple[int, int, float]]:
+    """Pieces that end at a place, shortest first, where they begin, and their weights; a character without a piece as in lattices()."""
+    out = []
+    for start in range(at - 1, max(at - max(v.tables), 0) - 1, -1):
+        p = v.ids.get(unit[start:at])
+        if p is not None:
+            out.append((p, start, float(v.weights[p])))
+        elif start == at - 1:
+            out.append((-1 - ord(unit[start]), start, UNKNOWN))
+    return out
+
+
+def _sums(unit: str, v: Vocabulary) -> array:
+    """Logarithm of the summed weights of all paths to each place of a long unit."""
+    sums = array("d", [0.0])
+    for at in range(1, len(unit) + 1):
+        edges = _edges(unit, at, v)
+        top = max(sums[start] for _, start, _ in edges)
+        sums.append(top + math.log(sum(w * math.exp(sums[start] - top) for _, start, w in edges)))
+    return sums
+
+
+_MASK = (1 << 64) - 1
+
+
+def _mix(x: int) -> int:
+    x &= _MASK
+    x = (x ^ (x >> 33)) * 0xFF51AFD7ED558CCD & _MASK
+    x = (x ^ (x >> 33)) * 0xC4CEB9FE1A85EC53 & _MASK
+    return x ^ (x >> 33)
+
+
+def _walk(unit: str, sums: array, seed: int, v: Vocabulary) -> list[int]:
+    """A path through a long unit, drawn from its end with the same random numbers as any other."""
+    at, step, out = len(unit), 0, []
+    while at:
+        step += 1
+        left = (_mix(seed + step * int(_GOLD)) >> 11) * 2.0**-53
+        for piece, start, w in (edges := _edges(unit, at, v)):
+            left -= w * math.exp(sums[start] - sums[at])
+            if left < 0:
+                break
+        else:
+            piece, start, _ = edges[-1]
+        out.append(piece)
+        at = start
+    return out[::-1]
 
 
 def encode_many(texts: list[str | None], keys: np.ndarray, v: Vocabulary) -> list[np.ndarray]:
     """Sampled piece ids of each text; keys: one unsigned 64-bit number for each."""
     seen: dict[str, int] = {}
-    units, counts = [], []
+    units, counts, long = [], [], {}
     for t in texts:
         raw = (t or "").replace(_MARK, _LITERAL).replace(" ", _MARK)
-        own = [seen.setdefault(u, len(seen)) for u in _UNIT.findall(raw)]
-        units += own
+        own = _UNIT.findall(raw)
+        long.update((len(units) + i, u) for i, u in enumerate(own) if len(u) > LONG)
+        units += [seen.setdefault(u, len(seen)) if len(u) <= LONG else -1 for u in own]
         counts.append(len(own))
     if not units:
         return [np.zeros(0, np.int32) for _ in texts]
-    share, piece, origin, starts, ends = lattices(list(seen), v)
     unit, counts = np.array(units), np.array(counts)
     number = np.arange(len(unit)) - np.repeat(np.cumsum(counts) - counts, counts)
     seed = mix(np.repeat(keys, counts) + number.astype(np.uint64) * _GOLD)
-    node, active, steps = ends[unit], np.arange(len(unit)), []
-    lengths = np.zeros(len(unit), np.int64)
-    while len(active):
-        u = (mix(seed[active] + np.uint64((len(steps) + 1) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * (2.0**-53 * (1 - 1e-9))  # node + u stays below node + 1
-        e = np.searchsorted(share, node + u, "right")
-        steps.append((active, piece[e]))
-        lengths[active] += 1
-        node = origin[e]
-        more = node != starts[unit[active]]
-        node, active = node[more], active[more]
+    lengths, steps = np.zeros(len(unit), np.int64), []
+    if seen:
+        share, begin, piece, origin, starts, ends = lattices(list(seen), v)
+        active = np.flatnonzero(unit >= 0)
+        node = ends[unit[active]]
+        while len(active):
+            u = (mix(seed[active] + np.uint64((len(steps) + 1) * int(_GOLD) & _MASK)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            e, open_ = begin[node], np.arange(len(node))  # a node has as many edges as lengths of pieces at most
+            while len(open_):
+                open_ = open_[share[e[open_]] <= u[open_]]
+                e[open_] += 1
+            steps.append((active, piece[e]))
+            lengths[active] += 1
+            node = origin[e]
+            more = node != starts[unit[active]]
+            node, active = node[more], active[more]
+    sums = {u: _sums(u, v) for u in set(long.values())}
+    walked = {i: _walk(u, sums[u], int(seed[i]), v) for i, u in long.items()}
+    for i, path in walked.items():
+        lengths[i] = len(path)
     stop = np.cumsum(lengths)
     ids = np.zeros(int(stop[-1]), np.int32)
     for k, (who, p) in enumerate(steps):
         ids[stop[who] - 1 - k] = p
+    for i, path in walked.items():
+        ids[stop[i] - len(path) : stop[i]] = path
     bounds = np.concatenate([[0], stop])[np.cumsum(counts)]
     return [_with_bytes(x, v) for x in np.split(ids, bounds[:-1])]
 
@@ -217,14 +287,14 @@ def decode(ids, v: Vocabulary) -> bytes:
     return b"".join(map(v.bytes_of.__getitem__, np.asarray(ids).tolist()))
 
 
-def chunks(texts: list[str | None]) -> Iterator[slice]:
-    """Slices of about CHUNK_CHARS characters, so that memory follows the chunk and not the batch."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= CHUNK_CHARS or i + 1 == len(texts):
-            yield slice(start, i + 1)
-            start, size = i + 1, 0
+def chunks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Start and length of runs of texts of about CHUNK_CHARS in all, so that memory follows the chunk and not the batch."""
+    start, held = 0, 0
+    for i, n in enumerate(sizes):
+        held += n
+        if held >= CHUNK_CHARS or i + 1 == len(sizes):
+            yield start, i + 1 - start
+            start, held = i + 1, 0
 
 
 def encoder(path: str | None = None, alpha: float = ALPHA, with_ids: bool = True):
@@ -233,14 +303,14 @@ def encoder(path: str | None = None, alpha: float = ALPHA, with_ids: bool = True
 
     @arrow_udf("struct<n_pieces:long,lossless:boolean,ids_sha256:string,piece_ids:array<int>>")
     def encode(key: pa.Array, text: pa.Array) -> pa.Array:
-        v, texts, out = load(path, alpha), text.to_pylist(), []
+        v, out, lists = load(path, alpha), [], []
         keys = key.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        for part in chunks(texts):
-            for t, ids in zip(texts[part], encode_many(texts[part], keys[part], v)):
-                same = decode(ids, v) == (t or "").encode("utf-8", "surrogatepass")
-                out.append((len(ids), same, hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest(), ids if with_ids else None))
-        lists = pa.array([o[3] for o in out], pa.list_(pa.int32()))
-        return pa.StructArray.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.string()), lists], ["n_pieces", "lossless", "ids_sha256", "piece_ids"])
+        for at, n in chunks(pc.fill_null(pc.binary_length(text), 0).to_pylist()):
+            texts = text.slice(at, n).to_pylist()
+            coded = encode_many(texts, keys[at : at + n], v)
+            out += [(len(ids), decode(ids, v) == (t or "").encode("utf-8", "surrogatepass"), hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest()) for t, ids in zip(texts, coded)]
+            lists.append(pa.array(coded, pa.list_(pa.int32())) if with_ids else pa.nulls(n, pa.list_(pa.int32())))
+        return pa.StructArray.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.bool_()), pa.array([o[2] for o in out], pa.string()), pa.concat_arrays(lists) if lists else pa.array([], pa.list_(pa.int32()))], ["n_pieces", "lossless", "ids_sha256", "piece_ids"])
 
     return encode
 
