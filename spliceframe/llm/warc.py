@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from spliceframe.llm.common import Workspace
 
-LEAST_REVISIT, RANGE_BYTES, ARCHIVE_BYTES, CHUNK = 100, 32 << 20, 256 << 20, 1 << 20
+LEAST_REVISIT, RANGE_BYTES, ARCHIVE_BYTES, CHUNK, MEMBER_BYTES = 100, 32 << 20, 256 << 20, 1 << 20, 1 << 31
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _RECORD = "path string, offset long, length long, kind string, record_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary, reason string"
@@ -124,13 +124,17 @@ def _parse(raw: bytes) -> tuple[dict, bytes, int] | None:
 
 def _inflate(win: _Bytes, at: int) -> tuple[bytes, int]:
     """The member at a place and its length; raises zlib.error if it is damaged or cut off."""
-    z, parts, pos = zlib.decompressobj(31), [], at
+    z, parts, pos, out = zlib.decompressobj(31), [], at, 0
     while not z.eof:
         piece = win.get(pos, CHUNK)
         if not piece:
             raise zlib.error("cut off")
-        parts.append(z.decompress(piece))
         pos += len(piece)
+        while piece and not z.eof:
+            parts.append(z.decompress(piece, CHUNK))
+            out, piece = out + len(parts[-1]), z.unconsumed_tail
+            if out > MEMBER_BYTES:
+                raise zlib.error(f"inflates to more than {MEMBER_BYTES} bytes")
     return b"".join(parts), pos - len(z.unused_data) - at
 
 
@@ -261,10 +265,11 @@ def read_archives(archives: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, ws: Workspace | None = None) -> DataFrame:
-    """Writes pages and reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to for each record."""
+    """Writes pages and reads the archives back: page_id, payload_bytes, payload_digest, record_type, refers_to for each record. A gap in what was just written raises."""
     ws = ws or Workspace(pages.sparkSession, "archives")
     page = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-page:(-?\d*)>$", 1), F.lit("")).cast("long")
-    return read_archives(write_archives(pages, ws)).where("kind <> 'gap'").select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
+    whole = F.when(F.col("kind") == "gap", F.raise_error(F.concat(F.col("path"), F.lit(" is damaged at "), F.col("offset").cast("string"), F.lit(": "), F.col("reason")))).otherwise(F.col("kind"))
+    return read_archives(write_archives(pages, ws)).withColumn("kind", whole).select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), page("refers_to").alias("refers_to"))
 
 
 def archive_table(spark: SparkSession, paths: list[str]) -> DataFrame:
