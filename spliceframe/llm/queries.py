@@ -29,7 +29,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.encode_documents(_table(spark, sf_dir, "documents"), with_ids=False).drop("piece_ids")
+    return pieces.encode_documents(_table(spark, sf_dir, "documents"))
 
 
 def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).drop("matches", "line")
+    out = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    places = F.array_join(F.transform(F.array_sort(F.transform("matches", lambda m: F.struct(m["license"].alias("license"), m["line"].alias("line")))), lambda m: F.concat(m["license"], F.lit("@"), m["line"].cast("string"))), ",")
+    return out.select("doc_id", "license", "score", "line", "n_matches", places.alias("places"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,8 +117,8 @@ w AS (SELECT r, line, string_split(trim(regexp_replace(translate(t, 'ABCDEFGHIJK
 b AS (SELECT r, line, list_distinct([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) AS g FROM w),
 m AS (SELECT r, line, license, 2 * len(list_intersect(g, grams)) / (len(g) + len(grams))::DOUBLE AS score FROM b, {_license_templates()}
   WHERE len(g) > 0 AND 200 * len(list_intersect(g, grams)) >= 75 * (len(g) + len(grams))),
-k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, license, line) AS n, count(*) OVER (PARTITION BY r) AS n_matches FROM m)
-SELECT doc_id, license, score, coalesce(n_matches, 0) AS n_matches FROM l LEFT JOIN k ON k.r = l.r AND k.n = 1""",
+k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, license, line) AS n, count(*) OVER (PARTITION BY r) AS n_matches, string_agg(license || '@' || line, ',' ORDER BY license, line) OVER (PARTITION BY r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS places FROM m)
+SELECT doc_id, license, score, line, coalesce(n_matches, 0) AS n_matches, coalesce(places, '') AS places FROM l LEFT JOIN k ON k.r = l.r AND k.n = 1""",
     "op8_near_dedup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS ws FROM documents),
 s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
