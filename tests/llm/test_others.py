@@ -167,6 +167,81 @@ def test_pieces_follow_path_weights():
     assert pieces.decode(pieces.encode_many([long], np.array([1], np.uint64), v)[0], v) == long.encode()
 
 
+def test_a_segmentation_depends_on_key_and_text_alone():
+    import random
+
+    v, rng = pieces.load(), random.Random(2)
+    letters = "abcdefghijklmnopqrstuvwxyzäöü漢字 "
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 60))) for _ in range(70_000)] + ["x" * 3000, "漢字かな" * 500, ""]
+    keys = np.array([rng.getrandbits(64) for _ in texts], np.uint64)
+    among = pieces.encode_many(texts, keys, v)
+    units = {u for t in texts for u in pieces._UNIT.findall(t.replace(" ", pieces._MARK))}
+    assert len(units) > 100_000
+    for i in [*rng.sample(range(len(texts)), 300), len(texts) - 3, len(texts) - 2]:
+        assert np.array_equal(among[i], pieces.encode_many([texts[i]], keys[i : i + 1], v)[0])
+    alone, many = pieces.lattices(["▁wordlike"], v), pieces.lattices([*sorted(units)[:100_000], "▁wordlike"], v)
+    assert np.array_equal(alone[0], many[0][-len(alone[0]) :])
+
+
+def test_long_units_are_drawn_like_short_ones(monkeypatch):
+    v = pieces.load()
+    text, n = "antidis", 4000
+    keys = np.arange(n).astype(np.uint64)
+    short = Counter(tuple(x.tolist()) for x in pieces.encode_many([text] * n, keys, v))
+    monkeypatch.setattr(pieces, "LONG", 3)
+    long = Counter(tuple(x.tolist()) for x in pieces.encode_many([text] * n, keys, v))
+    assert long == short  # the same random numbers meet the same shares
+    monkeypatch.undo()
+    text = "漢字仮名ab" * 17_000  # 102,000 characters without a space
+    assert pieces.decode(pieces.encode_many([text], np.array([1], np.uint64), v)[0], v) == text.encode()
+
+
+def test_toxicity_by_hand(monkeypatch):
+    """The noisy-or score of a text, and the first step of the fit against numeric slopes of the likelihood."""
+    import math
+
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    model = toxicity.Model(-5.0, 0.02, {"vile": 6.0, "^hated": 2.5, "mean": 3.0})
+    got = toxicity.score_text("A vile one. Nothing here! Hateddog is mean", model)
+    want = 1 - (1 - 0.02) * (1 - sig(1.0)) * (1 - sig(-5.0)) * (1 - sig(0.5))
+    assert got["score"] == pytest.approx(want, abs=1e-12) and got["sentences"] == 3 and [(o["start"], o["end"]) for o in got["offending"]] == [(0, 10), (25, 42)]
+    model.stretch, model.shift = 2.0, -1.0
+    assert toxicity.score_text("A vile one. Nothing here! Hateddog is mean", model)["score"] == pytest.approx(sig(2 * math.log(want / (1 - want)) - 1), abs=1e-12)
+
+    bags = [(1, [[0], [1, 2]], 3), (0, [[1]], 2), (1, [[2, 3]], 1), (0, [[3], [0, 3]], 4), (0, [], 2)]
+
+    def loss(theta):
+        out = 0.0
+        for y, sents, n in bags:
+            none = math.log(1 - sig(theta[5])) + (n - len(sents)) * math.log(1 - sig(theta[4])) + sum(math.log(1 - sig(theta[4] + sum(theta[i] for i in s))) for s in sents)
+            out -= math.log(1 - math.exp(none)) if y else none
+        return out / len(bags)
+
+    start = [0.0] * 4 + [-7.0, -4.0]
+    slope = [(loss([t + (i == k) * 1e-5 for i, t in enumerate(start)]) - loss([t - (i == k) * 1e-5 for i, t in enumerate(start)])) / 2e-5 for k in range(6)]
+    monkeypatch.setattr(toxicity, "ROUNDS", 1)
+    flat, sizes = [i for _, ss, _ in bags for s in ss for i in s], [len(s) for _, ss, _ in bags for s in ss]
+    bias, leak, w = toxicity.fit_bags(np.array([b[0] for b in bags], float), np.array([b[2] for b in bags], float), np.array(flat), np.array(sizes), np.array([len(b[1]) for b in bags]), 4)
+    step = [*w, bias + 7.0, math.log(leak / (1 - leak)) + 4.0]
+    assert step == pytest.approx([-toxicity.RATE * np.sign(g) for g in slope], abs=1e-3)  # the first step of Adam has the rate's length
+
+    rng = np.random.default_rng(1)
+    z = rng.normal(size=4000) * 2
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(1.7 * z - 0.8)))).astype(float)
+    assert toxicity.calibrate(z, y) == pytest.approx((1.7, -0.8), abs=0.2) and toxicity.calibrate(z, np.zeros(4000)) == (1.0, 0.0)
+
+
+def test_a_member_that_inflates_without_end_is_a_gap(monkeypatch):
+    import gzip
+    import io
+
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    good = warc._member(warc.record_bytes(1, "http://a/", b"x" * 500, hashlib.sha256(b"x" * 500).hexdigest()))
+    raw = good + gzip.compress(b"WARC/1.1\r\n" + b"0" * (64 << 20)) + good
+    got = list(warc.salvage(io.BytesIO(raw), len(raw), 0, len(raw)))
+    assert [g[2] is not None for g in got] == [True, False, True] and "inflates" in got[1][5] and sum(g[1] for g in got) == len(raw)
+
+
 def exact_neighbours(rows, k=20):
     ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
     out = {}
@@ -200,6 +275,41 @@ def test_vectors(spark):
     assert vector_search.nearest(d.where("vec_id >= 5000")).count() == 0 and vector_search.nearest(d.where("vec_id = 0")).count() == 0
 
 
+def test_clustered_vectors_are_pruned(spark, tmp_path):
+    """Recall where lists tell clusters apart, and how little is scanned for it."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(150, 24))
+    x = centres[rng.integers(0, 150, 12_000)] + 0.25 * rng.normal(size=(12_000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    ws, kept = Workspace(spark, "t"), {}
+    save = ws.save
+    ws.save = lambda df, name: kept.setdefault(name, save(df, name))
+    got = defaultdict(set)
+    for r in vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, ws=ws).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    s = x[::100] @ x.T
+    want = {100 * q: {int(j) for j in np.argsort(-row)[:21] if j != 100 * q} for q, row in enumerate(s)}
+    assert np.mean([len(got[q] & set(sorted(want[q], key=lambda j: -s[q // 100][j])[:20])) for q in want]) >= 0.9 * 20
+    sizes = {r[0]: r[1] for r in kept["postings"].groupBy("list").count().collect()}
+    read = sum(sizes[r[0]] for r in kept["reads"].select("list").collect())
+    assert read < 0.1 * len(want) * len(x)
+
+
+def test_odd_vectors(spark):
+    rows = [(20, [1e200, 2.0]), (40, [1e200, 0.0]), (60, [3.0, 1.0]), (80, [1.0]), (100, [-1e200, 1e200, 5.0]), (120, [1e-300]), (140, None)]
+    got = defaultdict(list)
+    for r in vector_search.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    x = {i: np.pad(v, (0, 3 - len(v))) for i, v in rows if v}
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in x:
+            s = {i: float((x[q] * x[i]).sum()) for i in x if i != q}
+            order = sorted(s, key=lambda i: (s[i] != s[i], -s[i], i))
+            assert [v for v, _ in got[q]] == order and all(a == s[i] or a != a for i, a in got[q])
+    assert set(got) == set(x)
+
+
 def test_graph_search_finds_nearest_centroids():
     rng = np.random.default_rng(2)
     c = rng.normal(size=(400, 8))
