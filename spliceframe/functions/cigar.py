@@ -37,4 +37,5 @@ def junction_offsets(cigar: Column, ref_consuming_only: bool = False) -> Column:
             F.when(acc["on"] & (x["op"] == "N"), F.concat(acc["js"], F.array(here))).otherwise(acc["js"]).cast(_JUNCTIONS).alias("js"),
         )
 
-    return F.aggregate(cigar, start, step, lambda a: a["js"])
+    # Most reads skip nothing and need no walk.
+    return F.when(F.exists(cigar, lambda x: x["op"] == "N"), F.aggregate(cigar, start, step, lambda a: a["js"])).otherwise(F.array().cast(_JUNCTIONS))
