@@ -101,7 +101,7 @@ def test_intervals_of_counts(spark):
 
 def test_sequences(spark):
     d = spark.createDataFrame([("ATGGCNTAAg",)], "s string")
-    assert d.select(annotation.translate(F.col("s")), annotation.reverse_complement(F.col("s"))).first()[:] == ("MX.", "cTTANGCCAT")
+    assert d.select(annotation.translate(F.col("s")), annotation.reverse_complement(F.col("s"))).first()[:] == ("MA.", "cTTANGCCAT")
     assert spark.createDataFrame([("MGAYTARAYSARTRANNNacuGGNATHWWW-",)], "s string").select(annotation.translate(F.col("s"))).first()[0] == "RLBZ.XTGIX"
     exons = spark.createDataFrame([("t", "c", "-", 1, 3), ("t", "c", "-", 6, 8)], "tx string, ref_name string, strand string, start long, end long")
     assert annotation.spliced_sequence(exons, spark.createDataFrame([("c", "AACGGTTTGG")], "ref_name string, seq string"), ["tx"]).first()["sequence"] == "AAAGTT"
