@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spliceframe.model import Options
@@ -255,3 +255,77 @@ def event_lines(spark, sf_dir):
     genes, events = fx.genes(spark, sf_dir, wide=True), fx.events(spark, sf_dir)
     psi = events.withColumns({"ase_type": F.lit("SE"), "count_in": F.col("ase_id") % 4 / 4, "count_out": F.col("ase_id") % 8 / 8, "psi": F.when(F.col("ase_id") % 3 == 0, F.lit(float("nan"))).otherwise(0.5), "psi_lb": F.lit(0.0), "psi_ub": F.lit(1.0)})
     return sinks.event_rows(psi, splicing.owners(events, genes, BY), genes)
+
+
+#: Exons of transcripts in blocks of 16, of which some share structures: the same places, some shifted.
+_AT = "CAST(floor(l_orderkey / 16) AS BIGINT) * 2000 + CAST(floor(l_orderkey % 16 / 4) AS BIGINT) * 250 + l_linenumber * 50 + CASE WHEN l_suppkey % 5 = 0 THEN 3 ELSE 0 END"
+_EXONS = f"x AS (SELECT l_orderkey AS t, CASE WHEN l_orderkey % 2 = 0 THEN '-' ELSE '+' END AS strand, {_AT} AS s, {_AT} + 20 + l_partkey % 3 * 10 AS e FROM lineitem)"
+
+
+def _blocks(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS tx_id", "CASE WHEN l_orderkey % 2 = 0 THEN '-' ELSE '+' END AS strand", f"{_AT} AS start", f"{_AT} + 20 + l_partkey % 3 * 10 AS end")
+
+
+@query(f"""SELECT strand, t AS tx_id, min(u) AS locus FROM (WITH RECURSIVE {_EXONS}, p AS (SELECT DISTINCT a.strand, a.t, b.t AS u FROM x a JOIN x b ON a.strand = b.strand AND a.s <= b.e AND b.s <= a.e),
+ r AS (SELECT * FROM p UNION SELECT r.strand, r.t, p.u FROM r JOIN p ON p.strand = r.strand AND p.t = r.u) SELECT * FROM r) GROUP BY 1, 2""")
+def exon_loci(spark, sf_dir):
+    return annotation.exon_loci(_blocks(spark, sf_dir), ["strand"], "tx_id")
+
+
+_RUNS = f"""{_EXONS}, o AS (SELECT *, max(e) OVER (PARTITION BY t ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY t ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM o), m AS (SELECT strand, t, isle, min(s) AS s, max(e) AS e FROM i GROUP BY 1, 2, 3)"""
+
+
+@query(f"""{_RUNS}, n AS (SELECT *, lead(s) OVER (PARTITION BY t ORDER BY s) AS nxt FROM m),
+c AS (SELECT strand, t, min(s) AS s, max(e) AS e, coalesce(list({{s: e + 1, e: nxt - 1}} ORDER BY s) FILTER (WHERE nxt IS NOT NULL), []) AS i, coalesce(string_agg(',' || (e + 1) || '-' || (nxt - 1), '' ORDER BY s) FILTER (WHERE nxt IS NOT NULL), '') || ',' AS k FROM n GROUP BY 1, 2)
+SELECT a.strand, a.t AS a, b.t AS b, CASE WHEN len(a.i) = 0 AND len(b.i) = 0 THEN (least(a.e, b.e) - greatest(a.s, b.s) + 1) * 10 >= (greatest(a.e - a.s, b.e - b.s) + 1) * 8 ELSE a.k = b.k END AS same,
+ a.s >= b.s AND a.e <= b.e AND CASE WHEN len(a.i) = 0 THEN len(list_filter(b.i, lambda v: v.s <= a.e AND v.e >= a.s)) = 0 ELSE contains(b.k, a.k) END AS within
+FROM c a JOIN c b ON a.strand = b.strand AND a.t <> b.t AND a.s <= b.e AND b.s <= a.e""")
+def transcript_matches(spark, sf_dir):
+    return annotation.transcript_matches(annotation.intron_chains(_blocks(spark, sf_dir), ["strand", "tx_id"]), ["strand"], "tx_id")
+
+
+@query(f"""{_RUNS}, g AS (SELECT t, strand, min(s) + t % 150 AS c0, max(e) - t % 70 AS c1, t % 4 AS phase FROM m GROUP BY 1, 2),
+j AS (SELECT g.*, b, unnest(range(m.s, m.e + 1)) AS pos FROM g JOIN (SELECT *, 1 AS b FROM m) m USING (t)),
+n AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY CASE WHEN strand = '-' THEN -pos ELSE pos END) AS place FROM j), k AS (SELECT *, CASE WHEN phase IN (1, 2) THEN phase ELSE 0 END AS skip FROM n)
+SELECT t AS tx_id, c0 + CASE WHEN strand = '+' THEN skip ELSE 0 END AS cds_start, c1 - CASE WHEN strand = '-' THEN skip ELSE 0 END AS cds_end,
+ coalesce(max(place + skip) FILTER (WHERE pos = CASE WHEN strand = '-' THEN c1 ELSE c0 END), 0) AS mrna_start, coalesce(max(place) FILTER (WHERE pos = CASE WHEN strand = '-' THEN c0 ELSE c1 END), 0) AS mrna_end FROM k GROUP BY t, strand, c0, c1, skip""")
+def cds_coordinates(spark, sf_dir):
+    exons = annotation.merged_exons(_blocks(spark, sf_dir), ["tx_id", "strand"])
+    cds = exons.groupBy("tx_id").agg((F.min("start") + F.col("tx_id") % 150).alias("c_start"), (F.max("end") - F.col("tx_id") % 70).alias("c_end")).withColumn("phase", F.col("tx_id") % 4)
+    return annotation.cds_coordinates(exons, cds, ["tx_id"])
+
+
+@query("""SELECT p_partkey AS line_no FROM part WHERE p_partkey % 5 <> 1 AND NOT (p_partkey % 5 = 2 AND p_partkey % 3 = 0) AND NOT (p_partkey % 5 = 3 AND p_partkey % 3 < 2) AND NOT (p_partkey % 5 = 4 AND p_partkey % 3 = 1)""")
+def pseudogene_filter(spark, sf_dir):
+    kind = "CASE p_partkey % 5 WHEN 1 THEN 'pseudogene' WHEN 4 THEN 'locus' ELSE 'gene' END"
+    attrs = "CASE p_partkey % 5 WHEN 2 THEN concat('ID=a;pseudo=', element_at(array('true', 'no', 'false'), CAST(p_partkey % 3 AS INT) + 1)) WHEN 3 THEN concat('IsPseudogene=\"', element_at(array('Yes', '1', '0'), CAST(p_partkey % 3 AS INT) + 1), '\";ID=b') WHEN 4 THEN CASE WHEN p_partkey % 3 = 1 THEN 'ID=c;transcripts=t1,t2' ELSE 'ID=c;note=pseudo' END ELSE 'ID=d' END"
+    lines = _table(spark, sf_dir, "part").selectExpr("p_partkey AS line_no", f"concat_ws('\\t', 'chr1', 's', {kind}, p_partkey, p_partkey + 9, '.', '+', '.', {attrs}) AS value")
+    return gff.without_pseudogenes(gff.parse_lines(lines)).select("line_no")
+
+
+@query("""SELECT p_partkey AS line_no, 'chr' || p_partkey % 5 AS seqid, row_number() OVER (PARTITION BY p_partkey % 5 ORDER BY p_partkey % 40, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END, p_partkey % 40 + p_size, 'i' || p_partkey) AS place FROM part""")
+def locus_order(spark, sf_dir):
+    line = "concat_ws('\\t', concat('chr', p_partkey % 5), 's', CASE p_partkey % 3 WHEN 0 THEN 'gene' WHEN 1 THEN 'mRNA' ELSE 'exon' END, p_partkey % 40, p_partkey % 40 + p_size, '.', '+', '.', concat('ID=i', p_partkey))"
+    got = gff.parse_lines(_table(spark, sf_dir, "part").selectExpr("p_partkey AS line_no", f"{line} AS value"))
+    return got.select("line_no", "seqid", F.row_number().over(Window.partitionBy("seqid").orderBy(*gff.locus_order())).cast("long").alias("place"))
+
+
+@query(f"""{_MATES} SELECT 's' AS sample_id, count(*) FILTER (WHERE r = 0) * 2 AS with_junctions, count(*) FILTER (WHERE r <> 0) * 2 AS without_junctions FROM m""")
+def mate_log(spark, sf_dir):
+    return reads.mate_log(reads.adjacent_mates(_mates(spark, sf_dir), Options()))
+
+
+@query(f"""g AS (SELECT ref_id, gene_name, g_start, sum(CASE WHEN reach IS NULL OR g_start > reach THEN 1 ELSE 0 END) OVER (PARTITION BY ref_id ORDER BY g_start, g_end ROWS UNBOUNDED PRECEDING) AS locus FROM
+ (SELECT *, max(g_end) OVER (PARTITION BY ref_id ORDER BY g_start, g_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM genes)) SELECT ref_id, CAST(locus AS BIGINT) AS locus, upper(gene_name) AS name, count(*) AS n FROM g GROUP BY ALL""")
+def locus_names(spark, sf_dir):
+    tx = fx.genes(spark, sf_dir).selectExpr("ref_id", "gene_name", "g_start AS start", "g_end AS end")
+    return annotation.locus_names(annotation.loci(tx, BY), BY).withColumn("locus", F.col("locus").cast("long"))
+
+
+@query(f"""{_EXONS}, q AS (SELECT DISTINCT t, strand, s % 2000 + 1 AS s, e - s AS n FROM x), j AS (SELECT t, strand, string_agg(substr(repeat('ACGTRGTTCA', 300), s, n + 1), '' ORDER BY s, n) AS v FROM q GROUP BY 1, 2)
+SELECT t AS tx_id, CASE WHEN strand = '-' THEN reverse(translate(v, '{annotation.LETTERS}', '{annotation.COMPLEMENTS}')) ELSE v END AS sequence FROM j""")
+def spliced_sequence(spark, sf_dir):
+    exons = _blocks(spark, sf_dir).distinct().selectExpr("tx_id", "strand", "floor(start / 2000) AS ref_name", "start % 2000 + 1 AS start", "start % 2000 + 1 + end - start AS end")
+    contigs = exons.select("ref_name").distinct().withColumn("seq", F.repeat(F.lit("ACGTRGTTCA"), 300))
+    return annotation.spliced_sequence(exons, contigs, ["tx_id"])

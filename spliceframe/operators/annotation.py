@@ -7,7 +7,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceframe.operators.intervals import islands
+from spliceframe.operators.intervals import checkpointed, islands, overlap_join
 
 #: The standard genetic code, codons in the order T, C, A, G at each place, stops as dots. Fixed value.
 CODE = "FFLLSSSSYY..CC.WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
@@ -46,6 +46,25 @@ def loci(transcripts: DataFrame, by: list[str]) -> DataFrame:
     return islands(transcripts, by, touch=0).withColumnRenamed("island", "locus")
 
 
+def exon_loci(exons: DataFrame, by: list[str], tx: str, max_rounds: int = 60) -> DataFrame:
+    """by, tx, locus: transcripts that share exon bases on one contig and strand, directly or through others; locus is the least of their ids. A transcript within another's
+    intron stays apart. exons(by, tx, start, end).
+
+    Runs of overlapping exons and transcripts hand each other their least label, and labels take their own labels, until none changes; a round is one checkpoint."""
+    runs = checkpointed(islands(exons.select(*by, tx, "start", "end"), by, touch=0).select(*by, "island", F.col(tx).alias("t")).distinct())
+    labels = checkpointed(runs.select(*by, "t").distinct().withColumn("locus", F.col("t")))
+    for _ in range(max_rounds):
+        least = runs.join(labels, [*by, "t"]).groupBy(*by, "island").agg(F.min("locus").alias("m"))
+        new = runs.join(least, [*by, "island"]).groupBy(*by, "t").agg(F.min("m").alias("m"))
+        further = labels.select(*by, F.col("t").alias("m"), F.col("locus").alias("further"))
+        new = new.join(further, [*by, "m"]).join(labels, [*by, "t"]).select(*by, "t", F.least("m", "further").alias("locus"), (F.least("m", "further") < F.col("locus")).alias("changed"))
+        new = checkpointed(new)
+        labels = new.drop("changed")
+        if new.where("changed").isEmpty():
+            return labels.withColumnRenamed("t", tx)
+    raise RuntimeError(f"loci did not settle in {max_rounds} rounds")
+
+
 def locus_names(named: DataFrame, by: list[str]) -> DataFrame:
     """by, locus, name, n: how often each gene name, in capitals, occurs in a locus. named: loci() with gene_name."""
     return named.groupBy(*by, "locus", F.upper("gene_name").alias("name")).agg(F.count("*").alias("n"))
@@ -73,12 +92,42 @@ def chain_within(a: Column, b: Column) -> Column:
     return F.when(n == 0, inside & ~F.exists(b["introns"], lambda x: (x["s"] <= a["end"]) & (x["e"] >= a["start"]))).otherwise(inside & (at > 0) & (F.slice(b["introns"], F.greatest(at, F.lit(1)).cast("int"), n) == a["introns"]))
 
 
+def transcript_matches(chains: DataFrame, by: list[str], tx: str) -> DataFrame:
+    """a, b, same, within: transcripts on one contig and strand that overlap, whether they have one structure, and whether a is redundant beside b. chains: intron_chains() with by and tx."""
+    side = lambda n, s, e: chains.select(*by, F.struct(F.col(tx).alias("tx"), "start", "end", "introns").alias(n), F.col("start").alias(s), F.col("end").alias(e))
+    met = overlap_join(side("a", "a_start", "a_end"), side("b", "b_start", "b_end"), by, left_span=("a_start", "a_end"), right_span=("b_start", "b_end")).where("a.tx <> b.tx")
+    same, within = same_structure(F.col("a"), F.col("b")), chain_within(F.col("a"), F.col("b"))
+    return met.withColumns({"same": same, "within": within}).select(*by, F.col("a.tx").alias("_a"), F.col("b.tx").alias("_b"), "same", "within").withColumnsRenamed({"_a": "a", "_b": "b"})
+
+
+def _bases_before(by: list[str]) -> Column:
+    """Bases of a transcript's segments before this one, counted along the strand."""
+    along = F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start"))
+    return F.coalesce(F.sum(F.col("end") - F.col("start") + 1).over(Window.partitionBy(*by).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def cds_coordinates(exons: DataFrame, cds: DataFrame, by: list[str]) -> DataFrame:
+    """by, cds_start, cds_end, mrna_start, mrna_end: where whole codons begin and end on the contig, and the same on the spliced transcript (from 1; 0 outside all exons).
+
+    exons(by, strand, start, end), cds(by, c_start, c_end, phase): phase bases at the coding start, by strand, belong to no whole codon."""
+    at = exons.withColumn("before", _bases_before(by)).join(cds, by)
+    minus = F.col("strand") == "-"
+    place = lambda c: F.max(F.when(F.col(c).between(F.col("start"), F.col("end")), F.col("before") + 1 + F.when(minus, F.col("end") - F.col(c)).otherwise(F.col(c) - F.col("start"))))
+    got = at.groupBy(*by, "strand", "c_start", "c_end", "phase").agg(place("c_start").alias("left"), place("c_end").alias("right"))
+    skip = F.when(F.col("phase").isin(1, 2), F.col("phase")).otherwise(0)
+    first, last = F.when(minus, F.col("right")).otherwise(F.col("left")), F.when(minus, F.col("left")).otherwise(F.col("right"))
+    return got.select(
+        *by,
+        (F.col("c_start") + F.when(minus, 0).otherwise(skip)).alias("cds_start"),
+        (F.col("c_end") - F.when(minus, skip).otherwise(0)).alias("cds_end"),
+        F.coalesce(first + skip, F.lit(0)).alias("mrna_start"),
+        F.coalesce(last, F.lit(0)).alias("mrna_end"),
+    )
+
+
 def cds_phases(cds: DataFrame, by: list[str]) -> DataFrame:
     """Adds phase: bases of a CDS segment before its first whole codon, counted along the strand. cds(by, strand, start, end)."""
-    length = F.col("end") - F.col("start") + 1
-    along = F.when(F.col("strand") == "-", -F.col("end")).otherwise(F.col("start"))
-    before = F.coalesce(F.sum(length).over(Window.partitionBy(*by).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return cds.withColumn("phase", F.pmod(-before, F.lit(3)).cast("int"))
+    return cds.withColumn("phase", F.pmod(-_bases_before(by), F.lit(3)).cast("int"))
 
 
 def reverse_complement(seq: Column) -> Column:

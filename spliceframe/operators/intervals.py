@@ -6,12 +6,24 @@ splits bins that are skewed. Counting joins weigh equal intervals first: a highl
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 512
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The table written to the folder in spark.checkpoint.dir, which outlives executors; in local mode without one, to a folder of our own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def _bins(start: Column, end: Column, width: int) -> Column:
     first, last = F.floor(start / width), F.floor(end / width)
     return F.sequence(first, F.greatest(first, last))

@@ -166,3 +166,9 @@ def fragment_junctions(frags: DataFrame) -> DataFrame:
 def run_log(frags: DataFrame) -> DataFrame:
     """Counts for the log: fragments with and without junctions, and junctions before they are aggregated."""
     return frags.groupBy("sample_id").agg(F.count_if("has_junction").alias("with_junctions"), F.count_if(~F.col("has_junction")).alias("without_junctions"), F.sum(F.size("js")).cast("long").alias("junctions"))
+
+
+def mate_log(mates: DataFrame) -> DataFrame:
+    """Counts of single reads for the log, before strandness and gap filters: with junctions and without; a mate that is missing counts as one without."""
+    n = sum(F.count_if(F.coalesce(F.size(f"{r}.js"), F.lit(0)) > 0) for r in ("r1", "r2"))
+    return mates.groupBy("sample_id").agg(n.alias("with_junctions"), (F.count("*") * 2 - n).alias("without_junctions"))

@@ -66,6 +66,19 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def without_pseudogenes(features: DataFrame) -> DataFrame:
+    """Features without pseudogenes (a type that begins with pseudo, or an attribute pseudo... or ispseudo... that begins with t, y or 1) and without locus features that list transcripts."""
+    marked = F.col("attrs").rlike(r'(?i)(?:^|;)\s*(?:is)?pseudo[^=;]*=\s*"?[ty1]')
+    locus = (F.col("type") == "locus") & F.col("attrs").rlike(r"(?:^|;)\s*transcripts\s*=")
+    return features.where(~F.col("type").startswith("pseudo") & ~marked & ~locus)
+
+
+def locus_order() -> list[Column]:
+    """Sort keys of features: contig, start, level (gene, transcript, part), end, id."""
+    level = F.when(F.col("kind") == "gene", 0).when(F.col("kind") == "transcript", 1).otherwise(2)
+    return [F.col("seqid"), F.col("start"), level, F.col("end"), F.coalesce("id", F.lit(""))]
+
+
 def read_gff(spark: SparkSession, path: str) -> DataFrame:
     return parse_lines(spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()))
 

@@ -166,3 +166,32 @@ def test_alignments_are_decoded_once(spark, files, monkeypatch):
         rows.collect()
         shown = rows._jdf.queryExecution().withCachedData().toString()
         assert ("InMemoryRelation" in shown or "LogicalRDD" in shown) and "bam" not in shown.split("InMemoryRelation")[0]
+
+
+def test_exon_loci_join_through_shared_exons_only(spark):
+    from spliceframe.operators import annotation
+
+    rows = [("c", "t4", 100, 110), ("c", "t4", 500, 510), ("c", "t2", 110, 120), ("c", "t3", 120, 130), ("c", "in", 300, 310), ("d", "t2", 500, 510), ("c", "z", 505, 506), ("c", "t2", 110, 120)]
+    got = annotation.exon_loci(spark.createDataFrame(rows, "seqid string, tx string, start long, end long"), ["seqid"], "tx")
+    assert sorted(map(tuple, got.select("seqid", "tx", "locus").collect())) == [("c", "in", "in"), ("c", "t2", "t2"), ("c", "t3", "t2"), ("c", "t4", "t2"), ("c", "z", "t2"), ("d", "t2", "t2")]
+    # A long chain settles in few rounds, as labels take their own labels.
+    chain = spark.range(400).selectExpr("'c' AS seqid", "id AS tx", "id * 10 AS start", "id * 10 + 10 AS end")
+    assert annotation.exon_loci(chain, ["seqid"], "tx", max_rounds=20).select("locus").distinct().count() == 1
+    assert annotation.exon_loci(chain.limit(0), ["seqid"], "tx").count() == 0
+
+
+def test_cds_coordinates_on_both_strands(spark):
+    from spliceframe.operators import annotation
+
+    exons = spark.createDataFrame([(t, s, a, b) for t, s in (("p", "+"), ("m", "-"), ("o", "+")) for a, b in ((11, 20), (31, 40))], "tx string, strand string, start long, end long")
+    cds = spark.createDataFrame([("p", 15, 33, 1), ("m", 15, 33, 2), ("o", 25, 33, 0)], "tx string, c_start long, c_end long, phase int")
+    got = {r["tx"]: tuple(r)[1:] for r in annotation.cds_coordinates(exons, cds, ["tx"]).collect()}
+    assert got == {"p": (16, 33, 6, 13), "m": (15, 31, 10, 16), "o": (25, 33, 0, 13)}
+
+
+def test_mate_log_counts_reads_not_fragments(spark):
+    js = "array<struct<s:bigint,e:bigint>>"
+    read = f"struct<start:bigint,end:bigint,forward:boolean,js:{js}>"
+    one, two = (1, 50, True, [(5, 9)]), (60, 90, False, [])
+    rows = spark.createDataFrame([("s", 0, one, two), ("s", 0, one, None), ("s", 0, None, two)], f"sample_id string, ref_id int, r1 {read}, r2 {read}")
+    assert tuple(reads.mate_log(rows).first()) == ("s", 2, 4)
