@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spliceframe.llm import fingerprints, licenses, mixing, near_dedup, pieces, substring_dedup, toxicity, url_filter, vector_search, warc
+from spliceframe.llm import fingerprints, licenses, mixing, near_dedup, pieces, substring_dedup, toxicity, url_filter, vector_search, warc, whitening
 from spliceframe.llm.common import WORD
 
 
@@ -59,7 +59,12 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_url_filter, op4_vector_search, op5_mixing, op6_warc, op7_licenses, op8_near_dedup, op9_fingerprints, op10_substring_dedup)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(_table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_url_filter, op4_vector_search, op5_mixing, op6_warc, op7_licenses, op8_near_dedup, op9_fingerprints, op10_substring_dedup, op11_whitening)}
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
