@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spliceframe.llm import fingerprints, licenses, mixing, near_dedup, pieces, substring_dedup, toxicity, url_filter, vector_search, warc, whitening
+from spliceframe.llm import collocations, fingerprints, licenses, metric_tree, mixing, near_dedup, pieces, substring_dedup, toxicity, url_filter, vector_search, warc, whitening
 from spliceframe.llm.common import WORD
 
 
@@ -64,7 +64,15 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_url_filter, op4_vector_search, op5_mixing, op6_warc, op7_licenses, op8_near_dedup, op9_fingerprints, op10_substring_dedup, op11_whitening)}
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.exact_top_k(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_url_filter, op4_vector_search, op5_mixing, op6_warc, op7_licenses, op8_near_dedup, op9_fingerprints, op10_substring_dedup, op11_whitening, op12_collocations, op13_exact_top_k)}
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -135,6 +143,28 @@ r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.r
 m AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
 FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op12_collocations": rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(coalesce({_LOWER}, ''), '[^.,;:!?\x0A-\x0D]+')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+g AS (SELECT lang, k, unnest([array_to_string(ws[i:i+k-1], ' ') for i in range(1, len(ws) - k + 2)]) AS phrase FROM w, (VALUES (1), (2), (3)) t(k)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 10),
+h AS (SELECT lang, phrase, a, unnest(range(1, k)) AS cut, ws FROM c),
+t AS (SELECT *, array_to_string(ws[1:cut], ' ') AS lp, array_to_string(ws[cut+1:], ' ') AS rp FROM h),
+s AS (SELECT t.lang, t.phrase, t.a, cut, x.a AS l, y.a AS r, (1000000 * t.a * t.a) // (x.a * y.a) AS score FROM t JOIN f x ON x.lang = t.lang AND x.phrase = lp JOIN f y ON y.lang = t.lang AND y.phrase = rp),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS o FROM s),
+i AS (SELECT lang, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase, a FROM c WHERE k = 3),
+d AS (SELECT lang, phrase, max(a) AS within FROM i GROUP BY 1, 2),
+k AS (SELECT b.* FROM b LEFT JOIN d USING (lang, phrase) WHERE o = 1 AND NOT coalesce(100 * within >= 50 * b.a, false)),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM r JOIN n USING (lang) WHERE rank <= 2000""",
+    "op13_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding) AND list_bool_and(list_transform(embedding, lambda c: coalesce(isfinite(c), false)))),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, list_inner_product(q.v, x.v)::BIGINT AS score FROM v q JOIN v x ON q.vec_id % 50 = 0 AND q.vec_id <> x.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op10_substring_dedup": f"""
 WITH w AS (SELECT doc_id, {_WORDS.format('text')} AS ws FROM documents),
 x AS (SELECT doc_id, unnest(range(1, len(ws) - 48)) AS i, ws FROM w WHERE len(ws) >= 50),

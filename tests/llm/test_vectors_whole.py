@@ -5,7 +5,8 @@ import math
 import numpy as np
 import pytest
 
-from spliceframe.llm import whitening
+from spliceframe.llm import metric_tree, whitening
+from spliceframe.llm.common import Workspace
 
 KIND = "vec_id long, embedding array<double>, x string, w int, n int"
 
@@ -98,3 +99,77 @@ def test_deviations_beyond_64_bits(n):
     want = [[n * int(a) - b for a, b in zip(row, model.s)] for row in x]
     assert [[int(v) for v in row] for row in model.deviations(x)] == want
     assert model.squares(model.deviations(x)) == [sum(v * v for v in row) for row in want]
+
+
+def brute_top(rows, k=5, every=50):
+    use = {}
+    for i, v in rows:
+        if i is not None and v is not None and all(c is not None and math.isfinite(c) and math.isfinite(256 * c) for c in v):
+            v = [math.floor(256 * c) for c in v]
+            use[i] = min(use.get(i, v), v)
+    out = []
+    for q in use:
+        if q % every == 0:
+            scored = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(use[q], v)))), i) for i, v in use.items() if i != q)[:k]
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    return sorted(out)
+
+
+def top(df):
+    return sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in df.collect())
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    """Clusters of unequal norms, one long vector, many equal ones, and ties."""
+    rng = np.random.default_rng(2)
+    middles = rng.normal(size=(12, 8))
+    x = middles[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 8)) * 0.1
+    x[7] *= 1000
+    x[100:600] = x[100]
+    x[700:720] = np.round(x[700:720])
+    return [(i, v.tolist()) for i, v in enumerate(x)]
+
+
+def test_top_k_in_one_subtree(spark, clustered):
+    assert top(metric_tree.exact_top_k(frame(spark, clustered))) == brute_top(clustered)
+
+
+def test_top_k_over_many_levels(spark, clustered, monkeypatch):
+    for name, value in (("SUBTREE_ROWS", 60), ("FANOUT", 4), ("CHUNK_ROWS", 100), ("QUERY_ROWS", 8)):
+        monkeypatch.setattr(metric_tree, name, value)
+    ws = Workspace(spark, "t")
+    kept = metric_tree.usable(frame(spark, clustered))
+    assert len(metric_tree.Tree(kept, 1500, ws).levels) >= 3
+    assert top(metric_tree.exact_top_k(frame(spark, clustered))) == brute_top(clustered)
+    monkeypatch.setattr(metric_tree, "LEVELS", 1)  # groups that are still too large are dealt into several subtrees
+    assert top(metric_tree.exact_top_k(frame(spark, clustered))) == brute_top(clustered)
+
+
+def test_top_k_of_odd_vectors(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, -2.0]), (50, [0.0, 0.0]), (51, [3.0]), (52, []), (53, None), (54, [None, 1.0]), (55, [float("nan"), 0.0]), (56, [float("inf"), 0.0]), (None, [1.0, 1.0]), (57, [0.5, 0.001, -7.0]), (100, [1e6, -1e6])]
+    assert top(metric_tree.exact_top_k(frame(spark, rows))) == brute_top(rows)
+    assert top(metric_tree.exact_top_k(frame(spark, rows), "vec_id > 0", 2)) == brute_top(rows, 2, 1)[2:]
+    # Products past 2**53, past 64 bits, and lengths past what a double holds.
+    rows = [(0, [1e12, 3.0]), (1, [1e6, 1.0]), (2, [1e6, 1.00390625]), (50, [1e300, 1e300]), (3, [-1e300, 1.0]), (4, [1e306, 0.0]), (5, [1e200, -1e200])]
+    assert top(metric_tree.exact_top_k(frame(spark, rows))) == brute_top(rows)
+    assert metric_tree.exact_top_k(frame(spark, [])).collect() == [] == metric_tree.exact_top_k(frame(spark, [(50, [1.0])])).collect()
+    assert top(metric_tree.exact_top_k(frame(spark, [(50, []), (51, [])]))) == [(50, 1, 51, 0)]
+
+
+def test_bounds_save_products():
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(40, 16)) * 200
+    x = np.floor(middles[rng.integers(0, 40, 8000)] + rng.normal(size=(8000, 16)) * 5)
+    tree = metric_tree.Subtree(metric_tree.load_pages(np.arange(8000), x))
+    for i in range(50):
+        got = tree.search(x[i], i, 5, -np.inf)
+        scores = x @ x[i]
+        scores[i] = -np.inf
+        order = np.lexsort((np.arange(8000), -scores))[:5]
+        assert got == [(int(scores[j]), int(j)) for j in order]
+    assert tree.products < 50 * 8000 / 8
+    assert max(len(p[1]) for p in tree.pages.values()) <= metric_tree.PAGE and sum(len(p[1]) for p in tree.pages.values() if p[0]) == 8000
+    # Vectors all alike make pages as well.
+    same = metric_tree.load_pages(np.arange(1000), np.ones((1000, 3)))
+    assert sorted(i for p in same if p[1] for i in p[2]) == list(range(1000))
