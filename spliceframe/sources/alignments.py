@@ -1,54 +1,14 @@
-"""SAM text and BAM files as rows of model.ALIGNMENTS, and their reference dictionaries.
-
-A BAM file is a row of gzip blocks of at most 64 KiB, each with its size in its header, so a file can be cut anywhere: a task looks for the next block
-that begins a chain of sound block headers. Records run across blocks; a task finds its first one as the first place from which a run of
-plausible records follows, and reads on behind its end until the record that began before it is whole. ord is the virtual offset: the block's
-place in the file and the record's place in the block."""
+"""SAM text as rows of model.ALIGNMENTS, and its reference dictionary. BAM files: bam.py, whose readers can be had from here as well."""
 
 from __future__ import annotations
 
-import os
-import struct
-import zlib
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from spliceframe.functions import cigar
-from spliceframe.model import ALIGNMENTS
+from spliceframe.sources.bam import bam_refs, bam_samples, probe, read_bam, scan_bam, write_bam  # noqa: F401
 from spliceframe.sources.tables import sample_id
 
-_OPS = "MIDNSHP=X"
-_SPLIT, _BATCH = 64 << 20, 4096
-_ARROW = pa.schema([
-    ("sample_id", pa.string()), ("ord", pa.int64()), ("qname", pa.string()), ("flag", pa.int32()), ("ref_id", pa.int32()), ("pos", pa.int64()), ("mpos", pa.int64()), ("isize", pa.int32()), ("l_seq", pa.int32()),
-    ("nh", pa.int32()), ("cigar", pa.list_(pa.struct([("op", pa.string()), ("len", pa.int32())]))),
-])
-
-
-def _open(path: str):
-    if "://" not in path:
-        return open(path, "rb")
-    fs, name = pafs.FileSystem.from_uri(path)
-    return fs.open_input_file(name)
-
-
-def _size(path: str) -> int:
-    if "://" not in path:
-        return os.path.getsize(path)
-    fs, name = pafs.FileSystem.from_uri(path)
-    return fs.get_file_info(name).size
-
-
-def _batch(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
-
-
 
 def read_sam(spark: SparkSession, path: str) -> DataFrame:
     """Records of SAM text files; header lines are left out. '=' as the mate's reference needs no care: only positions are used."""
@@ -71,246 +31,14 @@ def parse_sam(lines: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def sam_refs(spark: SparkSession, path: str) -> DataFrame:
-    """ref_name, ref_id from the @SQ lines; all files of one run have the same ones."""
-    sq = spark.read.text(path).where(F.col("value").startswith("@SQ")).select(F.regexp_extract("value", r"\tSN:([^\t]*)", 1).alias("ref_name"), F.monotonically_increasing_id().alias("at"))
-    names = sq.groupBy("ref_name").agg(F.min("at").alias("at"))
+    """ref_name, ref_id from the @SQ lines; all files of one run have the same ones. Without such lines, the names that records have, in order of name."""
+    lines = spark.read.text(path)
+    sq = lines.where(F.col("value").startswith("@SQ")).select(F.regexp_extract("value", r"\tSN:([^\t]*)", 1).alias("ref_name"), F.monotonically_increasing_id().alias("at"))
+    if sq.isEmpty():
+        field = F.split("value", "\t")
+        named = lines.where(~F.col("value").startswith("@") & (F.size(field) >= 11)).select(F.get(field, F.lit(2)).alias("ref_name")).where("ref_name <> '*'")
+        names = named.distinct().withColumn("at", F.col("ref_name"))
+    else:
+        names = sq.groupBy("ref_name").agg(F.min("at").alias("at"))
     listed = names.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ref_name"))), lambda x: x["ref_name"]).alias("names"))  # a header's length, not the data's
     return listed.select(F.posexplode("names").alias("ref_id", "ref_name")).select("ref_name", "ref_id")
-
-
-class _Blocks:
-    """Inflated blocks of a file from a place on."""
-
-    def __init__(self, f, size: int, at: int):
-        self.f, self.size, self.at = f, size, at
-
-    @staticmethod
-    def header(raw: bytes) -> int:
-        """Size of the block whose first bytes these are; 0 if they aren't a block's."""
-        if len(raw) < 18 or raw[:4] != b"\x1f\x8b\x08\x04":
-            return 0
-        extra, at = struct.unpack_from("<H", raw, 10)[0], 12
-        while at + 4 <= min(len(raw), 12 + extra):
-            key, n = raw[at : at + 2], struct.unpack_from("<H", raw, at + 2)[0]
-            if key == b"BC" and n == 2 and at + 6 <= len(raw):
-                return struct.unpack_from("<H", raw, at + 4)[0] + 1
-            at += 4 + n
-        return 0
-
-    def seek(self, limit: int) -> bool:
-        """Goes on to the first block that begins before limit."""
-        while self.at < min(limit, self.size):
-            self.f.seek(self.at)
-            raw = self.f.read(1 << 17)
-            i = raw.find(b"\x1f\x8b\x08\x04")
-            while i >= 0:
-                n = self.header(raw[i : i + 64])
-                nxt = raw[i + n : i + n + 64]
-                if n and (self.at + i + n == self.size or self.header(nxt) or not nxt):
-                    self.at += i
-                    return self.at < limit
-                i = raw.find(b"\x1f\x8b\x08\x04", i + 1)
-            self.at += max(1, len(raw) - 64)
-        return False
-
-    def next(self) -> tuple[int, bytes] | None:
-        self.f.seek(self.at)
-        raw = self.f.read(1 << 16)
-        n = self.header(raw[:64])
-        if not n:
-            return None
-        here = self.at
-        self.at += n
-        raw = raw if len(raw) >= n else raw + self.f.read(n - len(raw))
-        return here, zlib.decompress(raw[:n], 31)
-
-
-def _file_header(path: str) -> tuple[list[str], int, int]:
-    """Reference names, and the block and the place in it where records begin."""
-    with _open(path) as f:
-        blocks, data, starts = _Blocks(f, _size(path), 0), b"", []
-
-        def need(n: int) -> None:
-            nonlocal data
-            while len(data) < n:
-                got = blocks.next()
-                if got is None:
-                    raise ValueError(f"{path}: the header is cut off")
-                starts.append((len(data), got[0]))
-                data += got[1]
-
-        need(12)
-        if data[:4] != b"BAM\x01":
-            raise ValueError(f"{path}: not a BAM file")
-        at = 8 + struct.unpack_from("<i", data, 4)[0]
-        need(at + 4)
-        n = struct.unpack_from("<i", data, at)[0]
-        at, names = at + 4, []
-        for _ in range(n):
-            need(at + 4)
-            k = struct.unpack_from("<i", data, at)[0]
-            need(at + 8 + k)
-            names.append(data[at + 4 : at + 3 + k].decode())
-            at += 8 + k
-        place = [(base, block) for base, block in starts if base <= at][-1]
-        return names, place[1], at - place[0]
-
-
-def _plausible(data: bytes, at: int, n_ref: int, depth: int = 3) -> bool | None:
-    """Whether records seem to begin here; None if more bytes are needed to tell."""
-    for _ in range(depth):
-        if at + 36 > len(data):
-            return None
-        size, ref, pos, l_name, _, _, n_cigar, _, l_seq, mref, mpos, _ = struct.unpack_from("<iiiBBHHHiiii", data, at)
-        if not (32 <= size < 1 << 26 and -1 <= ref < n_ref and -1 <= mref < n_ref and pos >= -1 and mpos >= -1 and l_name >= 1 and l_seq >= 0 and 32 + l_name + 4 * n_cigar + (l_seq + 1) // 2 + l_seq <= size):
-            return False
-        if at + 36 + l_name > len(data):
-            return None
-        if data[at + 35 + l_name] != 0:
-            return False
-        at += 4 + size
-    return True
-
-
-_TAG_SIZES = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
-_INTS = {"c": "b", "C": "B", "s": "h", "S": "H", "i": "i", "I": "I"}
-
-
-def _nh(tags: bytes) -> int | None:
-    at = 0
-    while at + 3 <= len(tags):
-        name, kind = tags[at : at + 2], chr(tags[at + 2])
-        at += 3
-        if name == b"NH" and kind in _INTS:
-            return struct.unpack_from("<" + _INTS[kind], tags, at)[0]
-        if kind in _TAG_SIZES:
-            at += _TAG_SIZES[kind]
-        elif kind in "ZH":
-            end = tags.find(b"\0", at)
-            at = len(tags) if end < 0 else end + 1
-        elif kind == "B":
-            at += 5 + _TAG_SIZES[chr(tags[at])] * struct.unpack_from("<i", tags, at + 1)[0]
-        else:
-            return None
-    return None
-
-
-def _record(data: bytes, at: int, sample: str, order: int) -> tuple:
-    size, ref, pos, l_name, _, _, n_cigar, flag, l_seq, _, mpos, isize = struct.unpack_from("<iiiBBHHHiiii", data, at)
-    p = at + 36 + l_name
-    ops = struct.unpack_from(f"<{n_cigar}I", data, p)
-    tags = data[p + 4 * n_cigar + (l_seq + 1) // 2 + l_seq : at + 4 + size]
-    name = data[at + 36 : at + 35 + l_name].decode("ascii", "replace")
-    return sample, order, name, flag, ref, pos, mpos, isize, l_seq, _nh(tags), [{"op": _OPS[o & 15] if o & 15 < 9 else "?", "len": o >> 4} for o in ops]
-
-
-class _Part(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
-
-
-class _BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], split: int):
-        self.paths, self.split = paths, split
-
-    def partitions(self):
-        return [_Part(p, at, min(at + self.split, size)) for p in self.paths for size in (_size(p),) for at in range(0, size, self.split)]
-
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
-        names, first_block, first_at = _file_header(part.path)
-        sample = os.path.basename(part.path).rsplit(".", 1)[0]
-        size = _size(part.path)
-        with _open(part.path) as f:
-            blocks = _Blocks(f, size, part.start if part.start > first_block else first_block)
-            if not blocks.seek(part.end):
-                return
-            data, starts, at, rows = b"", [], None, []
-            while True:
-                got = blocks.next()
-                if got is not None:
-                    starts.append((len(data), got[0]))
-                    data += got[1]
-                if at is None:  # the first record of this part
-                    if starts and starts[0][1] == first_block:
-                        at = first_at
-                    else:
-                        for i in range(len(data)):
-                            ok = _plausible(data, i, len(names))
-                            if ok or (ok is None and got is not None):
-                                break
-                        else:
-                            i = len(data)
-                        if i < len(data) and (ok or got is None):
-                            at = i
-                    if at is None:
-                        if got is None:
-                            return
-                        continue
-                in_block = 0
-                while at + 4 <= len(data) and at + 4 + struct.unpack_from("<i", data, at)[0] <= len(data):
-                    while in_block + 1 < len(starts) and starts[in_block + 1][0] <= at:
-                        in_block += 1
-                    base, block = starts[in_block]
-                    if block >= part.end:
-                        yield from _batch(rows)
-                        return
-                    rows.append(_record(data, at, sample, (block << 16) | (at - base)))
-                    at += 4 + struct.unpack_from("<i", data, at)[0]
-                if len(rows) >= _BATCH:
-                    yield from _batch(rows)
-                    rows = []
-                if got is None:
-                    yield from _batch(rows)
-                    return
-                keep = [x for x in starts if x[0] <= at][-1:]
-                drop = keep[0][0] if keep else 0
-                data, at, starts = data[drop:], at - drop, [(b - drop, k) for b, k in starts if b >= drop]
-
-
-class BamDataSource(DataSource):
-    """spark.read.format("bam").option("split", bytes).load(path): path is a file, or files separated by commas: local paths, or addresses of a shared file system."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return ALIGNMENTS
-
-    def reader(self, schema) -> DataSourceReader:
-        return _BamReader([p.strip().removeprefix("file://") for p in self.options["path"].split(",")], int(self.options.get("split", _SPLIT)))
-
-
-def read_bam(spark: SparkSession, path: str, split: int = _SPLIT) -> DataFrame:
-    spark.dataSource.register(BamDataSource)
-    return spark.read.format("bam").option("split", split).load(path)
-
-
-def bam_refs(spark: SparkSession, path: str) -> DataFrame:
-    """ref_name, ref_id from a file's header."""
-    names = _file_header(path.split(",")[0].strip().removeprefix("file://"))[0]
-    return spark.createDataFrame(list(enumerate(names)), "ref_id int, ref_name string").select("ref_name", "ref_id")
-
-
-def _block(data: bytes) -> bytes:
-    z = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = z.compress(data) + z.flush()
-    return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff\x06\0BC\x02\0" + struct.pack("<H", len(body) + 25) + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-
-def write_bam(path: str, refs: list[tuple[str, int]], records: list[tuple], block: int = 60_000) -> None:
-    """A small BAM file, for tests and examples. records: (qname, flag, ref_id, pos, [(op, len)], mref, mpos, isize, l_seq, nh or None)."""
-    text = "".join(f"@SQ\tSN:{n}\tLN:{k}\n" for n, k in refs).encode()
-    data = b"BAM\x01" + struct.pack("<i", len(text)) + text + struct.pack("<i", len(refs))
-    for n, k in refs:
-        data += struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", k)
-    for qname, flag, ref, pos, ops, mref, mpos, isize, l_seq, nh in records:
-        name = qname.encode() + b"\0"
-        body = struct.pack("<iiBBHHHiiii", ref, pos, len(name), 0, 0, len(ops), flag, l_seq, mref, mpos, isize) + name
-        body += b"".join(struct.pack("<I", n << 4 | _OPS.index(o)) for o, n in ops) + b"\x11" * ((l_seq + 1) // 2) + b"\xff" * l_seq
-        body += b"" if nh is None else b"XSA+" + b"NHC" + bytes([nh])
-        data += struct.pack("<i", len(body)) + body
-    with open(path, "wb") as f:
-        for i in range(0, len(data), block):
-            f.write(_block(data[i : i + block]))
-        f.write(_block(b""))
