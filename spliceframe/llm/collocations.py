@@ -7,7 +7,7 @@ word stands on the empty positions, none runs over a piece's end. Bits left are
 at a time, their pairs, then the triples below those pairs.
 
 Between the depths the sums over all shards prune: a phrase can't be more frequent than its parts, so only words and pairs that are frequent in their whole language
-are extended. What a shard needs to know of that comes to it by joins; no dictionary is broadcast or collected.
+are extended. What a shard needs to know of that comes to it by its number; no dictionary is broadcast or collected.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,8 +50,8 @@ class _Open:
         self.parts.append(part)
         self.n += len(part)
 
-    def bitmaps(self) -> tuple[list[bytes], np.ndarray, list[bytes], list[bytes]]:
-        """Words, how often each stands in the shard, and the block numbers and bits of each bitmap."""
+    def bitmaps(self) -> tuple[list[bytes], np.ndarray, bytes]:
+        """Words, how often each stands in the shard, and all their bitmaps, compressed."""
         code = np.concatenate(self.parts)
         order = np.argsort(code, kind="stable")
         order = order[np.count_nonzero(code == 0) :]
@@ -58,31 +59,45 @@ class _Open:
         new = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (block[1:] != block[:-1])]) if len(code) else np.zeros(0, np.int64)
         bits = np.bitwise_or.reduceat(bit, new) if len(new) else bit
         block, owner = block[new], code[new]
-        cut = np.searchsorted(owner, np.arange(1, len(self.codes) + 1)).tolist()
-        blocks, bits = block.tobytes(), bits.tobytes()
-        spans = list(zip(cut[:-1], cut[1:]))
-        return list(self.codes)[1:], np.bincount(code, minlength=len(self.codes))[1:], [blocks[4 * i : 4 * j] for i, j in spans], [bits[2 * i : 2 * j] for i, j in spans]
+        many = np.bincount(owner, minlength=len(self.codes))[1:]
+        return list(self.codes)[1:], np.bincount(code, minlength=len(self.codes))[1:], packed(many, block, bits)
 
 
-_BITMAPS = pa.schema([("shard", pa.int64()), ("lang", pa.string()), ("local", pa.int32()), ("word", pa.binary()), ("n", pa.int64()), ("blocks", pa.binary()), ("bits", pa.binary())])
+def packed(many: np.ndarray, block: np.ndarray, bits: np.ndarray) -> bytes:
+    """Bitmaps of words one after the other: how many blocks each has, their numbers as steps from the one before, their bits."""
+    steps = np.diff(block, prepend=np.int32(0)).astype(np.int32)
+    raw = np.array([len(many), len(block)], np.int64).tobytes() + many.astype(np.int32).tobytes() + steps.tobytes() + bits.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """many, block, bits of packed()."""
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    words, blocks = np.frombuffer(raw, np.int64, 2)
+    many = np.frombuffer(raw, np.int32, words, 16)
+    steps = np.frombuffer(raw, np.int32, blocks, 16 + 4 * words)
+    return many, np.cumsum(steps, dtype=np.int64), np.frombuffer(raw, np.uint16, blocks, 16 + 4 * words + 4 * blocks)
+
+
+_BITMAPS = pa.schema([("shard", pa.int64()), ("row", pa.int64()), ("lang", pa.string()), ("word", pa.binary()), ("n", pa.int64()), ("bitmaps", pa.binary())])
 
 
 def _filled(shard_words: int, open_words: int):
-    """Rows (lang, text) of a task to the bitmaps of its shards."""
+    """Rows (lang, text) of a task to the words of its shards; a shard goes by the number of its first row, which holds its bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made = TaskContext.get().partitionId() << 32, 0
+        number = TaskContext.get().partitionId() << 40  # rows are numbered within the task
         open_: dict[str, _Open] = {}
 
         def closed(lang: str) -> Iterator[pa.RecordBatch]:
-            nonlocal made
-            words, n, blocks, bits = open_.pop(lang).bitmaps()
+            nonlocal number
+            words, n, blob = open_.pop(lang).bitmaps()
             for at in range(0, len(words), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                k = len(words[part])
-                columns = [np.full(k, task + made), [lang] * k, np.arange(at, at + k), words[part], n[part], blocks[part], bits[part]]
+                part = words[at : at + (1 << 16)]
+                k = len(part)
+                columns = [np.full(k, number), np.arange(number + at, number + at + k), [lang] * k, part, n[at : at + k], [None if at else blob] + [None] * (k - 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _BITMAPS)], schema=_BITMAPS)
-            made += 1
+            number += len(words)
 
         total = 0
         for batch in batches:
@@ -109,16 +124,13 @@ def _filled(shard_words: int, open_words: int):
 class _Shard:
     """The bitmaps of a shard for the words that count, numbered 0, 1, ... in order of local: by word, and by block for meeting them."""
 
-    def __init__(self, bitmaps: pa.Table, local: np.ndarray):
-        own = bitmaps.column("local").to_numpy()
-        order = np.argsort(own)
-        order = order[np.isin(own[order], local)]
-        rows = bitmaps.select(["blocks", "bits"]).take(pa.array(order))
-        blocks, bits = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-        self.word = np.repeat(np.arange(len(blocks), dtype=np.int64), [len(b) // 4 for b in blocks])
-        self.block = np.frombuffer(b"".join(blocks), np.int32).astype(np.int64)
-        self.bits = np.frombuffer(b"".join(bits), np.uint16)
-        self.words = len(blocks)
+    def __init__(self, blob: bytes, local: np.ndarray):
+        many, block, bits = unpacked(blob)
+        dense = np.full(len(many), -1)
+        dense[local] = np.arange(len(local))
+        word = np.repeat(dense, many)
+        kept = np.flatnonzero(word >= 0)
+        self.words, self.word, self.block, self.bits = len(local), word[kept], block[kept], bits[kept]
         by_block = np.argsort(self.block, kind="stable")
         self.met_word, self.met_bits = self.word[by_block], self.bits[by_block]
         last = int(self.block.max(initial=-1)) + 2  # a shift may carry into the block behind the last one
@@ -164,15 +176,23 @@ def _places(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     return at, (sorted_keys[at] == keys) if len(sorted_keys) else np.zeros(len(keys), bool)
 
 
-_PAIRS = pa.schema([("shard", pa.int64()), ("l1", pa.int32()), ("l2", pa.int32()), ("id1", pa.int64()), ("id2", pa.int64()), ("n", pa.int64())])
+_PAIRS = pa.schema([("shard", pa.int64()), ("id1", pa.int64()), ("id2", pa.int64()), ("n", pa.int64())])
+_TRIPLES = pa.schema([("id1", pa.int64()), ("id2", pa.int64()), ("id3", pa.int64()), ("n", pa.int64())])
 
 
-def _pairs(bitmaps: pa.Table, known: pa.Table) -> pa.Table:
-    """One shard's pairs of frequent words and how often they stand there. known: local, id of its frequent words."""
-    local, id_ = known.column("local").to_numpy(), known.column("id").to_numpy()
+def _opened(shards: pa.Table, words: pa.Table) -> tuple[int, _Shard, np.ndarray]:
+    """A shard's number, its bitmaps and the ids of its words that count. words: their rows' numbers (a) and ids (b)."""
+    at = shards.column("at")[0].as_py()
+    local, id_ = words.column("a").to_numpy() - at, words.column("b").to_numpy()
     order = np.argsort(local)
-    local, id_ = local[order], id_[order]
-    shard = _Shard(bitmaps, local)
+    return at, _Shard(shards.column("bitmaps")[0].as_py(), local[order]), id_[order]
+
+
+def _pairs(shards: pa.Table, words: pa.Table) -> pa.Table:
+    """One shard's pairs of frequent words and how often they stand there."""
+    if not shards.num_rows or not words.num_rows:
+        return _PAIRS.empty_table()
+    at, shard, id_ = _opened(shards, words)
     keys, bits = [], []
     for chunk in shard.chunks():
         phrase, word, _, both = shard.extended(*chunk)
@@ -180,41 +200,36 @@ def _pairs(bitmaps: pa.Table, known: pa.Table) -> pa.Table:
         keys.append(key)
         bits.append(n)
     key, n = _summed(keys, bits)
-    a, b = key // max(shard.words, 1), key % max(shard.words, 1)
-    at = bitmaps.column("at")[0].as_py() if bitmaps.num_rows else 0
-    return pa.table([np.full(len(key), at), local[a].astype(np.int32), local[b].astype(np.int32), id_[a], id_[b], n], schema=_PAIRS)
-
-
-_TRIPLES = pa.schema([("id1", pa.int64()), ("id2", pa.int64()), ("id3", pa.int64()), ("n", pa.int64())])
-
-
-def _triples(bitmaps: pa.Table, kept: pa.Table) -> pa.Table:
-    """One shard's triples whose pairs are frequent, and how often they stand there. kept: l1, l2, id1, id2 of its frequent pairs."""
-    l1, l2, id1, id2 = (kept.column(c).to_numpy() for c in ("l1", "l2", "id1", "id2"))
-    local, first = np.unique(np.concatenate([l1, l2]), return_index=True)
-    id_ = np.concatenate([id1, id2])[first]
-    shard = _Shard(bitmaps, local)
-    v = max(shard.words, 1)
-    pair = np.sort(np.searchsorted(local, l1).astype(np.int64) * v + np.searchsorted(local, l2))
+    return pa.table([np.full(len(key), at), id_[key // shard.words], id_[key % shard.words], n], schema=_PAIRS)
+
+
+def _triples(shards: pa.Table, known: pa.Table) -> pa.Table:
+    """One shard's triples whose pairs are frequent, and how often they stand there. known: its frequent words, and its frequent pairs as ids a and b."""
+    pairs = known.filter(pc.field("pair"))
+    if not shards.num_rows or not pairs.num_rows:
+        return _TRIPLES.empty_table()
+    _, shard, id_ = _opened(shards, known.filter(~pc.field("pair")))
+    v, by_id = shard.words, np.argsort(id_)
+    dense = lambda c: by_id[np.searchsorted(id_[by_id], pairs.column(c).to_numpy())]
+    pair = np.sort(dense("a") * v + dense("b"))
     keys, bits = [], []
     for chunk in shard.chunks():
         phrase, word, block, both = shard.extended(*chunk)
-        at, known = _places(pair, phrase * v + word)
-        at, block, both = at[known], block[known], both[known]
-        phrase, word, _, both = shard.extended(at, block, both)
-        _, known = _places(pair, pair[phrase] % v * v + word)
-        key, n = _summed([phrase[known] * v + word[known]], [np.bitwise_count(both[known])])
+        at, frequent = _places(pair, phrase * v + word)
+        phrase, word, _, both = shard.extended(at[frequent], block[frequent], both[frequent])
+        _, frequent = _places(pair, pair[phrase] % v * v + word)
+        key, n = _summed([phrase[frequent] * v + word[frequent]], [np.bitwise_count(both[frequent])])
         keys.append(key)
         bits.append(n)
     key, n = _summed(keys, bits)
-    two = pair[key // v] if len(key) else key
+    two = pair[key // v]
     return pa.table([id_[two // v], id_[two % v], id_[key % v], n], schema=_TRIPLES)
 
 
 def position_bitmaps(docs: DataFrame, shard_words: int = SHARD_WORDS, open_words: int = OPEN_WORDS) -> DataFrame:
-    """docs(lang, text, ...) -> shard, lang, local, word, n, blocks, bits: a row for each word of a shard. A null lang is 'und', a null text empty."""
+    """docs(lang, text, ...) -> shard, row, lang, word, n, bitmaps: a row for each word of a shard, the first of them with the bitmaps of all. A null lang is 'und', a null text empty."""
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    return rows.mapInArrow(_filled(shard_words, open_words), "shard long, lang string, local int, word binary, n long, blocks binary, bits binary")
+    return rows.mapInArrow(_filled(shard_words, open_words), "shard long, row long, lang string, word binary, n long, bitmaps binary")
 
 
 def _score(l: Column, r: Column) -> Column:
@@ -232,17 +247,23 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, inside_per
     they repeat; a null lang is 'und', and other columns are unread. No phrase, no rows."""
     ws = ws or Workspace(docs.sparkSession, "phrases")
     maps = ws.save(position_bitmaps(docs, shard_words, max(OPEN_WORDS, shard_words)), "bitmaps")
-    words = maps.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    words = ws.save(words.withColumn("id", F.monotonically_increasing_id()), "words")
-    known = maps.select("shard", "local", "lang", "word").join(words, ["lang", "word"]).select("shard", "local", "id")
-    bare = maps.select(F.col("shard").alias("at"), F.col("local").alias("local"), "blocks", "bits")  # names of their own, as the other side of a cogroup comes from maps too
-    found = ws.save(bare.groupBy("at").cogroup(known.groupBy("shard")).applyInArrow(_pairs, "shard long, l1 int, l2 int, id1 long, id2 long, n long"), "pairs")
-
-    pairs = found.groupBy("id1", "id2").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
+    # A word goes by the least number of its rows. Sums are taken where the rows meet, so rows that count are found in the same shuffle.
+    same = Window.partitionBy("lang", "word")
+    words = maps.select("shard", "row", "lang", "word", "n").withColumns({"f": F.sum("n").over(same), "id": F.min("row").over(same)}).where(F.col("f") >= least)
+    own = F.col("row") == F.col("id")
+    words = ws.save(words.select("shard", "row", "id", *[F.when(own, F.col(c)).alias(c) for c in ("lang", "word", "f")]), "words")
+    shards = maps.where("bitmaps is not null").select(F.col("shard").alias("at"), "bitmaps")
+    of_shard = words.select("shard", F.lit(False).alias("pair"), F.col("row").alias("a"), F.col("id").alias("b"))
+    found = shards.groupBy("at").cogroup(of_shard.groupBy("shard")).applyInArrow(_pairs, "shard long, id1 long, id2 long, n long")
+    same = Window.partitionBy("id1", "id2")
+    found = found.withColumns({"a": F.sum("n").over(same), "first": F.min("shard").over(same)}).where(F.col("a") >= least)
+    found = ws.save(found.select("shard", "id1", "id2", F.when(F.col("shard") == F.col("first"), F.col("a")).alias("a")), "pairs")
+
+    words = words.where("f is not null")
     side = lambda k: words.select(F.col("id").alias(f"id{k}"), *([F.col("lang")] if k == 1 else []), F.col("word").cast("string").alias(f"w{k}"), F.col("f").alias(f"f{k}"))
-    pairs = ws.save(pairs.join(side(1), "id1").join(side(2), "id2"), "frequent")
-    kept = found.join(pairs.select("id1", "id2"), ["id1", "id2"]).select("shard", "l1", "l2", "id1", "id2")
-    triples = bare.groupBy("at").cogroup(kept.groupBy("shard")).applyInArrow(_triples, "id1 long, id2 long, id3 long, n long")
+    pairs = ws.save(found.where("a is not null").select("id1", "id2", "a").join(side(1), "id1").join(side(2), "id2"), "frequent")
+    known = of_shard.unionAll(found.select("shard", F.lit(True).alias("pair"), F.col("id1").alias("a"), F.col("id2").alias("b")))
+    triples = shards.groupBy("at").cogroup(known.groupBy("shard")).applyInArrow(_triples, "id1 long, id2 long, id3 long, n long")
     triples = triples.groupBy("id1", "id2", "id3").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
     head = pairs.select("id1", "id2", "lang", "w1", "w2", "f1", F.col("a").alias("f12"))
     tail = pairs.select(F.col("id1").alias("id2"), F.col("id2").alias("id3"), F.col("w2").alias("w3"), F.col("f2").alias("f3"), F.col("a").alias("f23"))

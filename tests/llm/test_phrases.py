@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spliceframe.llm import collocations
@@ -87,11 +88,12 @@ def test_scores_past_64_bits(spark):
 def test_a_shift_crosses_blocks_and_stops_at_empty_positions():
     open_ = collocations._Open()
     open_.add(collocations.pieces(b" ".join([b"a b"] * 20) + b". b a"))
-    words, n, blocks, bits = open_.bitmaps()
-    assert words == [b"a", b"b"] and n.tolist() == [21, 21]
-    assert sum(int(np.bitwise_count(np.frombuffer(b, np.uint16)).sum()) for b in bits) == 42
-    import pyarrow as pa
-
-    maps = pa.table({"at": [5, 5], "local": pa.array([0, 1], pa.int32()), "blocks": pa.array(blocks, pa.binary()), "bits": pa.array(bits, pa.binary())})
-    pairs = collocations._pairs(maps, pa.table({"local": pa.array([1, 0], pa.int32()), "id": [70, 60]})).to_pylist()
-    assert {(r["shard"], r["id1"], r["id2"]): r["n"] for r in pairs} == {(5, 60, 70): 20, (5, 70, 60): 20}
+    words, n, blob = open_.bitmaps()
+    many, block, bits = collocations.unpacked(blob)
+    assert words == [b"a", b"b"] and n.tolist() == [21, 21] and int(np.bitwise_count(bits).sum()) == 42 and many.sum() == len(block)
+    shard = pa.table({"at": [50], "bitmaps": pa.array([blob], pa.binary())})
+    words = pa.table({"pair": [False, False], "a": [51, 50], "b": [70, 60]})
+    pairs = collocations._pairs(shard, words).to_pylist()
+    assert {(r["shard"], r["id1"], r["id2"]): r["n"] for r in pairs} == {(50, 60, 70): 20, (50, 70, 60): 20}
+    known = pa.concat_tables([words, pa.table({"pair": [True, True], "a": [60, 70], "b": [70, 60]})])
+    assert [tuple(r.values()) for r in collocations._triples(shard, known).to_pylist()] == [(60, 70, 60, 19), (70, 60, 70, 19)]
