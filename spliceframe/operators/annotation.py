@@ -24,9 +24,13 @@ def _codons() -> dict[str, str]:
     return {c: next(iter(aa)) if len(aa) == 1 else pairs[frozenset(aa)] for c, aa in all_of.items() if len(aa) == 1 or frozenset(aa) in pairs}
 
 
-def merged_exons(exons: DataFrame, by: list[str]) -> DataFrame:
-    """by, start, end: exons that overlap or touch become one."""
-    return islands(exons, by).groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+#: Of the axis of a contig; its blocks are worked on apart.
+BLOCK = 1 << 20
+
+
+def merged_exons(exons: DataFrame, by: list[str], block: int | None = None) -> DataFrame:
+    """by, start, end: exons that overlap or touch become one. block: as in islands(), for keys as large as a contig."""
+    return islands(exons, by, block=block).groupBy(*by, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def transcript_lengths(exons: DataFrame, by: list[str]) -> DataFrame:
@@ -43,7 +47,7 @@ def gene_lengths(genes: DataFrame, transcripts: DataFrame, exons: DataFrame) ->
 
 def loci(transcripts: DataFrame, by: list[str]) -> DataFrame:
     """Adds locus: runs of overlapping transcripts, numbered along each key."""
-    return islands(transcripts, by, touch=0).withColumnRenamed("island", "locus")
+    return islands(transcripts, by, touch=0, block=BLOCK).withColumnRenamed("island", "locus")
 
 
 def exon_loci(exons: DataFrame, by: list[str], tx: str, max_rounds: int = 60) -> DataFrame:
@@ -51,7 +55,7 @@ def exon_loci(exons: DataFrame, by: list[str], tx: str, max_rounds: int = 60) ->
     intron stays apart. exons(by, tx, start, end).
 
     Runs of overlapping exons and transcripts hand each other their least label, and labels take their own labels, until none changes; a round is one checkpoint."""
-    runs = checkpointed(islands(exons.select(*by, tx, "start", "end"), by, touch=0).select(*by, "island", F.col(tx).alias("t")).distinct())
+    runs = checkpointed(islands(exons.select(*by, tx, "start", "end"), by, touch=0, block=BLOCK).select(*by, "island", F.col(tx).alias("t")).distinct())
     labels = checkpointed(runs.select(*by, "t").distinct().withColumn("locus", F.col("t")))
     for _ in range(max_rounds):
         least = runs.join(labels, [*by, "t"]).groupBy(*by, "island").agg(F.min("locus").alias("m"))

@@ -81,13 +81,36 @@ def outer_contained(queries: DataFrame, items: DataFrame, by: list[str], query_s
     return got.withColumn(name, F.col("_upto") - F.col("_gone")).drop("_upto", "_gone")
 
 
-def containment_join(outer: DataFrame, inner: DataFrame, by: list[str], width: int = BIN, outer_span=("start", "end"), inner_span=("start", "end"), closed: bool = False) -> DataFrame:
+def stabbing_join(points: DataFrame, spans: DataFrame, by: list[str], point: str, span=("start", "end"), closed: bool = False, share: int = 64, block: int = 1 << 20) -> DataFrame:
+    """Pairs of a point and a span of equal keys with span.start <= point < span.end; closed takes point = span.end as well. Columns of spans but their keys are to have names of their own.
+
+    A sweep in the order of points. One pass over points and both ends of the spans ranks them all; points are dealt into shares of so many neighbours, and a span goes to the shares
+    that hold its first to its last point: to none if it holds no point, and to one more for each share that it holds whole. So rows joined are in proportion to rows given and pairs
+    found, whatever the spans' lengths."""
+    (s, e), own = span, [c for c in spans.columns if c not in by]
+    p = points.select(*by, F.col(point).alias("_pos"), F.lit(1).alias("_tie"), F.lit(1).cast("long").alias("_w"), F.struct(*points.columns).alias("_row"))
+    none = F.lit(None).cast(p.schema["_row"].dataType).alias("_row")
+    held = spans.where(F.col(s) <= F.col(e)).withColumn("_span", F.struct(*own))
+    ends = held.select(*by, "_span", F.explode(F.array(F.struct(F.col(s).alias("pos"), F.lit(0).alias("tie"), F.lit(0).alias("side")), F.struct(F.col(e).alias("pos"), F.lit(2 if closed else 0).alias("tie"), F.lit(1).alias("side")))).alias("x"))
+    ends = ends.select(*by, F.col("x.pos").alias("_pos"), F.col("x.tie").alias("_tie"), F.lit(0).cast("long").alias("_w"), none, "_span", F.col("x.side").alias("_side"))
+    both = p.withColumns({"_span": F.lit(None).cast(held.schema["_span"].dataType), "_side": F.lit(None).cast("int")}).unionByName(ends)
+    # Points of one place share a rank, the last one's, and so a share.
+    ranked = running_rank(both, by, "_pos", "_w", "_tie", block)
+    numbered = ranked.where(F.col("_row").isNotNull()).select(*by, F.struct(F.col("_row"), F.floor((F.col("rank") - 1) / share).alias("_at")).alias("_p")).select(*by, "_p._row", "_p._at")
+    # rank before a span's start counts points before it; at its end, points within or before it.
+    sides = ranked.where(F.col("_row").isNull()).groupBy(*by, "_span").agg(F.min(F.when(F.col("_side") == 0, F.col("rank"))).alias("_lo"), F.max(F.when(F.col("_side") == 1, F.col("rank"))).alias("_hi"), F.count_if(F.col("_side") == 0).alias("_copies"))
+    dealt = sides.where("_hi > _lo").withColumn("_at", F.explode(F.sequence(F.floor(F.col("_lo") / share), F.floor((F.col("_hi") - 1) / share))))
+    met = numbered.join(dealt, [*by, "_at"])
+    at, ends_at = F.col(f"_row.{point}"), F.col(f"_span.{e}")
+    met = met.where((at >= F.col(f"_span.{s}")) & ((at <= ends_at) if closed else (at < ends_at)))
+    met = met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))  # spans that are equal in all columns
+    return met.select("_row.*", *[F.col(f"_span.{c}").alias(c) for c in own])
+
+
+def containment_join(outer: DataFrame, inner: DataFrame, by: list[str], outer_span=("start", "end"), inner_span=("start", "end"), closed: bool = False) -> DataFrame:
     """Pairs with inner.start in [outer.start, outer.end) and inner.end <= outer.end; closed takes inner.start = outer.end as well."""
-    (os, oe), (s, e) = outer_span, inner_span
-    a = outer.withColumn("_bin", F.explode(_bins(F.col(os), F.col(oe), width)))
-    b = inner.withColumn("_bin", F.floor(F.col(s) / width))
-    starts = (F.col(s) <= F.col(oe)) if closed else (F.col(s) < F.col(oe))
-    return b.join(a, [*by, "_bin"]).where((F.col(s) >= F.col(os)) & starts & (F.col(e) <= F.col(oe))).drop("_bin")
+    (s, e) = inner_span
+    return stabbing_join(inner, outer, by, s, outer_span, closed).where(F.col(e) <= F.col(outer_span[1]))
 
 
 def as_of(points: DataFrame, marks: DataFrame, by: list[str], point: str, mark: str, carried: str, name: str, block: int = 1 << 20) -> DataFrame:
@@ -105,9 +128,24 @@ def as_of(points: DataFrame, marks: DataFrame, by: list[str], point: str, mark:
     return got.select("_row.*", F.coalesce("_last", F.col("_from._mark")).alias(name))
 
 
-def islands(rows: DataFrame, by: list[str], start: str = "start", end: str = "end", touch: int = 1) -> DataFrame:
-    """Adds island: numbers runs of intervals that overlap or lie at most touch apart, in order of start within the keys."""
-    w = Window.partitionBy(*by).orderBy(start, end)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(F.col(start) > F.coalesce(reach, F.col(start) - touch - 1) + touch, 1).otherwise(0)
-    return rows.withColumn("_open", opens).withColumn("island", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_open")
+def islands(rows: DataFrame, by: list[str], start: str = "start", end: str = "end", touch: int = 1, block: int | None = None) -> DataFrame:
+    """Adds island: numbers runs of intervals that overlap or lie at most touch apart, in order of start within the keys.
+
+    Without block a key's rows pass through one task in order: for keys of few rows, as a transcript's exons. With it the axis is cut into blocks: the largest end so far runs
+    inside each block, the blocks' own largest ends are carried on in a second, small window, and the runs that begin are numbered likewise, so a key may be a whole contig."""
+    if block is None:
+        w = Window.partitionBy(*by).orderBy(start, end)
+        reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return rows.withColumn("_open", _opens(start, reach, touch)).withColumn("island", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("_open")
+    cut = rows.withColumn("_block", F.floor(F.col(start) / block))
+    inside = Window.partitionBy(*by, "_block").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut.groupBy(*by, "_block").agg(F.max(end).alias("_top")).withColumn("_from", F.max("_top").over(before)).drop("_top")
+    reached = cut.withColumn("_in", F.max(end).over(inside)).join(carried, [*by, "_block"])
+    opened = reached.withColumn("_open", _opens(start, F.greatest("_in", "_from"), touch)).drop("_in", "_from", "_block")
+    return running_rank(opened, by, start, "_open", end, block).withColumnRenamed("rank", "island").drop("_open")
+
+
+def _opens(start: str, reach: Column, touch: int) -> Column:
+    """1 where a run begins: reach is the largest end before, null for a key's first row."""
+    return F.when(reach.isNull() | (F.col(start) > reach + touch), 1).otherwise(0)

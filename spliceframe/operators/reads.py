@@ -4,7 +4,7 @@ alignments follow model.ALIGNMENTS; ord is the place in the file. All state is b
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spliceframe.functions import cigar
@@ -31,13 +31,15 @@ def policy_filter(policy: str) -> Column:
     }[policy]
 
 
-def with_policy(alignments: DataFrame, opt: Options) -> DataFrame:
-    """Adds keep: whether a record counts. A sample whose first record has no NH is read as multi-mapping, as nothing marks its unique reads."""
+def with_policy(alignments: DataFrame, opt: Options, samples: DataFrame | None = None) -> DataFrame:
+    """Adds keep: whether a record counts. A sample whose first record has no NH is read as multi-mapping, as nothing marks its unique reads.
+
+    samples(sample_id, unmarked): whether it hasn't, where that is known; else all records are searched for their samples' first ones."""
     if opt.pairing == "keyed":  # this pairing only ever drops secondary records
         return alignments.withColumn("keep", mapped_in_layout(opt.mode) & ~flagged(SECONDARY))
     if opt.multi:
         return alignments.withColumn("keep", mapped_in_layout(opt.mode) & policy_filter("primary" if opt.primary else "multi"))
-    first = alignments.groupBy("sample_id").agg(F.min_by("nh", "ord").isNull().alias("unmarked"))
+    first = alignments.groupBy("sample_id").agg(F.min_by("nh", "ord").isNull().alias("unmarked")) if samples is None else samples
     rule = F.when(F.col("unmarked"), policy_filter("multi")).otherwise(policy_filter("unique"))
     return alignments.join(first, "sample_id").withColumn("keep", mapped_in_layout(opt.mode) & rule).drop("unmarked")
 
@@ -49,9 +51,9 @@ def read_struct(opt: Options) -> Column:
     return F.struct(start.alias("start"), end.alias("end"), (~flagged(REVERSE)).alias("forward"), cigar.junction_offsets(F.col("cigar"), opt.ref_consuming_only).alias("js"))
 
 
-def single_fragments(alignments: DataFrame, opt: Options) -> DataFrame:
+def single_fragments(alignments: DataFrame, opt: Options, samples: DataFrame | None = None) -> DataFrame:
     """Single-end: each record is a fragment."""
-    kept = with_policy(alignments, opt).where("keep").withColumn("r", read_struct(opt))
+    kept = with_policy(alignments, opt, samples).where("keep").withColumn("r", read_struct(opt))
     return kept.select("sample_id", "ref_id", F.col("r.start").alias("start"), F.col("r.end").alias("end"), F.lit(None).cast("bigint").alias("gap_start"), F.lit(None).cast("bigint").alias("gap_end"), _shifted("r", F.lit(0)).alias("js"))
 
 
@@ -59,28 +61,51 @@ def _shifted(read: str, by: Column) -> Column:
     return F.transform(F.col(f"{read}.js"), lambda j: F.struct((j["s"] + by).alias("s"), (j["e"] + by).alias("e")))
 
 
-def adjacent_mates(alignments: DataFrame, opt: Options) -> DataFrame:
+#: Records of one name are dealt into stretches of the file this long, as ord counts (256 KiB of a BAM file; two partitions' lines of text).
+STRETCH = 1 << 34
+
+
+def taken_or_free(records: DataFrame, by: list[str], order: str, toggles: Column, carried: Column, stretch: int = STRETCH, kept=None) -> DataFrame:
+    """Adds taken, whether a record is taken by the one before it, and next, `carried` of the record that follows (both by order within the keys).
+
+    A record that isn't taken takes its follower if `toggles` holds. So each record is a map of {free, taken} to itself: it ends free, or, if it toggles, taken when it began
+    free. Maps compose, so they are scanned in two steps: within each stretch of a key's records, and over one row for each stretch, of those keys only that have several. Within
+    a stretch a record's state is the number of toggles since the last record that ends free in any case, odd or even. No key becomes an array, however many records it has.
+
+    kept: what to do with the records before they are read twice, as checkpointing them."""
+    r = records.withColumns({"_toggles": F.coalesce(toggles, F.lit(False)), "_carried": carried, "_stretch": F.floor(F.col(order) / stretch)})
+    r = r if kept is None else kept(r)
+    w = Window.partitionBy(*by, "_stretch").orderBy(order)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    r = r.withColumns({"_n": F.row_number().over(w), "next": F.lead("_carried").over(w)})
+    r = r.withColumn("_ended", F.max(F.when(~F.col("_toggles"), F.col("_n"))).over(before))
+    # One row for each stretch: its length, its last record that ends free in any case, and its first record.
+    ends = r.groupBy(*by, "_stretch").agg(F.max("_n").alias("_n"), F.max(F.when(~F.col("_toggles"), F.col("_n"))).alias("_last"), F.min_by("_carried", "_n").alias("_first"))
+    many = Window.partitionBy(*by)
+    ends = ends.withColumns({"_stretches": F.count("*").over(many), "_odd": F.pmod(F.col("_n") - F.coalesce("_last", F.lit(0)), F.lit(2))}).where("_stretches > 1")
+    ordered = many.orderBy("_stretch")
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumns({"_sum": F.coalesce(F.sum("_odd").over(earlier), F.lit(0)), "_after": F.lead("_first").over(ordered)})
+    # What stretches toggle is summed from the last one on that ends alike however it began; the sum before that one is the largest of such.
+    ends = ends.withColumn("_base", F.coalesce(F.max(F.when(F.col("_last").isNotNull(), F.col("_sum"))).over(earlier), F.lit(0)))
+    ends = ends.select(*by, "_stretch", F.pmod(F.col("_sum") - F.col("_base"), F.lit(2)).alias("_start"), "_after", F.col("_n").alias("_length"))
+    r = r.join(ends, [*by, "_stretch"], "left")
+    state = F.col("_n") - 1 - F.coalesce("_ended", F.lit(0)) + F.when(F.col("_ended").isNull(), F.coalesce("_start", F.lit(0))).otherwise(0)
+    follower = F.when(F.col("_n") == F.col("_length"), F.col("_after")).otherwise(F.col("next"))
+    return r.withColumns({"taken": F.pmod(state, F.lit(2)) == 1, "next": follower}).select(*records.columns, "taken", "next")
+
+
+def adjacent_mates(alignments: DataFrame, opt: Options, samples: DataFrame | None = None, kept=None, stretch: int = STRETCH) -> DataFrame:
     """sample_id, ref_id, r1, r2 from name-collated records: a kept record whose mate is mapped takes the record of its name that follows.
 
-    Which records open a pair depends on those before it, so each name's few records are walked in order in one row. The record taken isn't
-    filtered itself; a pair on two references is dropped; a record without a follower counts on its own."""
-    rec = F.struct("ord", "flag", "ref_id", "keep", read_struct(opt).alias("r"))
-    names = with_policy(alignments, opt).groupBy("sample_id", "qname").agg(F.array_sort(F.collect_list(rec)).alias("recs")).where(F.exists("recs", lambda x: x["keep"]))
-    # Walk: at each place, whether the record there opens a fragment, and how many records that takes.
-    lone = lambda x: flagged(MATE_UNMAPPED, x["flag"])
-    takes = lambda x: F.when(x["keep"] & ~lone(x), 2).otherwise(1)
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("next"))
-
-    def step(acc: Column, i: Column) -> Column:
-        x = F.get("recs", i)
-        here = i == acc["next"]
-        opens = here & x["keep"]
-        return F.struct(F.when(opens, F.concat(acc["at"], F.array(i))).otherwise(acc["at"]).alias("at"), F.when(here, acc["next"] + takes(x)).otherwise(acc["next"]).cast("int").alias("next"))
-
-    opened = names.withColumn("at", F.aggregate(F.sequence(F.lit(0), F.size("recs") - 1), start, step, lambda a: a["at"]))
-    rows = opened.select("sample_id", F.explode("at").alias("i"), "recs").select("sample_id", F.get("recs", F.col("i")).alias("a"), F.get("recs", F.col("i") + 1).alias("b"))
-    pair = ~lone(F.col("a")) & F.col("b").isNotNull()
-    rows = rows.withColumn("b", F.when(pair, F.col("b"))).where(F.col("b").isNull() | (F.col("a.ref_id") == F.col("b.ref_id")))
+    Which records open a pair depends on those before it: taken_or_free(). The record taken isn't filtered itself; a pair on two references is dropped; a record without a
+    follower counts on its own."""
+    records = with_policy(alignments, opt, samples).select("sample_id", "qname", "ord", "keep", F.struct("flag", "ref_id", read_struct(opt).alias("r")).alias("a"))
+    lone = flagged(MATE_UNMAPPED, F.col("a.flag"))
+    # A null name is a name like others.
+    named = records.withColumn("qname", F.coalesce("qname", F.lit("*")))
+    rows = taken_or_free(named, ["sample_id", "qname"], "ord", F.col("keep") & ~lone, F.col("a"), stretch, kept).where(F.col("keep") & ~F.col("taken"))
+    rows = rows.withColumn("b", F.when(~lone, F.col("next"))).where(F.col("b").isNull() | (F.col("a.ref_id") == F.col("b.ref_id")))
     second = flagged(SECOND, F.col("b.flag"))
     first_alone = flagged(FIRST, F.col("a.flag"))
     r1 = F.when(F.col("b").isNull(), F.when(first_alone, F.col("a.r"))).when(second, F.col("a.r")).otherwise(F.col("b.r"))
@@ -143,14 +168,16 @@ def merge_mates(mates: DataFrame, opt: Options) -> DataFrame:
     return m.select("sample_id", "ref_id", "start", "end", "gap_start", "gap_end", js.alias("js"))
 
 
-def fragments(alignments: DataFrame, opt: Options = Options()) -> DataFrame:
-    """sample_id, ref_id, start, end, gap_start, gap_end, js, has_junction. Records filtered here: layout, policy, pairs, strandness, gaps; duplicates, supplementary and low-quality records all count."""
+def fragments(alignments: DataFrame, opt: Options = Options(), samples: DataFrame | None = None, kept=None) -> DataFrame:
+    """sample_id, ref_id, start, end, gap_start, gap_end, js, has_junction. Records filtered here: layout, policy, pairs, strandness, gaps; duplicates, supplementary and low-quality records all count.
+
+    samples: as in with_policy(). kept: as in taken_or_free(), for sources that are dear to read."""
     if opt.pairing == "keyed":
         out = merge_mates(keyed_mates(alignments, opt), opt)
     elif opt.mode == 2:
-        out = merge_mates(adjacent_mates(alignments, opt), opt)
+        out = merge_mates(adjacent_mates(alignments, opt, samples, kept), opt)
     else:
-        out = single_fragments(alignments, opt)
+        out = single_fragments(alignments, opt, samples)
     out = out.withColumn("has_junction", F.size("js") > 0)
     if opt.strict:
         some = out.groupBy("sample_id").agg(F.max("has_junction").alias("_some"))

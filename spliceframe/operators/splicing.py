@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spliceframe.functions import stats
 from spliceframe.model import OWNERS_KEPT
-from spliceframe.operators.intervals import BIN, containment_join, overlap_join, weighed
+from spliceframe.operators.intervals import containment_join, overlap_counts
 from spliceframe.operators.junctions import match_junctions
 
 
@@ -21,9 +21,9 @@ def first_events(events: DataFrame, by: list[str] | None = None, files: DataFram
     return once.join(lead, "ase_type").where(F.col("file_idx") == F.col("_file")).drop("_file")
 
 
-def owners(events: DataFrame, genes: DataFrame, by: list[str], width: int = BIN, kept: int = OWNERS_KEPT, closed: bool = False) -> DataFrame:
+def owners(events: DataFrame, genes: DataFrame, by: list[str], kept: int = OWNERS_KEPT, closed: bool = False) -> DataFrame:
     """ase_id, genes: up to kept genes that contain the event, in order of gene start. events(by, ase_id, e_start, e_end), genes(by, gene_id, g_start, g_end)."""
-    met = containment_join(genes.select(*by, "gene_id", "g_start", "g_end"), events.select(*by, "ase_id", "e_start", "e_end"), by, width, ("g_start", "g_end"), ("e_start", "e_end"), closed)
+    met = containment_join(genes.select(*by, "gene_id", "g_start", "g_end"), events.select(*by, "ase_id", "e_start", "e_end"), by, ("g_start", "g_end"), ("e_start", "e_end"), closed)
     listed = F.slice(F.array_sort(F.collect_list(F.struct("g_start", "gene_id"))), 1, kept)
     found = met.groupBy("ase_id").agg(F.transform(listed, lambda x: x["gene_id"]).alias("genes"))
     return events.select("ase_id").join(found, "ase_id", "left")
@@ -38,12 +38,14 @@ def junction_support(events: DataFrame, junctions: DataFrame, by: list[str]) ->
     return events.join(sums, [*by, "ase_id"], "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("count_in", "count_out")})
 
 
-def retention_support(events: DataFrame, frags: DataFrame, junctions: DataFrame, by: list[str], width: int = BIN) -> DataFrame:
-    """Retained introns: count_out by junctions as above; count_in is half the fragments without junctions that overlap the inn spans, gaps not regarded."""
-    spans = events.select(*by, "ase_id", F.posexplode("inn").alias("i", "x")).select(*by, "ase_id", "i", F.col("x.s").alias("i_start"), F.col("x.e").alias("i_end"))
-    plain = weighed(frags.where(~F.col("has_junction")).select(*by, F.col("start").alias("f_start"), F.col("end").alias("f_end")), [*by, "f_start", "f_end"])
-    met = overlap_join(plain, spans, by, width, ("f_start", "f_end"), ("i_start", "i_end"))
-    n = met.groupBy(*by, "ase_id").agg((F.sum("weight") / 2).alias("_in"))
+def retention_support(events: DataFrame, frags: DataFrame, junctions: DataFrame, by: list[str]) -> DataFrame:
+    """Retained introns: count_out by junctions as above; count_in is half the fragments without junctions that overlap the inn spans, gaps not regarded.
+
+    Fragments are counted by ranks, without a pair of a fragment and an intron ever standing in a row."""
+    spans = events.select(*by, "ase_id", F.explode("inn").alias("x")).select(*by, "ase_id", F.col("x.s").alias("i_start"), F.col("x.e").alias("i_end")).where("i_start <= i_end")
+    plain = frags.where(~F.col("has_junction") & (F.col("start") <= F.col("end"))).select(*by, F.col("start").alias("f_start"), F.col("end").alias("f_end"))
+    met = overlap_counts(spans, plain, by, ("i_start", "i_end"), ("f_start", "f_end"))
+    n = met.groupBy(*by, "ase_id").agg((F.sum("n") / 2).alias("_in"))
     out = junction_support(events, junctions, by).join(n, [*by, "ase_id"], "left")
     return out.withColumn("count_in", F.coalesce("_in", F.lit(0.0))).drop("_in")
 

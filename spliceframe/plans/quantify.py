@@ -25,13 +25,14 @@ class Result:
     log: DataFrame
 
 
-def load_alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Records and reference dictionary of BAM files, SAM text or a Parquet folder that has a refs folder beside it."""
+def load_alignments(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Records and reference dictionary of BAM files, SAM text or a Parquet folder that has a refs folder beside it; of BAM files also the samples, as in reads.with_policy()."""
     if ".bam" in path:
-        return al.read_bam(spark, path), al.bam_refs(spark, path)
+        files = al.probe(spark, path)
+        return al.read_bam(spark, path, files=files), al.bam_refs(spark, path), al.bam_samples(spark, files)
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(path), spark.read.parquet(path.rstrip("/").removesuffix(".parquet") + ".refs.parquet")
-    return al.read_sam(spark, path), al.sam_refs(spark, path)
+        return spark.read.parquet(path), spark.read.parquet(path.rstrip("/").removesuffix(".parquet") + ".refs.parquet"), None
+    return al.read_sam(spark, path), al.sam_refs(spark, path), None
 
 
 def per_sample(rows: DataFrame, samples: DataFrame) -> DataFrame:
@@ -44,37 +45,36 @@ def once(rows: DataFrame) -> DataFrame:
     return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows.persist()
 
 
-def quantify(records: DataFrame, genes: DataFrame, events: DataFrame, opt: Options = Options(), files: DataFrame | None = None) -> Result:
+def quantify(records: DataFrame, genes: DataFrame, events: DataFrame, opt: Options = Options(), files: DataFrame | None = None, samples: DataFrame | None = None) -> Result:
     """genes as from gff.gene_table(), events as from tables.parse_events(), files as in splicing.first_events(). All counts are by sample; a sample without
-    fragments has rows with zero counts. The alignments are read for the fragments and, with them, the samples; all results come from those."""
-    frags = once(reads.fragments(records, opt))
+    fragments has rows with zero counts. samples(sample_id, unmarked), where the source tells them: then the alignments are decoded once, for the records that are kept for
+    pairing; else also for the samples and their first records."""
+    frags = once(reads.fragments(records, opt, samples, once))
     rows = reads.fragment_junctions(frags)
     counts = junctions.junction_counts(rows, KEY)
-    samples = once(records.select("sample_id").distinct())
+    samples = once(records.select("sample_id").distinct()) if samples is None else samples.select("sample_id").distinct()
     own_genes = per_sample(genes, samples)
     tpm = expression.with_tpm(expression.gene_counts(own_genes, frags, KEY, 16_384), ["sample_id"])
     firsts = splicing.first_events(events, files=files)
     own_events = per_sample(firsts, samples)
     plain = splicing.junction_support(own_events.where("ase_type <> 'RI'"), counts, KEY)
-    kept = splicing.retention_support(own_events.where("ase_type = 'RI'"), frags, counts, KEY, 16_384)
+    kept = splicing.retention_support(own_events.where("ase_type = 'RI'"), frags, counts, KEY)
     psi = splicing.with_psi(plain.unionByName(kept))
-    owned = splicing.owners(firsts, genes, ["ref_id"], 16_384)
+    owned = splicing.owners(firsts, genes, ["ref_id"])
     fused = fusion.fusion_pairs(own_genes, frags, ["sample_id"], opt.gene_max_gap)
     return Result(tpm, psi, owned, counts, fused, reads.run_log(frags))
 
 
 def run(spark: SparkSession, gff_path: str, length_path: str, event_files: list[tuple[str, str]], read_path: str, output: str, opt: Options = Options()) -> Result:
     """Reads the files, quantifies, and writes gene, ase, fusion and log tables under output."""
-    records, refs = load_alignments(spark, read_path)
+    records, refs, samples = load_alignments(spark, read_path)
     lengths = tables.parse_lengths(tables.lines_of(spark, length_path))
     genes = gff.gene_table(gff.read_gff(spark, gff_path), refs, lengths)
     events = tables.read_events(spark, event_files, refs)
-    out = quantify(records, genes, events, opt, spark.createDataFrame([(kind, i) for i, (kind, _) in enumerate(event_files)], "ase_type string, file_idx int"))
+    out = quantify(records, genes, events, opt, spark.createDataFrame([(kind, i) for i, (kind, _) in enumerate(event_files)], "ase_type string, file_idx int"), samples)
     sinks.write_tsv(sinks.gene_rows(out.genes), f"{output}/gene")
     sinks.write_tsv(sinks.event_rows(out.events, out.owners, genes), f"{output}/ase", ["ase_type"])
-    name = lambda x: genes.select(F.col("gene_id").alias(f"gene_{x.lower()}"), F.col("gene_name").alias(f"{x}_name"))
-    fused = out.fusions.join(name("A"), "gene_a").join(name("B"), "gene_b")
-    sinks.write_tsv(fused.select("sample_id", F.col("A_name").alias("gene_A"), F.col("B_name").alias("gene_B"), F.col("count").alias("read_count")), f"{output}/fusion")
+    sinks.write_tsv(sinks.fusion_rows(out.fusions, genes, ["sample_id"]), f"{output}/fusion")
     sinks.write_tsv(out.log, f"{output}/log")
     return out
 

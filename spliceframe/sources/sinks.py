@@ -20,10 +20,23 @@ def gene_rows(tpm: DataFrame) -> DataFrame:
     return rows.select(*own, "gene_id", "gene_name", F.col("ref_name").alias("reference"), "strand", F.col("g_start").alias("start"), F.col("g_end").alias("end"), F.col("with_junction").alias("reads_with_junction"), F.col("without_junction").alias("reads_without_junction"), F.col("total").alias("total_reads"), three("tpm"))
 
 
+def names_of(genes: DataFrame) -> DataFrame:
+    """gene_id, gene_name: one row for each id. An id that stands in several places has one name from gff.gene_table(); of other tables the least counts."""
+    return genes.groupBy("gene_id").agg(F.min("gene_name").alias("gene_name"))
+
+
+def fusion_rows(fusions: DataFrame, genes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Fusion candidates with their genes' names, one row each, in order of both names."""
+    by = by or []
+    name = lambda x: names_of(genes).select(F.col("gene_id").alias(f"gene_{x}"), F.col("gene_name").alias(f"name_{x}"))
+    named = fusions.join(name("a"), "gene_a").join(name("b"), "gene_b")
+    return named.select(*by, F.col("name_a").alias("gene_A"), F.col("name_b").alias("gene_B"), F.col("count").alias("read_count")).orderBy(*by, "gene_A", "gene_B")
+
+
 def event_rows(psi: DataFrame, owners: DataFrame, genes: DataFrame, by: list[str] | None = None) -> DataFrame:
     """psi with its genes' ids and names, joined by commas, null where none owns the event; in order of reference and start."""
     by = by or []
-    names = owners.select(*by, "ase_id", F.posexplode("genes").alias("i", "gene_id")).join(genes.select("gene_id", "gene_name").dropDuplicates(["gene_id"]), "gene_id", "left")
+    names = owners.select(*by, "ase_id", F.posexplode("genes").alias("i", "gene_id")).join(names_of(genes), "gene_id", "left")
     listed = F.array_sort(F.collect_list(F.struct("i", "gene_id", "gene_name")))
     joined = names.groupBy(*by, "ase_id").agg(listed.alias("x")).select(*by, "ase_id", *[F.array_join(_field("x", c), ",").alias(c) for c in ("gene_id", "gene_name")])
     rows = psi.join(joined, [*by, "ase_id"], "left").orderBy("ase_type", *by, encode(F.col("ref_id"), F.col("e_start")))

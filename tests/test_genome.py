@@ -1,5 +1,8 @@
 """A small genome worked by hand, over SAM, BAM and whole runs."""
 
+import json
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,19 +156,34 @@ def test_a_type_is_judged_by_its_first_file(spark, tmp_path):
     assert first_events(events, files=spark.createDataFrame([("SE", 0), ("SE", 1)], "ase_type string, file_idx int")).count() == 0
 
 
-def test_alignments_are_decoded_once(spark, files, monkeypatch):
-    """A run reads its BAM file for the fragments and for the samples, and for nothing else."""
-    plans = []
-    once = quantify.once
-    monkeypatch.setattr(quantify, "once", lambda rows: plans.append(rows) or once(rows))
-    refs = al.bam_refs(spark, str(files / "s.bam"))
+def test_alignments_are_decoded_once(spark, files, tmp_path):
+    """A whole run opens each BAM file twice for its header and first record, and reads its blocks once for the records."""
+    from spliceframe.sources import bam
+
+    opened = tmp_path / "opened"
+    opened.mkdir()
+    path = f"{files}/s.bam"
+    where = str(opened)
+
+    class Counted(bam.BamReader):
+        def read(self, part):
+            open(f"{where}/{os.urandom(8).hex()}", "w").close()
+            yield from super().read(part)
+
+    class CountedSource(bam.BamDataSource):
+        def reader(self, schema):
+            return Counted(json.loads(self.options["files"]), 1 << 26, self._columns(), True)
+
+    files_ = al.probe(spark, path)
+    spark.dataSource.register(CountedSource)
+    records = spark.read.format("bam").options(files=json.dumps(files_), columns=",".join(bam.COLUMNS)).load()
+    refs = al.bam_refs(spark, path)
     genes = gff.gene_table(gff.read_gff(spark, str(files / "g.gff3")), refs, tables.parse_lengths(tables.lines_of(spark, str(files / "l.csv"))))
-    out = quantify.quantify(al.read_bam(spark, str(files / "s.bam")), genes, tables.read_events(spark, [("SE", str(files / "se.csv"))], refs))
-    assert len(plans) == 2
-    for rows in (out.genes, out.events, out.fusions, out.log):
+    out = quantify.quantify(records, genes, tables.read_events(spark, [("SE", str(files / "se.csv"))], refs), samples=al.bam_samples(spark, files_))
+    counted = {r["gene_id"]: r["total"] for r in out.genes.collect()}
+    for rows in (out.events, out.fusions, out.log, out.junctions):
         rows.collect()
-        shown = rows._jdf.queryExecution().withCachedData().toString()
-        assert ("InMemoryRelation" in shown or "LogicalRDD" in shown) and "bam" not in shown.split("InMemoryRelation")[0]
+    assert counted["G1"] == 2 and len(os.listdir(opened)) == 1
 
 
 def test_exon_loci_join_through_shared_exons_only(spark):
@@ -195,3 +213,58 @@ def test_mate_log_counts_reads_not_fragments(spark):
     one, two = (1, 50, True, [(5, 9)]), (60, 90, False, [])
     rows = spark.createDataFrame([("s", 0, one, two), ("s", 0, one, None), ("s", 0, None, two)], f"sample_id string, ref_id int, r1 {read}, r2 {read}")
     assert tuple(reads.mate_log(rows).first()) == ("s", 2, 4)
+
+
+def walked(recs):
+    """Which records open a fragment, and which record each takes: [(ord, ord of its mate or None)]."""
+    out, i = [], 0
+    while i < len(recs):
+        o, keep, lone = recs[i]
+        if keep:
+            follower = recs[i + 1][0] if not lone and i + 1 < len(recs) else None
+            out.append((o, follower))
+            i += 1 if lone else 2
+        else:
+            i += 1
+    return out
+
+
+@pytest.mark.parametrize("stretch", [1, 7, 64, 1 << 34])
+def test_mates_are_scanned_in_two_steps(spark, stretch):
+    """Equal to the walk, for many short names and for one that has a third of all rows, however records are dealt."""
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(3000):
+        name = "hot" if rng.random() < 0.35 else f"n{rng.randrange(600)}"
+        rows.append(("s", name, i * 3, rng.random() < 0.8, rng.random() < 0.15))
+    d = spark.createDataFrame(rows, "sample_id string, qname string, ord long, keep boolean, lone boolean")
+    got = reads.taken_or_free(d, ["sample_id", "qname"], "ord", F.col("keep") & ~F.col("lone"), F.col("ord"), stretch)
+    opened = got.where("keep and not taken").select("ord", F.when(~F.col("lone"), F.col("next")).alias("mate"))
+    want = []
+    for name in {r[1] for r in rows}:
+        want += walked([r[2:] for r in rows if r[1] == name])
+    assert sorted(map(tuple, opened.collect()), key=str) == sorted(want, key=str)
+    assert "collect_list" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_records_without_names_pair_up(spark, files):
+    sam = al.read_sam(spark, str(files / "s.sam"))
+    for name in ("*", None):
+        one = sam.withColumn("qname", F.lit(name).cast("string"))
+        assert reads.fragments(one).count() == reads.fragments(one.withColumn("qname", F.lit("x"))).count() == 4
+
+
+def test_fusion_names_make_one_row_each(spark):
+    genes = spark.createDataFrame([("GA", "a", 0), ("GA", "a", 1), ("GB", "b", 0), ("GB", "z", 2)], "gene_id string, gene_name string, ref_id int")
+    fusions = spark.createDataFrame([("s", "GA", "GB", 7), ("s", "GB", "GA", 2)], "sample_id string, gene_a string, gene_b string, count long")
+    assert [tuple(r) for r in sinks.fusion_rows(fusions, genes, ["sample_id"]).collect()] == [("s", "a", "b", 7), ("s", "b", "a", 2)]
+
+
+def test_sam_without_a_dictionary(spark, files, tmp_path):
+    text = "".join(line for line in open(files / "s.sam") if not line.startswith("@")).replace("chr1", "chrB", 2)
+    (tmp_path / "n.sam").write_text(text)
+    refs = {r["ref_name"]: r["ref_id"] for r in al.sam_refs(spark, str(tmp_path / "n.sam")).collect()}
+    assert refs == {"chr1": 0, "chrB": 1}
+    assert {r["ref_id"] for r in al.read_sam(spark, str(tmp_path / "n.sam")).select("ref_id").collect()} == {0, 1}

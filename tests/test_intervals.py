@@ -40,8 +40,46 @@ def test_gap_identity_and_containment(spark, spans):
     want = {a[0]: sum(b[1] == a[1] and b[2] < a[2] and b[3] > a[3] for b in items) for a in genes}
     assert gone == want
     assert {k: out[k] + inner[k] for k in out} == want
-    held = intervals.containment_join(g, d, ["ref_id"], 16, ("g_start", "g_end")).select("gene_id", "i").collect()
-    assert {tuple(r) for r in held} == {(a[0], b[0]) for a in genes for b in items if a[1] == b[1] and a[2] <= b[2] < a[3] and b[3] <= a[3]}
+    held = intervals.containment_join(g, d, ["ref_id"], ("g_start", "g_end")).select("gene_id", "i").collect()
+    assert len(held) == len({tuple(r) for r in held}) and {tuple(r) for r in held} == {(a[0], b[0]) for a in genes for b in items if a[1] == b[1] and a[2] <= b[2] < a[3] and b[3] <= a[3]}
+
+
+@pytest.mark.parametrize(("share", "block", "closed"), [(1, 7, False), (5, 1 << 20, True), (64, 100, True)])
+def test_points_in_spans(spark, spans, share, block, closed):
+    (genes, g), (items, d) = spans
+    g = g.unionByName(g.where("gene_id < 5")).unionByName(g.limit(1).withColumns({"g_start": F.lit(-(10**7)).cast("long"), "g_end": F.lit(10**7).cast("long"), "gene_id": F.lit(999).cast("long")}))
+    every = [tuple(r) for r in g.collect()]
+    got = sorted((r["gene_id"], r["i"]) for r in intervals.stabbing_join(d, g, ["ref_id"], "start", ("g_start", "g_end"), closed, share, block).collect())
+    assert got == sorted((a[0], b[0]) for a in every for b in items if a[1] == b[1] and (a[2] <= b[2] < a[3] or (closed and a[2] <= b[2] == a[3])))
+
+
+def test_long_spans_are_dealt_in_proportion(spark):
+    """Spans of the whole axis that hold few points: neither their length nor empty stretches make rows."""
+    spans = spark.range(300).selectExpr("0 AS ref_id", "id AS s_id", "id AS start", "cast(1e12 AS long) + id AS end")
+    points = spark.range(40).selectExpr("0 AS ref_id", "id AS p_id", "id * 20000000000 + 500 AS at")
+    got = intervals.stabbing_join(points, spans, ["ref_id"], "at", block=1 << 30)
+    assert got.count() == 300 * 40
+    met = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in met and "CartesianProduct" not in met
+
+
+@pytest.mark.parametrize("block", [3, 64, 1 << 20])
+def test_blocked_islands_equal_one_pass(spark, spans, block):
+    _, (items, d) = spans
+    d = d.unionByName(d.where("i % 7 = 0")).withColumn("end", F.col("start") + F.col("i") % 5)
+    for touch in (0, 1, 30):
+        one, two = (sorted(map(tuple, intervals.islands(d, ["ref_id"], touch=touch, block=b).select("ref_id", "i", "start", "end", "island").collect())) for b in (None, block))
+        assert one == two and (touch or len({r[4] for r in one}) > 1)
+
+
+def test_one_contig_uses_many_tasks(spark):
+    """Blocks of one contig's axis are dealt over the partitions, and no window has a larger key."""
+    rows = spark.range(4000).selectExpr("'c' AS seqid", "id * 1000 AS start", "id * 1000 + id % 1500 AS end")
+    got = intervals.islands(rows, ["seqid"], block=1 << 14)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("_block") > 4
+    spread = rows.withColumn("b", F.floor(F.col("start") / (1 << 14))).repartition(16, "seqid", "b").groupBy(F.spark_partition_id()).count().collect()
+    assert len(spread) > 8 and got.select("island").distinct().count() == annotation.merged_exons(rows, ["seqid"]).count()
 
 
 @pytest.mark.parametrize("block", [10, 1000])
