@@ -50,29 +50,38 @@ def regularized_beta(a, b, x) -> np.ndarray:
 
 
 def beta_quantile(p: float, a, b) -> np.ndarray:
-    """The x with I_x(a, b) = p. A parameter of 0 puts all weight on its end: a = 0 gives 0, b = 0 gives 1."""
+    """The x with I_x(a, b) = p. A parameter of 0 puts all weight on its end: a = 0 gives 0, b = 0 gives 1.
+
+    Pairs are solved in classes of like size, as the fraction's length goes by the largest, and leave once they are found."""
     a, b = np.broadcast_arrays(np.asarray(a, float), np.asarray(b, float))
-    ok = (a > 0) & (b > 0)
     out = np.where(a <= 0, 0.0, 1.0)
-    if not ok.any():
-        return out
-    u, v = a[ok], b[ok]
-    lo, hi = np.zeros_like(u), np.ones_like(u)
-    x, scale = u / (u + v), _lgamma(u + v) - _lgamma(u) - _lgamma(v)
+    ok = np.flatnonzero((a > 0) & (b > 0))
+    size = np.floor(np.log2(np.maximum(np.maximum(a[ok], b[ok]), 1)) / 2)
+    for c in np.unique(size):
+        own = ok[size == c]
+        out[own] = _solved(p, a[own], b[own])
+    return out
+
+
+def _solved(p: float, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    lo, hi, x = np.zeros_like(u), np.ones_like(u), u / (u + v)
+    scale, open_ = _lgamma(u + v) - _lgamma(u) - _lgamma(v), np.arange(len(u))
     for _ in range(200):
-        err = regularized_beta(u, v, x) - p
-        lo, hi = np.where(err < 0, x, lo), np.where(err >= 0, x, hi)
-        slope = np.exp(scale + (u - 1) * np.log(np.clip(x, 1e-300, None)) + (v - 1) * np.log1p(-np.clip(x, None, 1 - 1e-16)))
+        y = x[open_]
+        err = regularized_beta(u[open_], v[open_], y) - p
+        lo[open_], hi[open_] = np.where(err < 0, y, lo[open_]), np.where(err >= 0, y, hi[open_])
+        low, high = lo[open_], hi[open_]
+        slope = np.exp(scale[open_] + (u[open_] - 1) * np.log(np.clip(y, 1e-300, None)) + (v[open_] - 1) * np.log1p(-np.clip(y, None, 1 - 1e-16)))
         flat = np.abs(err) >= slope  # such a step would leave the bracket
-        new = x - np.where(flat, 0, err) / np.where(flat, 1, slope)
-        new = np.where((new > lo) & (new < hi) & ~flat, new, (lo + hi) / 2)
-        done = np.all(np.abs(new - x) <= 1e-14 * np.maximum(new, 1e-300))
-        x = new
-        if done:
+        new = y - np.where(flat, 0, err) / np.where(flat, 1, slope)
+        new = np.where((new >= low) & (new <= high) & ~flat, new, (low + high) / 2)
+        x[open_] = new
+        # Steps below what I_x can tell apart, or a bracket that has closed.
+        going = (np.abs(new - y) > 1e-12 * new + 1e-300) & (np.abs(err) > 1e-15) & (high - low > 1e-12 * high)
+        open_ = open_[going]
+        if not len(open_):
             break
-    out = out.copy()
-    out[ok] = x
-    return out
+    return x
 
 
 def _bounds(count_in: pa.Array, count_out: pa.Array) -> pa.Array:
