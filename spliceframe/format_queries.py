@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spliceframe.model import Options
-from spliceframe.operators import annotation, expression, intervals, reads, splicing
+from spliceframe.operators import annotation, expression, intervals, models, reads, sequences, splicing
 from spliceframe.plans import fixtures as fx
 from spliceframe.queries import BY, _COUNTS, _MATES, _mates, _records, query
 from spliceframe.sources import alignments as al
-from spliceframe.sources import gff, sinks, tables
+from spliceframe.sources import fasta, gff, sinks, tables
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -329,3 +329,106 @@ def spliced_sequence(spark, sf_dir):
     exons = _blocks(spark, sf_dir).distinct().selectExpr("tx_id", "strand", "floor(start / 2000) AS ref_name", "start % 2000 + 1 AS start", "start % 2000 + 1 + end - start AS end")
     contigs = exons.select("ref_name").distinct().withColumn("seq", F.repeat(F.lit("ACGTRGTTCA"), 300))
     return annotation.spliced_sequence(exons, contigs, ["tx_id"])
+
+
+#: Features of four levels and odd ones: a gene, a transcript below it, a feature of another kind below that, and an exon; an exon of the transcript; a transcript without a parent and
+#: its exon; a feature that doesn't overlap its parent in every other group. Ids repeat, within a contig farther away than a parent may be.
+_NEST = "p_partkey div 8"
+
+
+def _nested(spark, sf_dir) -> DataFrame:
+    p = _table(spark, sf_dir, "part").selectExpr("p_partkey AS line_no", f"{_NEST} AS g", "p_partkey % 8 AS k", "p_name").withColumn("r", F.col("g") % 210)
+    at = F.col("g") * 40_000 + F.col("k") * 10
+    kinds = F.element_at(F.array(*[F.lit(x) for x in ("gene", "transcript", "other", "exon", "exon", "transcript", "exon", "other")]), (F.col("k") + 1).cast("int"))
+    up = F.element_at(F.array(*[F.lit(x).cast("int") for x in (None, 0, 1, 2, 1, 9, 5, 1)]), (F.col("k") + 1).cast("int"))
+    name = lambda c: F.concat(F.lit("F"), F.col("r"), F.lit("_"), c)
+    far = F.when((F.col("k") == 7) & (F.col("g") % 2 == 0), 5000).otherwise(0)
+    return p.select(
+        "line_no", name(F.col("k")).alias("id"), F.when(up.isNull(), F.array().cast("array<string>")).otherwise(F.array(name(up))).alias("parents"), kinds.alias("kind"), F.concat(F.lit("chr"), F.col("g") % 3).alias("seqid"),
+        F.when((F.col("k") == 0) & (F.col("g") % 4 == 1), ".").otherwise(F.when(F.col("g") % 5 == 0, "-").otherwise("+")).alias("strand"), (at + far).alias("start"), (at + far + F.when(F.col("k") < 2, 1000).otherwise(300)).alias("end"),
+        F.when(F.col("k") == 0, F.concat(F.lit("G"), F.col("g"))).when((F.col("k") == 1) & (F.col("g") % 6 == 0), F.lit("own")).alias("gene_id"), F.when((F.col("k") == 0) & (F.col("g") % 7 > 0), F.col("p_name")).alias("gene_name"),
+    )
+
+
+_NESTED = """p AS (SELECT p_partkey AS line_no, p_partkey // 8 AS g, p_partkey % 8 AS k, p_name, p_partkey // 8 % 210 AS r FROM part),
+f AS (SELECT *, 'F' || r || '_' || k AS id, 'F' || r || '_' || [NULL, 0, 1, 2, 1, 9, 5, 1][k + 1] AS up, ['gene', 'transcript', 'other', 'exon', 'exon', 'transcript', 'exon', 'other'][k + 1] AS kind, 'chr' || g % 3 AS seqid,
+ CASE WHEN k = 0 AND g % 4 = 1 THEN '.' WHEN g % 5 = 0 THEN '-' ELSE '+' END AS strand, g * 40000 + k * 10 + CASE WHEN k = 7 AND g % 2 = 0 THEN 5000 ELSE 0 END AS s,
+ g * 40000 + k * 10 + CASE WHEN k = 7 AND g % 2 = 0 THEN 5000 ELSE 0 END + CASE WHEN k < 2 THEN 1000 ELSE 300 END AS e,
+ CASE WHEN k = 0 THEN 'G' || g WHEN k = 1 AND g % 6 = 0 THEN 'own' END AS gene_id, CASE WHEN k = 0 AND g % 7 > 0 THEN p_name END AS gene_name FROM p),
+l AS (SELECT c.line_no, min(u.line_no) AS parent FROM f c JOIN f u ON u.id = c.up AND u.seqid = c.seqid AND u.line_no <> c.line_no AND u.strand IN ('.', c.strand) AND abs(u.s - c.s) <= 7000000
+ AND (c.kind = 'exon' OR (u.s <= c.e AND u.e >= c.s)) GROUP BY 1)"""
+
+
+@query(f"{_NESTED} SELECT line_no, parent FROM l")
+def parent_links(spark, sf_dir):
+    return models.parent_links(_nested(spark, sf_dir))
+
+
+@query(f"""{_NESTED}, w AS (WITH RECURSIVE w AS (SELECT l.line_no, l.parent, 1 AS d FROM l UNION ALL SELECT w.line_no, l.parent, d + 1 FROM w JOIN f ON f.line_no = w.parent AND f.kind <> 'gene' JOIN l ON l.line_no = w.parent) SELECT * FROM w),
+n AS (SELECT w.line_no, u.line_no AS gene_line, u.gene_id, u.gene_name, row_number() OVER (PARTITION BY w.line_no ORDER BY d, u.line_no) AS o FROM w JOIN f u ON u.line_no = w.parent AND u.kind = 'gene')
+SELECT f.line_no, f.kind, n.gene_line, coalesce(f.gene_id, n.gene_id) AS gene_id, coalesce(f.gene_name, n.gene_name) AS gene_name FROM f LEFT JOIN n ON n.line_no = f.line_no AND o = 1""")
+def inherited_names(spark, sf_dir):
+    return models.inherited(_nested(spark, sf_dir)).select("line_no", "kind", "gene_line", "gene_id", "gene_name")
+
+
+@query(f"""{_NESTED}, w AS (WITH RECURSIVE w AS (SELECT l.line_no, l.parent FROM l UNION ALL SELECT w.line_no, l.parent FROM w JOIN f ON f.line_no = w.parent AND f.kind <> 'transcript' JOIN l ON l.line_no = w.parent) SELECT * FROM w)
+SELECT u.line_no AS tx_line, u.id AS tx_id, count(*) AS n, min(f.s) AS start, max(f.e) AS "end" FROM w JOIN f USING (line_no) JOIN f u ON u.line_no = w.parent AND u.kind = 'transcript' WHERE f.kind = 'exon' GROUP BY ALL""")
+def deep_tree(spark, sf_dir):
+    transcripts, exons = models.assembled(_nested(spark, sf_dir))
+    return transcripts.join(exons.groupBy("tx_line").agg(F.count("*").alias("n")), "tx_line").select("tx_line", "tx_id", "n", "start", "end")
+
+
+@query(f"""{_RUNS}, c AS (SELECT strand, t, list({{s: s, e: e}} ORDER BY s) AS x, min(s) AS s, max(e) AS e FROM m GROUP BY 1, 2), d AS (SELECT *, [{{s: x[j].e + 1, e: x[j + 1].s - 1}} for j in range(1, len(x))] AS i FROM c),
+b AS (SELECT a.strand, a.t, u.t AS c, len(u.i) AS n, a.s AS al, a.e AS ah, len(a.i) AS an, u.x AS ux, a.i AS ai, list_position(u.i, a.i[1]) AS p, u.i AS ui FROM d a JOIN d u ON a.strand = u.strand AND a.t <> u.t AND u.s <= a.s AND u.e >= a.e),
+h AS (SELECT strand, t, c, n, al, ah, an, ux[p].s AS low, ux[p + an].e AS high FROM b WHERE an > 0 AND p > 0 AND ui[p:p + an - 1] = ai
+ UNION ALL SELECT strand, t, c, n, al, ah, an, y.s, y.e FROM (SELECT *, unnest(ux) AS y FROM b WHERE an = 0)),
+k AS (SELECT *, row_number() OVER (PARTITION BY strand, t ORDER BY high DESC, n DESC, low, c) AS o FROM h WHERE low <= al AND high >= ah AND NOT (low = al AND high = ah AND n = an AND c > t)),
+held AS (SELECT d.strand, d.t, k.c FROM d LEFT JOIN k ON k.strand = d.strand AND k.t = d.t AND o = 1),
+w AS (WITH RECURSIVE w AS (SELECT strand, t, t AS keeper FROM held WHERE c IS NULL UNION ALL SELECT held.strand, held.t, w.keeper FROM w JOIN held ON held.strand = w.strand AND held.c = w.t) SELECT * FROM w)
+SELECT strand, t AS tx_id, keeper FROM w""")
+def transcript_collapse(spark, sf_dir):
+    exons = annotation.merged_exons(_blocks(spark, sf_dir), ["strand", "tx_id"])
+    return models.collapsed(exons, ["strand"], "tx_id")
+
+
+#: Contigs from digests of part keys, 32 bases each; exons and a coding part for each order's lines.
+_HEX, _BASES = "0123456789abcdef", "ACGTTGCAACGTGTCA"
+
+
+def _contigs(spark, sf_dir) -> DataFrame:
+    p = _table(spark, sf_dir, "part").select("p_partkey")
+    return fasta.blocks_of(p.select(F.concat(F.lit("chr"), F.col("p_partkey") % 5).alias("ref_name"), (F.floor(F.col("p_partkey") / 5) * 32).alias("offset"), F.translate(F.md5(F.col("p_partkey").cast("string")), _HEX, _BASES).alias("text")), 1000)
+
+
+def _on_contigs(spark, sf_dir) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS tx_id", "concat('chr', l_orderkey % 5) AS ref_name", "CASE WHEN l_orderkey % 3 = 0 THEN '-' ELSE '+' END AS strand", "l_partkey * 6 AS start", "l_partkey * 6 + CAST(l_quantity AS BIGINT) AS end")
+    return annotation.merged_exons(rows, ["tx_id", "ref_name", "strand"])
+
+
+def _coding_part(exons: DataFrame) -> DataFrame:
+    return exons.groupBy("tx_id").agg((F.min("start") + F.col("tx_id") % 23).alias("c_start"), (F.max("end") - F.col("tx_id") % 17).alias("c_end")).withColumn("phase", F.col("tx_id") % 4)
+
+
+_CONTIGS = f"""q AS (SELECT 'chr' || p_partkey % 5 AS ref, string_agg(translate(md5(p_partkey::VARCHAR), '{_HEX}', '{_BASES}'), '' ORDER BY p_partkey) AS seq FROM part GROUP BY 1),
+x AS (SELECT l_orderkey AS t, 'chr' || l_orderkey % 5 AS ref, CASE WHEN l_orderkey % 3 = 0 THEN '-' ELSE '+' END AS strand, l_partkey * 6 AS s, l_partkey * 6 + CAST(l_quantity AS BIGINT) AS e FROM lineitem),
+o AS (SELECT *, max(e) OVER (PARTITION BY t ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x), i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY t ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS isle FROM o),
+m AS (SELECT t, ref, strand, isle, min(s) AS s, max(e) AS e FROM i GROUP BY 1, 2, 3, 4), g AS (SELECT t, min(s) + t % 23 + CASE WHEN strand = '+' AND t % 4 IN (1, 2) THEN t % 4 ELSE 0 END AS lo, max(e) - t % 17 - CASE WHEN strand = '-' AND t % 4 IN (1, 2) THEN t % 4 ELSE 0 END AS hi, min(s) AS s, max(e) AS e, ref, strand FROM m GROUP BY t, ref, strand)"""
+_TURN = "CASE WHEN strand = '-' THEN reverse(translate(v, 'ACGT', 'TGCA')) ELSE v END"
+_CODING = f"""{_CONTIGS}, j AS (SELECT m.t, m.strand, string_agg(substr(seq, greatest(m.s, lo), least(m.e, hi) - greatest(m.s, lo) + 1), '' ORDER BY m.s) AS v FROM m JOIN g USING (t) JOIN q ON q.ref = m.ref WHERE greatest(m.s, lo) <= least(m.e, hi) GROUP BY 1, 2), k AS (SELECT t, {_TURN} AS v FROM j WHERE v <> '')"""
+
+
+@query(f"{_CONTIGS}, j AS (SELECT t, strand, substr(seq, s, e - s + 1) AS v FROM g JOIN q USING (ref)) SELECT t AS tx_id, {_TURN} AS sequence FROM j WHERE v <> ''")
+def unspliced_sequence(spark, sf_dir):
+    return sequences.unspliced(_on_contigs(spark, sf_dir), _contigs(spark, sf_dir), ["tx_id"], 1000)
+
+
+@query(f"{_CODING} SELECT t AS tx_id, v AS sequence FROM k")
+def coding_sequence(spark, sf_dir):
+    exons = _on_contigs(spark, sf_dir)
+    return sequences.coding(exons, _coding_part(exons), _contigs(spark, sf_dir), ["tx_id"], 1000)
+
+
+@query(f"""{_CODING} SELECT t AS tx_id, array_to_string([substr('{annotation.CODE}', 16 * (instr('TCAG', v[n]) - 1) + 4 * (instr('TCAG', v[n + 1]) - 1) + instr('TCAG', v[n + 2]), 1) for n in range(1, len(v) - 1, 3)], '') AS sequence FROM k""")
+def protein_sequence(spark, sf_dir):
+    exons = _on_contigs(spark, sf_dir)
+    return sequences.translated(exons, _coding_part(exons), _contigs(spark, sf_dir), ["tx_id"], 1000)
