@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spliceframe.llm.common import Workspace, byte_words, gram_hashes, mix, word_hashes
+from spliceframe.llm.common import Workspace, byte_words, gram_hashes, mix, released, word_hashes
 from spliceframe.llm.components import connected_components
 
 TREES, MIN_DEPTH, PATH, SHINGLE, PERCENT, BLOCK, HELD = 24, 3, 12, 5, 75, 512, 1 << 21
@@ -166,7 +166,7 @@ def _near(labelled: DataFrame, step: int, reach: int, regions: DataFrame | None)
     path = F.element_at(F.array(*[_path(t, PATH) for t in range(0, TREES, step)]), F.col("at") + 1)
     rows = rows.select("at", path.alias("path"), "region", "id", "c", "n", "bits")
     parts = max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartitionByRange(parts, "at", "path", "id").sortWithinPartitions("at", "path", "id").mapInPandas(_neighbours(reach), "a binary, b binary")
+    return rows.repartitionByRange(parts, "at", "path", "id").sortWithinPartitions("at", "path", "id").mapInPandas(released(_neighbours(reach)), "a binary, b binary")
 
 
 def _pairs_of(rows: list[tuple]) -> list[tuple]:
@@ -225,14 +225,14 @@ def _rest(labelled: DataFrame, regions: DataFrame) -> DataFrame:
     rows = rows.withColumn("p", F.explode(F.when(F.col("x").isNull(), right).otherwise(F.array_union(right, left))))
     rows = rows.select("region", "p.i", "p.j", "x", "y", "id", "c", "main", "n", "bits")
     parts = max(1, int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInPandas(_met, "a binary, b binary")
+    return rows.repartition(parts, "region", "i", "j").sortWithinPartitions("region", "i", "j").mapInPandas(released(_met), "a binary, b binary")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, ws: Workspace) -> DataFrame:
     """Of pairs(a, b) those whose full sets are similar enough."""
     pairs = ws.save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return ws.save(both.select("a", "b", "ta", "tb").mapInArrow(_confirmed, "a binary, b binary"), "links")
+    return ws.save(both.select("a", "b", "ta", "tb").mapInArrow(released(_confirmed), "a binary, b binary"), "links")
 
 
 def near_duplicate_groups(docs: DataFrame, ws: Workspace | None = None) -> DataFrame:
@@ -245,7 +245,7 @@ def near_duplicate_groups(docs: DataFrame, ws: Workspace | None = None) -> DataF
     spark = docs.sparkSession
     ws = ws or Workspace(spark, "near")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), "text")
-    signed = ws.save(rows.mapInArrow(_signed, _SIGNED), "signed")
+    signed = ws.save(rows.mapInArrow(released(_signed), _SIGNED), "signed")
     known = signed.where("doc_id is not null and n > 0")
     # Equal sets are one class, known by its set's 128-bit hash.
     classes = known.groupBy("id").agg(F.min(F.struct("doc_id", "tk")).alias("of"), *[F.first(c).alias(c) for c in ("n", "sig", "bits")])

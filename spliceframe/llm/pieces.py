@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spliceframe.llm.common import mix
+from spliceframe.llm.common import mix, release
 
 ALPHA, RANK_SHIFT, CHUNK_CHARS, UNKNOWN, LONG = 1.0, 10.0, 600_000, 1e-9, 256
 _MARK, _LITERAL = "▁", "\ud800"  # the second stands for a mark of the text itself: no valid text holds a lone surrogate
@@ -303,6 +303,7 @@ def encoder(path: str | None = None, alpha: float = ALPHA, with_ids: bool = True
 
     @arrow_udf("struct<n_pieces:long,lossless:boolean,ids_sha256:string,piece_ids:array<int>>")
     def encode(key: pa.Array, text: pa.Array) -> pa.Array:
+        release()  # what the batch before has left
         v, out, lists = load(path, alpha), [], []
         keys = key.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         for at, n in chunks(pc.fill_null(pc.binary_length(text), 0).to_pylist()):

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spliceframe.llm.common import Workspace, byte_words, gram_hashes, word_hashes
+from spliceframe.llm.common import Workspace, byte_words, gram_hashes, released, word_hashes
 
 WINDOW, GRAM, SHARD_WORDS, TASK_SEGMENTS = 50, 25, 250_000, 100_000
 _P = 2147483647
@@ -148,13 +148,13 @@ def _located(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_passages(docs: DataFrame, ws: Workspace) -> DataFrame:
     """docs(key long, tk long, text): distinct texts. Returns key, tk, spans: array of (start, n, w1, w2), words of the text that also stand in a
     document with a smaller key; w1 and w2 are the hashes of the first and the last window, to be checked against the text."""
-    fps = docs.mapInPandas(_fingerprints, "fp long, key long, tk long")
+    fps = docs.mapInPandas(released(_fingerprints), "fp long, key long, tk long")
     shared = fps.groupBy("fp").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("fp")
     hits = fps.join(shared, "fp").groupBy("key", "tk").agg(F.collect_list("fp").alias("fps"))
     held = ws.save(docs.join(hits, ["key", "tk"]), "held")
 
     id_hash = F.pmod(F.xxhash64("key", "tk"), F.lit(_P))
-    windows = held.mapInPandas(_windows, "w long, key long, tk long, pos int")
+    windows = held.mapInPandas(released(_windows), "w long, key long, tk long, pos int")
     counted = windows.groupBy("w").agg(
         F.min(F.struct("key", "tk", "pos")).alias("o"), F.max("key").alias("hi"), F.count("*").alias("n"),
         F.sum(id_hash).alias("a"), F.sum(F.pmod(id_hash * F.col("pos"), F.lit(_P))).alias("b"),
@@ -164,7 +164,7 @@ def repeated_passages(docs: DataFrame, ws: Workspace) -> DataFrame:
 
     words = owned.agg(F.sum(F.size("own"))).first()[0] or 0
     shards = 1 + 4 * words // SHARD_WORDS  # a pattern of k windows has k + 49 words
-    cut = ws.save(held.join(owned, ["key", "tk"], "left").mapInPandas(_pieces(shards), _PIECE), "pieces")
+    cut = ws.save(held.join(owned, ["key", "tk"], "left").mapInPandas(released(_pieces(shards)), _PIECE), "pieces")
     ws.drop(held, owned)
     salts = cut.where("kind = 1").groupBy("shard").count().select("shard", (F.col("count") / TASK_SEGMENTS).cast("int").alias("more"))
     rows = cut.join(salts, "shard")
@@ -172,7 +172,7 @@ def repeated_passages(docs: DataFrame, ws: Workspace) -> DataFrame:
     one = F.array(F.pmod(F.xxhash64("key", "tk", "start"), F.col("more") + 1).cast("int"))
     rows = rows.withColumn("salt", F.explode(F.when(F.col("kind") == 0, every).otherwise(one))).drop("more")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = rows.repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(_located, "key long, tk long, start int, n int, w1 long, w2 long")
+    found = rows.repartition(parts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInPandas(released(_located), "key long, tk long, start int, n int, w1 long, w2 long")
     return ws.save(found.groupBy("key", "tk").agg(F.collect_set(F.struct("start", "n", "w1", "w2")).alias("spans")), "spans")
 
 
@@ -220,7 +220,7 @@ def remove_repeated_passages(docs: DataFrame, ws: Workspace | None = None) -> Da
     others = [c for c in docs.columns if c != "text"]
     out = judged.select(F.struct(*[F.col(f"row.`{c}`") for c in others]).alias("row"), "text", "spans", "copy")
     kind = out.schema["row"].dataType.simpleString()
-    done = out.mapInArrow(_kept, f"row {kind}, text string, n_words long, n_removed long")
+    done = out.mapInArrow(released(_kept), f"row {kind}, text string, n_words long, n_removed long")
     same = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return done.select(*same, "n_words", "n_removed")
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from spliceframe.llm.common import Workspace
+from spliceframe.llm.common import Workspace, release, released
 
 SAMPLE, VOCABULARY, LEAST_DOCS, ROUNDS, RATE, PENALTY, THRESHOLD, OFFENDING, STARTS, FOLDS = 16384, 2048, 3, 150, 0.2, 2e-5, 0.7, 0.5, (5, 7), 3
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -175,11 +175,11 @@ def fit(docs: DataFrame, labels: DataFrame, ws: Workspace | None = None) -> Mode
     if not count:
         return Model(-7.0, 0.02, {})
     rate = toxic / count
-    df = sample.mapInArrow(_words_of, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    df = sample.mapInArrow(released(_words_of), "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
     expected = F.col("n") * F.lit(rate)
     best = df.where((F.col("t") >= LEAST_DOCS) & (F.col("t") > 1.5 * expected)).withColumn("gain", (F.col("t") - expected) ** 2 / expected)
     words = [r[0] for r in best.orderBy(F.desc("gain"), "word").limit(VOCABULARY).select("word").collect()]
-    bags = sample.mapInArrow(_bags({w: i for i, w in enumerate(words)}), "toxic long, n long, flat array<int>, sizes array<int>, h long").toPandas().sort_values("h", kind="stable")
+    bags = sample.mapInArrow(released(_bags({w: i for i, w in enumerate(words)})), "toxic long, n long, flat array<int>, sizes array<int>, h long").toPandas().sort_values("h", kind="stable")
     per_doc = np.array([len(s) for s in bags["sizes"]], np.int64)
     joined = lambda c: np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in bags[c]]])
     data = bags["toxic"].to_numpy(float), bags["n"].to_numpy(float), joined("flat"), joined("sizes"), per_doc, len(words)
@@ -215,7 +215,9 @@ def scorer(model: Model):
     @arrow_udf(_RESULT)
     def score(texts: pa.Array) -> pa.Array:
         plain = float(np.log1p(-1 / (1 + np.exp(-model.bias))))
-        return pa.array([score_text(t.as_py(), model, plain) for t in texts], pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("sentences", pa.int32()), ("offending", _OFFENDING)]))
+        rows = [score_text(t.as_py(), model, plain) for t in texts]
+        release()
+        return pa.array(rows, pa.struct([("score", pa.float64()), ("predicted", pa.int32()), ("sentences", pa.int32()), ("offending", _OFFENDING)]))
 
     return score
 
