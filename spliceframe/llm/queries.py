@@ -91,11 +91,30 @@ def _rules_sql(host: str, path: str, value: int) -> str:
     return "CASE " + " ".join(when) + " END"
 
 
-_TO = r"nullif(regexp_extract(regexp_extract(html, '{}', 0, 's'), '{}', 1, 's'), '')"
-_LINKS = [
-    _TO.format(r"(?i)<link\s[^>]*\brel\s*=\s*[\x22\x27]?canonical\b[^>]*>", r"(?i)\bhref\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)"),
-    _TO.format(r"(?i)<meta\s[^>]*\bhttp-equiv\s*=\s*[\x22\x27]?refresh\b[^>]*>", r"(?i)\burl\s*=\s*[\x22\x27]?([^\x22\x27\s>]+)"),
-]
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _attribute_sql(parts: str, name: str) -> str:
+    raw = f"regexp_extract(list_filter({parts}, lambda x: lower(regexp_extract(x, {_quoted(url_filter.NAME)}, 1)) = '{name}')[1], {_quoted(url_filter.VALUE)}, 1)"
+    bare = f"CASE WHEN regexp_matches({raw}, {_quoted('^[\x22\x27]')}) THEN substr({raw}, 2, greatest(length({raw}) - 2, 0)) ELSE {raw} END"
+    for entity, char in url_filter.ENTITIES:
+        bare = f"regexp_replace({bare}, '{entity}', {_quoted(char)}, 'g')"
+    return rf"nullif(regexp_replace({bare}, '^\s+|\s+$', '', 'g'), '')"
+
+
+def _resolved_sql(to: str, url: str) -> str:
+    path = rf"coalesce(nullif(regexp_extract({url}, '^.*?://[^/?#]*([^?#]*)', 1, 's'), ''), '/')"
+    way, rest, origin = rf"regexp_extract({to}, '^([^?#]*)', 1, 's')", rf"regexp_extract({to}, '^[^?#]*(.*)$', 1, 's')", f"'http://' || {_HOST.format(url)}"
+
+    def without_dots(p: str) -> str:
+        folded = rf"list_reduce(list_prepend('', string_split({p}, '/')[2:]), lambda acc, x: CASE x WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END)"
+        return rf"CASE WHEN regexp_matches({p}, '/\.\.?$') THEN {folded} || '/' ELSE {folded} END"
+
+    folder = rf"regexp_extract({path}, '^(.*/)', 1, 's')"
+    return rf"""CASE WHEN regexp_matches({to}, '(?i)^https?://') THEN {to} WHEN starts_with({to}, '//') THEN 'http:' || {to} WHEN regexp_matches({to}, '(?i)^[a-z][a-z0-9+.-]*:') OR {_HOST.format(url)} = '' THEN NULL
+ WHEN starts_with({to}, '/') THEN {origin} || {without_dots(way)} || {rest} WHEN starts_with({to}, '?') THEN {origin} || {path} || {to}
+ WHEN starts_with({to}, '#') THEN {origin} || {path} || regexp_extract({url}, '^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1, 's') || {to} ELSE {origin} || {without_dots(f"({folder} || {way})")} || {rest} END"""
 
 
 def _license_templates() -> str:
@@ -106,9 +125,16 @@ def _license_templates() -> str:
 ORACLES = {
     "op3_url_filter": f"""
 WITH RECURSIVE p AS (SELECT page_id, {_HOST.format('url')} AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path, {_node('url')} AS node, url, html FROM pages),
-l AS (SELECT node, host, unnest([{', '.join(_LINKS)}]) AS t FROM p),
-a AS (SELECT node, CASE WHEN regexp_matches(t, '(?i)^https?://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t WHEN starts_with(t, '/') THEN 'http://' || host || t END AS t FROM l),
-g AS (SELECT node AS x, {_node('t')} AS y FROM a WHERE t IS NOT NULL),
+h AS (SELECT node, url, row_number() OVER () AS r, list_filter(regexp_extract_all(html, {_quoted(url_filter.TAGS)}), lambda t: regexp_matches(t, '(?i)^<(?:link|meta|base)')) AS tags FROM p),
+u AS (SELECT node, url, r, unnest(tags) AS tag, generate_subscripts(tags, 1) AS nr FROM h),
+k AS (SELECT node, url, r, nr, lower(substr(tag, 2, 4)) AS kind, regexp_extract_all(tag, {_quoted(url_filter.ATTRIBUTES)}) AS parts FROM u),
+v AS (SELECT node, url, r, nr, kind, {_attribute_sql('parts', 'href')} AS href, regexp_split_to_array(lower({_attribute_sql('parts', 'rel')}), '\\s+') AS rel, lower({_attribute_sql('parts', 'http-equiv')}) AS equiv, {_attribute_sql('parts', 'content')} AS content FROM k),
+b AS (SELECT r, arg_min(href, nr) AS base FROM v WHERE kind = 'base' AND href IS NOT NULL GROUP BY 1),
+l AS (SELECT node, r, url, CASE WHEN kind = 'link' AND list_contains(rel, 'canonical') THEN href
+  WHEN kind = 'meta' AND equiv = 'refresh' THEN nullif(regexp_replace({' || '.join(f'regexp_extract(content, {_quoted(url_filter.REFRESH)}, {i})' for i in (1, 2, 3))}, '^\\s+|\\s+$', '', 'g'), '') END AS t FROM v),
+w AS (SELECT node, t, coalesce({_resolved_sql('base', 'url')}, url) AS base FROM l LEFT JOIN b USING (r) WHERE t IS NOT NULL),
+a AS (SELECT node, {_resolved_sql('t', 'base')} AS t FROM w),
+g AS (SELECT node AS x, {_node('t')} AS y FROM a WHERE node IS NOT NULL AND t IS NOT NULL),
 e AS (SELECT x, y FROM g WHERE x <> y UNION SELECT y, x FROM g WHERE x <> y),
 n AS (SELECT DISTINCT x AS node FROM e),
 r AS (SELECT node, node AS root FROM n UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),

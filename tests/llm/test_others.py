@@ -56,14 +56,52 @@ def test_url_links_of_each_form(spark):
         "index.html": "/a/b/index.html", "../de/1": "/a/de/1", "../../de/1": "/de/1", "../../../../de/1": "/de/1", "./x": "/a/b/x", "x/../y/./z": "/a/b/y/z", "..": "/a/", ".": "/a/b/", "?id=2": "/a/b/c?id=2",
         "?a=1&amp;b=2": "/a/b/c?a=1&b=2", "x?u=../y": "/a/b/x?u=../y", "/r/../s?t": "/s?t", "/r&#38;s": "/r&s", "&amp;lt;": "/a/b/&lt;", "#top": "/a/b/c?q=1",
     }
-    for form, want in [*((k, "shop.com" + v) for k, v in forms.items()), ("//D.com/x", "d.com/x"), ("https://d.com/x?a&amp;b#c", "d.com/x?a&b"), ("mailto:x@y.z", None)]:
-        page = spark.createDataFrame([("http://Shop.com/a/b/c?q=1#f", f'<link rel="canonical" href="{form}">')], "url string, html string")
-        assert page.select(url_filter.node_of(url_filter._target(F.col("html"), url_filter._CANONICAL, url_filter._HREF, F.col("url")))).first()[0] == want, form
+    every = [*((k, "shop.com" + v) for k, v in forms.items()), ("//D.com/x", "d.com/x"), ("https://d.com/x?a&amp;b#c", "d.com/x?a&b"), ("mailto:x@y.z", None)]
+    page = spark.createDataFrame([(k, "http://Shop.com/a/b/c?q=1#f", f'<link rel="canonical" href="{k}">') for k, _ in every], "form string, url string, html string")
+    assert {r[0]: r[1] for r in url_filter.links_in(page).select("form", url_filter.node_of(F.col("to"))).collect()} == dict(every)
     pages = [(1, "http://shop.com/a/x", '<meta http-equiv="refresh" content="0; url=../de/1">'), (2, "http://shop.com", '<link rel="canonical" href="de/2">'), (3, None, '<link rel="canonical" href="de/2">')]
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "allow"}
 
 
+TAGS = [
+    ('<link rel=canonical><link rel=canonical href=/1>', [None, "/1"]), ('<LINK REL="alternate  Canonical" HREF=\'/2\'>', ["/2"]), ('<link rel="canonical" title="a>b" href="/3">', ["/3"]),
+    ('<meta http-equiv="refresh" content="5; http://d.com/4">', ["http://d.com/4"]), ('<meta http-equiv=refresh content="5;url=\'it&#39;s/5\'">', ["it"]), ('<link rel=canonical href="it\'s/6 x">', ["it's/6 x"]),
+    ('<meta http-equiv="Refresh" content="0;URL=/7"><meta content="1, /8" http-equiv="refresh">', ["/7", "/8"]), ('<!-- <link rel=canonical href=/9> --><link rel=canonical href=/10>', ["/10"]), ('<!-- <link rel=canonical href=/11>', []),
+    ('<script>"<link rel=canonical href=/12>"</script><style><link rel=canonical href=/13></style>', []), ('<link rel=canonical data-href=/14>', []), ('<link rel=canonical title="href=/15">', []), ('<link rel=canonical href=/16 href=/17>', ["/16"]),
+    ('<meta http-equiv=refresh content=5>', []), ('<meta http-equiv=refresh content="url=/18">', ["/18"]), ('<link rel="canonicals" href=/19><a rel=canonical href=/20>', []), ('<linker rel=canonical href=/21>', []), ('<link rel=canonical href=" /22\n">', ["/22"]),
+    ('<link rel=canonical href="/23', []), ("<link rel=canonical " + "a='1' " * 400 + "href=/24>", ["/24"]), ("x" * 200_000 + "<link rel=canonical href=/25>" + "<" * 50_000, ["/25"]), (None, []), ("", []),
+]
+
+
+def test_all_links_of_a_page(spark):
+    rows = spark.createDataFrame([(i, "http://h", h) for i, (h, _) in enumerate(TAGS)], "i long, url string, html string")
+    got = {}
+    for r in url_filter.links_in(rows).collect():
+        got.setdefault(r["i"], []).append(r["to"])
+    at = lambda w: w if w.startswith("http") else "http://h" + (w if w.startswith("/") else "/" + w)
+    for i, (html, want) in enumerate(TAGS):
+        assert got.get(i, []) == [at(w) for w in want if w], html
+
+
+def test_url_sql_on_pages_with_links(spark, tmp_path):
+    """The SQL of the query and the query agree where links decide: chains, both kinds, bases, and all forms above."""
+    import duckdb
+
+    rows = [(i, f"http://h{i}.net/a/b?{i}", (h or "").replace("/", "http://e.com/de/", 1) if i % 2 else h) for i, (h, _) in enumerate(TAGS)]
+    rows += [(100, "http://p.net/x/", '<base href="http://e.com/de/"><link rel=canonical href=q>'), (101, "http://q.net/x/", '<base href="../up/"><link rel=canonical href="//p.net/x/">'), (102, "http://r.net", '<link rel=canonical href="http://q.net/x/#z">')]
+    rows += [(103, "http://s.org.net/", '<meta http-equiv=refresh content="3;url=http://e.com/fr/1">'), (104, "http://t.net/", '<link rel=canonical href="http://s.org.net"><meta http-equiv=refresh content="0 http://f.com/de/2">'), (105, None, "<base href=/x>"), (106, "http://u.net/a/./b/../c", "<link rel=canonical href='../../de/./x'>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in url_filter.judge_urls(pages).select("page_id", "host", "path", "rule", "verdict").collect())
+    pages.toPandas().to_parquet(tmp_path / "pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet')")
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({entry.oracle_sql()['op3_url_filter']})").fetchall()
+    assert got == sorted(want)
+    verdicts = {r[0]: r[4] for r in got}
+    assert verdicts[100] == verdicts[101] == verdicts[102] == "block" and verdicts[103] == verdicts[104] == "allow" and sum(v == "block" for v in verdicts.values()) >= 6
+
+
 PAGES = [(1, "http://a/1", "x" * 99), (2, "http://a/2", "x" * 99), (7, "u", "é" * 50), (5, "u\n v", "é" * 50), (9, None, "é" * 50), (3, "u", None), (4, "u", ""), (6, "w", "WARC/1.1\r\nWARC-Type: response\r\n\r\n" + "y" * 300), (None, "n", "z" * 200), (8, "n", "z" * 200), (8, "n", "z" * 200), (10, "big", "long " * 900_000)]
 
 
