@@ -11,6 +11,7 @@ from spliceframe.model import Options
 from spliceframe.operators import annotation, expression, fusion, junctions, reads, splicing
 from spliceframe.sources import alignments as al
 from spliceframe.sources import gff, sinks, tables
+from spliceframe.sources.reports import write_reports
 
 KEY = ["sample_id", "ref_id"]
 
@@ -66,15 +67,15 @@ def quantify(records: DataFrame, genes: DataFrame, events: DataFrame, opt: Optio
 
 
 def run(spark: SparkSession, gff_path: str, length_path: str, event_files: list[tuple[str, str]], read_path: str, output: str, opt: Options = Options()) -> Result:
-    """Reads the files, quantifies, and writes gene, ase, fusion and log tables under output."""
+    """Reads the files, quantifies, and writes gene, ase, fusion and log tables under output: one ordered file for each sample (and event type), all of a table at once."""
     records, refs, samples = load_alignments(spark, read_path)
     lengths = tables.parse_lengths(tables.lines_of(spark, length_path))
     genes = gff.gene_table(gff.read_gff(spark, gff_path), refs, lengths)
     events = tables.read_events(spark, event_files, refs)
     out = quantify(records, genes, events, opt, spark.createDataFrame([(kind, i) for i, (kind, _) in enumerate(event_files)], "ase_type string, file_idx int"), samples)
-    sinks.write_tsv(sinks.gene_rows(out.genes), f"{output}/gene")
-    sinks.write_tsv(sinks.event_rows(out.events, out.owners, genes), f"{output}/ase", ["ase_type"])
-    sinks.write_tsv(sinks.fusion_rows(out.fusions, genes, ["sample_id"]), f"{output}/fusion")
+    sinks.write_gene_reports(out.genes, f"{output}/gene")
+    sinks.write_event_reports(out.events, out.owners, genes, f"{output}/ase", ["sample_id"])
+    write_reports(sinks.fusion_rows(out.fusions, genes, ["sample_id"]), f"{output}/fusion", ["sample_id"], ["gene_A", "gene_B", "read_count"])
     sinks.write_tsv(out.log, f"{output}/log")
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spliceframe.functions.coords import encode
+from spliceframe.sources.reports import write_reports
 
 
 def three(c: str) -> Column:
@@ -13,11 +14,27 @@ def three(c: str) -> Column:
     return F.when(F.isnan(c), "nan").otherwise(F.format_string("%.3f", F.col(c).cast("double"))).alias(c)
 
 
+def _gene_columns(tpm: DataFrame) -> list:
+    own = [c for c in ("sample_id",) if c in tpm.columns]
+    return [*own, "gene_id", "gene_name", F.col("ref_name").alias("reference"), "strand", F.col("g_start").alias("start"), F.col("g_end").alias("end"), F.col("with_junction").alias("reads_with_junction"), F.col("without_junction").alias("reads_without_junction"), F.col("total").alias("total_reads"), three("tpm")]
+
+
 def gene_rows(tpm: DataFrame) -> DataFrame:
     """In order of reference and start. Range-sorted: each task writes one stretch."""
     own = [c for c in ("sample_id",) if c in tpm.columns]
-    rows = tpm.orderBy(*own, encode(F.col("ref_id"), F.col("g_start")))
-    return rows.select(*own, "gene_id", "gene_name", F.col("ref_name").alias("reference"), "strand", F.col("g_start").alias("start"), F.col("g_end").alias("end"), F.col("with_junction").alias("reads_with_junction"), F.col("without_junction").alias("reads_without_junction"), F.col("total").alias("total_reads"), three("tpm"))
+    return tpm.orderBy(*own, encode(F.col("ref_id"), F.col("g_start"))).select(*_gene_columns(tpm))
+
+
+def write_gene_reports(tpm: DataFrame, path: str) -> None:
+    """One file for each sample, in order of reference and start, then id."""
+    rows = tpm.select(*_gene_columns(tpm), encode(F.col("ref_id"), F.col("g_start")).alias("_at"))
+    write_reports(rows, path, ["sample_id"], ["_at", "gene_id", "end"], hidden=["_at"])
+
+
+def write_event_reports(psi: DataFrame, owners: DataFrame, genes: DataFrame, path: str, by: list[str]) -> None:
+    """One file for each event type and sample, in order of reference and start, then id."""
+    rows = _named_events(psi, owners, genes, []).select(*_event_columns(by), encode(F.col("ref_id"), F.col("e_start")).alias("_at"))
+    write_reports(rows, path, by, ["_at", "ase_id"], ["ase_type"], ["_at"])
 
 
 def names_of(genes: DataFrame) -> DataFrame:
@@ -33,15 +50,23 @@ def fusion_rows(fusions: DataFrame, genes: DataFrame, by: list[str] | None = Non
     return named.select(*by, F.col("name_a").alias("gene_A"), F.col("name_b").alias("gene_B"), F.col("count").alias("read_count")).orderBy(*by, "gene_A", "gene_B")
 
 
-def event_rows(psi: DataFrame, owners: DataFrame, genes: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """psi with its genes' ids and names, joined by commas, null where none owns the event; in order of reference and start."""
-    by = by or []
+def _named_events(psi: DataFrame, owners: DataFrame, genes: DataFrame, by: list[str]) -> DataFrame:
+    """psi with its genes' ids and names, joined by commas, null where none owns the event."""
     names = owners.select(*by, "ase_id", F.posexplode("genes").alias("i", "gene_id")).join(names_of(genes), "gene_id", "left")
     listed = F.array_sort(F.collect_list(F.struct("i", "gene_id", "gene_name")))
     joined = names.groupBy(*by, "ase_id").agg(listed.alias("x")).select(*by, "ase_id", *[F.array_join(_field("x", c), ",").alias(c) for c in ("gene_id", "gene_name")])
-    rows = psi.join(joined, [*by, "ase_id"], "left").orderBy("ase_type", *by, encode(F.col("ref_id"), F.col("e_start")))
+    return psi.join(joined, [*by, "ase_id"], "left")
+
+
+def _event_columns(by: list[str]) -> list:
     null = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c)
-    return rows.select("ase_type", *by, "ase_id", null("gene_id"), null("gene_name"), *[three(c) for c in ("count_in", "count_out", "psi", "psi_lb", "psi_ub")])
+    return ["ase_type", *by, "ase_id", null("gene_id"), null("gene_name"), *[three(c) for c in ("count_in", "count_out", "psi", "psi_lb", "psi_ub")]]
+
+
+def event_rows(psi: DataFrame, owners: DataFrame, genes: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """psi with its genes, in order of reference and start."""
+    by = by or []
+    return _named_events(psi, owners, genes, by).orderBy("ase_type", *by, encode(F.col("ref_id"), F.col("e_start"))).select(*_event_columns(by))
 
 
 def _field(array: str, name: str) -> Column:
