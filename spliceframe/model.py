@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+#: Event types, and how many genes an event keeps. Fixed values.
 ASE_TYPES = ("SE", "A3SS", "A5SS", "RI", "NSE")
 SPAN = "array<struct<s:bigint,e:bigint>>"
 ALIGNMENTS = "sample_id string, ord bigint, qname string, flag int, ref_id int, pos bigint, mpos bigint, isize int, l_seq int, nh int, cigar array<struct<op:string,len:int>>"
 FRAGMENTS = "sample_id string, ref_id int, start bigint, end bigint, has_junction boolean, gap_start bigint, gap_end bigint"
-OWNERS_KEPT = 5
+OWNERS_KEPT = 5  # fixed, as above
 
 
 @dataclass(frozen=True)
