@@ -334,6 +334,55 @@ def test_clustered_vectors_are_pruned(spark, tmp_path):
     assert read < 0.1 * len(want) * len(x)
 
 
+@pytest.mark.parametrize("norm", [1.0, 10.0, 1000.0])
+def test_one_long_vector_changes_nothing(spark, norm):
+    """Recall and rows read of clustered unit vectors, one of which is made longer."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(150, 24))
+    x = centres[rng.integers(0, 150, 12_000)] + 0.25 * rng.normal(size=(12_000, 24))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[77] *= norm
+    ws, kept = Workspace(spark, "t"), {}
+    save = ws.save
+    ws.save = lambda df, name: kept.setdefault(name, save(df, name))
+    got = defaultdict(set)
+    for r in vector_search.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, ws=ws).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q, s in zip(range(0, len(x), 100), x[::100] @ x.T):
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.95 * 20 * len(got) and len(got) == 120
+    sizes = {r[0]: r[1] for r in kept["postings"].groupBy("list").count().collect()}
+    read = sum(sizes.get(r[0], 0) for t in (kept["reads"].where(F.col("place") < vector_search.FIRST), kept["others"]) for r in t.select("list").collect())
+    assert read < 0.06 * len(got) * len(x), read / (len(got) * len(x))
+
+
+def test_vectors_of_far_norms(spark):
+    """Norms over twelve powers of ten, equal directions, and fewer candidates than asked for."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(1500, 6)) * 10.0 ** rng.integers(-6, 7, 1500)[:, None]
+    x[::7] = x[3] * 10.0 ** rng.integers(-2, 3, len(x[::7]))[:, None]
+    got = defaultdict(list)
+    for r in vector_search.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = exact_neighbours(list(enumerate(x.tolist())))
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    assert sum(len(set(got[q]) & {v for v, _ in want[q]}) for q in want) >= 0.95 * 20 * len(want)
+
+
+def test_a_walk_meets_few_centroids():
+    rng = np.random.default_rng(4)
+    c = np.repeat(rng.normal(size=(100, 16)), 40, axis=0) + 0.2 * rng.normal(size=(4000, 16))
+    x = c[rng.integers(0, 4000, 64)] + 0.05 * rng.normal(size=(64, 16))
+    g = vector_search.Graph(c)
+    row, node, place, dist = g.within(x, 1.5)
+    exact = np.sqrt(((x[:, None] - c[None]) ** 2).sum(-1))
+    inside = exact <= 1.5 * exact.min(1)[:, None]
+    assert inside[row, node].mean() > 0.99 and len(row) >= 0.95 * inside.sum()
+    assert np.allclose(dist, exact[row, node]) and g._walk(x, vector_search.BEAM)[1].mean() < 0.25
+
+
 def test_odd_vectors(spark):
     rows = [(20, [1e200, 2.0]), (40, [1e200, 0.0]), (60, [3.0, 1.0]), (80, [1.0]), (100, [-1e200, 1e200, 5.0]), (120, [1e-300]), (140, None)]
     got = defaultdict(list)
