@@ -3,7 +3,8 @@
 Each task writes its own archive into the shared folder under a name of its attempt, and reports it when it is closed; only
 reported archives are read, so a lost task leaves nothing that counts. The reader deals archives out in byte ranges. A range owns the
 records that begin in it and finds the first by searching for a valid member or version line, which is also how it goes on
-after damage. What lies between is returned as a gap with its bytes and the reason.
+after damage. What lies between is returned as a gap with its bytes and the reason. Records are checked piece by piece: a task holds a window of a few
+CHUNKs and one header, and a payload only if payloads are asked for. A plain record's end is looked at before its block is read, so a damaged length costs no reading.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 
 from spliceframe.llm.common import Workspace
 
-LEAST_REVISIT, RANGE_BYTES, ARCHIVE_BYTES, CHUNK, MEMBER_BYTES = 100, 32 << 20, 256 << 20, 1 << 20, 1 << 31
+LEAST_REVISIT, RANGE_BYTES, ARCHIVE_BYTES, CHUNK = 100, 32 << 20, 256 << 20, 1 << 20
+#: A header of more bytes counts as damage. A member may inflate to any size, but where payloads are returned, as one value of a row, to MEMBER_BYTES at most.
+HEADER_BYTES, MEMBER_BYTES = 64 << 20, 1 << 31
 DATE = "2024-01-01T00:00:00Z"
 _MAGIC, _VERSION = b"\x1f\x8b\x08", b"WARC/1."
 _RECORD = "path string, offset long, length long, kind string, record_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary, reason string"
@@ -86,7 +89,7 @@ def write_archives(pages: DataFrame, ws: Workspace) -> DataFrame:
 
 
 class _Bytes:
-    """A window over a file that grows forward on demand and may forget what lies before floor."""
+    """A window over a file that grows forward on demand and may forget what lies before floor; a place that it has forgotten is read anew."""
 
     def __init__(self, f, size: int, at: int):
         self.f, self.size, self.base, self.buf, self.floor = f, size, at, bytearray(), at
@@ -94,8 +97,11 @@ class _Bytes:
 
     def get(self, at: int, n: int) -> bytes:
         """Up to n bytes from at on; fewer only at the end of the file."""
+        if not self.base <= at <= self.base + len(self.buf):
+            self.base, self.buf = at, bytearray()
+            self.f.seek(at)
         if self.floor - self.base > 4 * CHUNK:
-            drop = min(self.floor - self.base, len(self.buf))
+            drop = min(self.floor, at) - self.base
             del self.buf[:drop]
             self.base += drop
         while self.base + len(self.buf) < min(at + n, self.size):
@@ -105,37 +111,110 @@ class _Bytes:
             self.buf += more
         return bytes(self.buf[at - self.base : at - self.base + n])
 
-
-def _parse(raw: bytes) -> tuple[dict, bytes, int] | None:
-    """Header fields, block and length of the record at the start of raw; None if it isn't whole."""
-    end = raw.find(b"\r\n\r\n")
-    if not raw.startswith(_VERSION) or end < 0:
-        return None
-    lines = raw[:end].decode("utf-8", "replace").split("\r\n")
-    head = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines[1:]) if sep}
-    if not head.get("content-length", "").isdigit() or "warc-type" not in head:
-        return None
-    n = int(head["content-length"])
-    block = raw[end + 4 : end + 4 + n]
-    if len(block) < n or raw[end + 4 + n : end + 8 + n] != b"\r\n\r\n":
-        return None
-    return head, block, end + 8 + n
-
-
-def _inflate(win: _Bytes, at: int) -> tuple[bytes, int]:
-    """The member at a place and its length; raises zlib.error if it is damaged or cut off."""
-    z, parts, pos, out = zlib.decompressobj(31), [], at, 0
-    while not z.eof:
-        piece = win.get(pos, CHUNK)
-        if not piece:
-            raise zlib.error("cut off")
-        pos += len(piece)
+    def peek(self, at: int, n: int) -> bytes:
+        """n bytes from elsewhere; the window stays where it is."""
+        self.f.seek(at)
+        out = self.f.read(n)
+        self.f.seek(self.base + len(self.buf))
+        return out
+
+    def pieces(self, at: int) -> Iterator[bytes]:
+        """What follows from at on: a short piece, then longer ones. What has been given may be forgotten."""
+        n = 1 << 16
+        while piece := self.get(at, n):
+            yield piece
+            at, n = at + len(piece), CHUNK
+            self.floor = at
+
+
+class _Record:
+    """A record that is taken in piece by piece. Of its payload it holds the digest and length, and the bytes only if they are kept."""
+
+    def __init__(self, keep: bool):
+        self.keep, self.raw, self.head, self.length, self.left, self.tail = keep, bytearray(), None, 0, 0, b""
+        self.top, self.parts, self.n, self.sha = bytearray(), [], 0, None  # top: the block's begin, until it is known where the payload starts
+
+    def feed(self, piece: bytes) -> bytes:
+        """Takes what belongs to the record and returns what follows it."""
+        if self.head is None:
+            seen = len(self.raw)
+            self.raw += piece
+            end = self.raw.find(b"\r\n\r\n", max(0, seen - 3))
+            if end < 0:
+                if len(self.raw) > HEADER_BYTES:
+                    raise ValueError(f"header of more than {HEADER_BYTES} bytes")
+                return b""
+            lines = self.raw[:end].decode("utf-8", "replace").split("\r\n")
+            head = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines[1:]) if sep}
+            n = head.get("content-length", "")
+            if not self.raw.startswith(_VERSION) or not re.fullmatch("[0-9]{1,18}", n) or "warc-type" not in head:
+                raise ValueError("not one whole record")
+            self.head, self.left, self.length = head, int(n), end + 8 + int(n)
+            piece, self.raw = bytes(self.raw[end + 4 :]), bytearray()
+        block, rest = piece[: self.left], piece[self.left :]
+        self.left -= len(block)
+        if block:
+            self._block(block)
+        if not self.left:
+            need = 4 - len(self.tail)
+            self.tail, rest = self.tail + rest[:need], rest[need:]
+        return rest
+
+    def _block(self, piece: bytes) -> None:
+        if self.sha is not None:
+            return self._payload(piece)
+        seen = len(self.top)
+        self.top += piece
+        http = self.top.startswith(b"HTTP/") or b"HTTP/".startswith(self.top)
+        end = self.top.find(b"\r\n\r\n", max(0, seen - 3)) if http and len(self.top) > 5 else -1
+        if end >= 0:
+            self._split(end + 4)
+        elif not http or len(self.top) > HEADER_BYTES:
+            self._split(0)
+
+    def _split(self, at: int) -> None:
+        self.sha, rest = hashlib.sha256(), bytes(self.top[at:])
+        del self.top[at:]
+        self._payload(rest)
+
+    def _payload(self, piece: bytes) -> None:
+        self.sha.update(piece)
+        self.n += len(piece)
+        if self.keep and self.head["warc-type"] != "revisit":
+            if self.n > MEMBER_BYTES:
+                raise ValueError(f"payload of more than {MEMBER_BYTES} bytes")
+            self.parts.append(piece)
+
+    def whole(self) -> tuple[dict, bytes, int]:
+        """Header fields, payload (empty if it isn't kept, or of a revisit) and the payload's full length; raises ValueError if the record isn't whole or its digest doesn't hold."""
+        if self.head is None or self.left or self.tail != b"\r\n\r\n":
+            raise ValueError("not one whole record")
+        if self.sha is None:
+            self._split(0)
+        if self.head["warc-type"] == "revisit":
+            m = re.search(rb"(?i)\ncontent-length:\s*(\d+)", self.top)
+            return self.head, b"", int(m[1]) if m else 0
+        declared = self.head.get("warc-payload-digest", "")
+        if declared.startswith("sha256:") and self.sha.hexdigest() != declared[7:]:
+            raise ValueError("payload digest differs")
+        return self.head, b"".join(self.parts), self.n
+
+
+def _inflate(win: _Bytes, at: int, record: _Record) -> int:
+    """Feeds the member at a place to a record and returns its length; raises zlib.error if it is damaged or cut off."""
+    z, read, out = zlib.decompressobj(31), 0, 0
+    for piece in win.pieces(at):
+        read += len(piece)
         while piece and not z.eof:
-            parts.append(z.decompress(piece, CHUNK))
-            out, piece = out + len(parts[-1]), z.unconsumed_tail
-            if out > MEMBER_BYTES:
+            part = z.decompress(piece, CHUNK)
+            out, piece = out + len(part), z.unconsumed_tail
+            if record.keep and out > MEMBER_BYTES:
                 raise zlib.error(f"inflates to more than {MEMBER_BYTES} bytes")
-    return b"".join(parts), pos - len(z.unused_data) - at
+            if record.feed(part):
+                raise ValueError("not one whole record")
+        if z.eof:
+            return read - len(z.unused_data)
+    raise zlib.error("cut off")
 
 
 def _starts(win: _Bytes, at: int) -> bool:
@@ -167,62 +246,39 @@ def _search(win: _Bytes, at: int) -> int:
     return win.size
 
 
-def _top(win: _Bytes, at: int) -> bytes:
-    """What begins here, at least to the end of its header; to the end of the file if it has none. The window doubles, so growing costs no more than reading."""
-    n, seen = 1 << 16, 0
-    while True:
-        top = win.get(at, n)
-        if top.find(b"\r\n\r\n", max(0, seen - 3)) >= 0 or len(top) < n:
-            return top
-        n, seen = n * 2, len(top)
-
-
-def _one(win: _Bytes, at: int) -> tuple[dict, bytes, int]:
-    """The record at a place, checked; raises ValueError or zlib.error."""
-    head = win.get(at, 8)
-    if head.startswith(_MAGIC):
-        raw, length = _inflate(win, at)
-        got = _parse(raw)
-        if got is None or got[2] != len(raw):
-            raise ValueError("not one whole record")
-        return got[0], got[1], length
-    if not head.startswith(_VERSION):
+def _one(win: _Bytes, at: int, keep: bool) -> tuple[dict, bytes, int, int]:
+    """The record at a place, checked: header fields, payload, its full length, and the record's length in the file; raises ValueError or zlib.error."""
+    begin, record = win.get(at, 8), _Record(keep)
+    if begin.startswith(_MAGIC):
+        length = _inflate(win, at, record)
+        return *record.whole(), length
+    if not begin.startswith(_VERSION):
         raise ValueError("no record here")
-    top = _top(win, at)
-    m = re.search(rb"\r\ncontent-length:\s*(\d+)\s*\r\n", top[: top.find(b"\r\n\r\n") + 2], re.I)
-    got = _parse(win.get(at, top.find(b"\r\n\r\n") + 8 + int(m[1]))) if m else None
-    if got is None:
-        raise ValueError("not one whole record")
-    return got
-
-
-def _checked(head: dict, block: bytes) -> tuple[bytes, int]:
-    """Payload and its full length; raises ValueError if its digest doesn't hold."""
-    top, sep, payload = block.partition(b"\r\n\r\n")
-    if not (sep and top.startswith(b"HTTP/")):
-        top, payload = b"", block
-    declared = head.get("warc-payload-digest", "")
-    if head["warc-type"] == "revisit":
-        m = re.search(rb"(?i)\ncontent-length:\s*(\d+)", top)
-        return b"", int(m[1]) if m else 0
-    if declared.startswith("sha256:") and hashlib.sha256(payload).hexdigest() != declared[7:]:
-        raise ValueError("payload digest differs")
-    return payload, len(payload)
-
-
-def salvage(f, size: int, start: int, end: int) -> Iterator[tuple]:
-    """Records that begin in [start, end) as (offset, length, head, payload, payload_bytes, ""), and gaps as (offset, length, None, None, 0, reason)."""
+    known = False
+    for piece in win.pieces(at):
+        record.feed(piece)
+        if record.head and not known:
+            known, end = True, at + record.length
+            if end > win.size or end > win.base + len(win.buf) and win.peek(end - 4, 4) != b"\r\n\r\n":
+                raise ValueError("not one whole record")
+        if record.head and not record.left and len(record.tail) == 4:
+            break
+    return *record.whole(), record.length
+
+
+def salvage(f, size: int, start: int, end: int, keep: bool = True) -> Iterator[tuple]:
+    """Records that begin in [start, end) as (offset, length, head, payload, payload_bytes, ""), and gaps as (offset, length, None, None, 0, reason). Payloads are empty unless they are kept."""
     win = _Bytes(f, size, start)
     at = start if start == 0 else _search(win, start)
     seen = False
     while at < min(end, size):
         win.floor, seen = at, True
         try:
-            head, block, length = _one(win, at)
-            payload, n = _checked(head, block)
+            head, payload, n, length = _one(win, at, keep)
             yield at, length, head, payload, n, ""
             at += length
-        except (ValueError, zlib.error, KeyError) as e:
+        except (ValueError, zlib.error) as e:
+            win.floor = at
             on = _search(win, at + 1)
             yield at, on - at, None, None, 0, str(e)
             at = on
@@ -239,7 +295,7 @@ def _reader(with_payload: bool):
                 fs, name = pafs.FileSystem.from_uri(path)
                 rows, held = [], 0
                 with fs.open_input_file(name) as f:
-                    for at, length, head, payload, n, reason in salvage(f, size, start, start + RANGE_BYTES):
+                    for at, length, head, payload, n, reason in salvage(f, size, start, start + RANGE_BYTES, with_payload):
                         if head is None:
                             rows.append((path, at, length, "gap", None, None, None, 0, None, None, reason))
                         else:

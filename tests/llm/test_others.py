@@ -164,6 +164,61 @@ def test_warc_long_urls(spark):
     assert [(r[0], r[1], bool(r[2])) for r in salvaged(cut)] == [(0, len(recs[0]), True), (len(recs[0]), 100_000, False)]
 
 
+class Counted(io.BytesIO):
+    """A file that counts the bytes read from it."""
+
+    total = 0
+
+    def read(self, n=-1):
+        out = super().read(n)
+        self.total += len(out)
+        return out
+
+
+@pytest.mark.parametrize("damage", ["past the end", "within the file", "no header end"])
+def test_warc_damage_holds_a_small_window(monkeypatch, damage):
+    """A damaged length or header costs neither memory nor reading, and takes no later record with it."""
+    rng = random.Random(2)
+    body = [rng.randbytes(rng.randrange(20_000, 60_000)).hex().encode() for _ in range(300)]
+    recs = [warc.record_bytes(i, "http://x/", b, hashlib.sha256(b).hexdigest()) for i, b in enumerate(body)]
+    for i in (5, 6, 100):
+        n = re.search(rb"Content-Length: (\d+)\r\n\r\nHTTP", recs[i])
+        if damage == "no header end":
+            recs[i] = recs[i].replace(b"\r\n\r\n", b"\r\n--")
+        else:
+            recs[i] = recs[i].replace(n[0], b"Content-Length: %d\r\n\r\nHTTP" % (999_999_999 if damage == "past the end" else 12_000_000), 1)
+    data, held, windows = b"".join(recs), [], []
+    init, get = warc._Bytes.__init__, warc._Bytes.get
+    monkeypatch.setattr(warc._Bytes, "__init__", lambda self, *a: (init(self, *a), windows.append(self))[0])
+    monkeypatch.setattr(warc._Bytes, "get", lambda self, *a: (get(self, *a), held.append(len(self.buf)))[0])
+    for keep in (True, False):
+        f = Counted(data)
+        got = list(warc.salvage(f, len(data), 0, len(data), keep))
+        assert [r[2]["warc-record-id"] for r in got if r[2]] == [f"<urn:x-page:{i}>" for i in range(300) if i not in (5, 6, 100)]
+        assert [r[3] for r in got if r[2]] == [b if keep else b"" for i, b in enumerate(body) if i not in (5, 6, 100)]
+        assert all(r[4] == len(body[int(r[2]["warc-record-id"][12:-1])]) for r in got if r[2]) and sum(r[1] for r in got) == len(data)
+        assert max(held) < 8 << 20 and f.total < 1.6 * len(data)
+
+
+@pytest.mark.parametrize("plain", [False, True])
+def test_warc_records_of_any_size_are_streamed(monkeypatch, plain):
+    """Payloads above the size that may be held are checked and counted all the same, unless they are asked for."""
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    body = [b"small", random.Random(3).randbytes(8 << 20), b"HTTP/ is all of it", b"", b"end" * 100]
+    recs = [warc.record_bytes(i, "http://x/", b, hashlib.sha256(b).hexdigest()) for i, b in enumerate(body)]
+    bare = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <r>\r\nContent-Length: 18\r\n\r\n" + body[2] + b"\r\n\r\n"  # a block without an HTTP header
+    data = b"".join(recs if plain else map(warc._member, [*recs, bare]))
+    data += bare if plain else b""
+    got = list(warc.salvage(io.BytesIO(data), len(data), 0, len(data), keep=False))
+    assert [(r[4], r[5]) for r in got] == [(len(b), "") for b in body] + [(18, "")]
+    got = list(warc.salvage(io.BytesIO(data), len(data), 0, len(data)))
+    assert [r[3] for r in got] == [body[0], None, *body[2:], body[2]] and "more than" in got[1][5] and sum(r[1] for r in got) == len(data)
+    hurt = bytearray(data)
+    hurt[got[1][0] + got[1][1] // 2] ^= 1
+    got = list(warc.salvage(io.BytesIO(bytes(hurt)), len(hurt), 0, len(hurt), keep=False))
+    assert [r[4] if r[2] else None for r in got] == [5, None, 18, 0, 300, 18]
+
+
 def test_warc_members_are_gzip():
     b = b"<html>" * 40
     raw = gzip.decompress(warc._member(warc.record_bytes(3, "http://x/ y", b, hashlib.sha256(b).hexdigest())))
