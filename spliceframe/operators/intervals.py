@@ -44,41 +44,64 @@ def weighed(items: DataFrame, columns: list[str]) -> DataFrame:
     return items.groupBy(*columns).agg(F.count("*").alias("weight"))
 
 
-def running_rank(points: DataFrame, by: list[str], pos: str, weight: str, tie: str, block: int = 1 << 16) -> DataFrame:
-    """Adds rank: the sum of weight over rows of the same keys that come before or at (pos, tie).
+def running_sums(points: DataFrame, by: list[str], pos: str, sums: dict[str, str], tie: str, block: int = 1 << 16) -> DataFrame:
+    """Adds a column for each of sums (name: weight): the sum of weight over rows of the same keys that come before or at (pos, tie).
 
     Sums run inside blocks of the axis; block totals are summed in a second, small window. No reference is one task's work."""
     p = points.withColumn("_block", F.floor(F.col(pos) / block))
-    inside = F.sum(weight).over(Window.partitionBy(*by, "_block").orderBy(pos, tie))
-    totals = p.groupBy(*by, "_block").agg(F.sum(weight).alias("_sum"))
-    before = totals.withColumn("_before", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_sum")
-    return p.withColumn("_in", inside).join(before, [*by, "_block"]).withColumn("rank", F.col("_in") + F.col("_before")).drop("_in", "_before", "_block")
+    inside, earlier = Window.partitionBy(*by, "_block").orderBy(pos, tie), Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    totals = p.groupBy(*by, "_block").agg(*[F.sum(w).alias(f"_{n}_sum") for n, w in sums.items()])
+    before = totals.select(*by, "_block", *[F.coalesce(F.sum(f"_{n}_sum").over(earlier), F.lit(0)).alias(f"_{n}_before") for n in sums])
+    met = p.withColumns({f"_{n}_in": F.sum(w).over(inside) for n, w in sums.items()}).join(before, [*by, "_block"])
+    return met.withColumns({n: F.col(f"_{n}_in") + F.col(f"_{n}_before") for n in sums}).drop("_block", *[f"_{n}_{x}" for n in sums for x in ("in", "before")])
+
+
+def running_rank(points: DataFrame, by: list[str], pos: str, weight: str, tie: str, block: int = 1 << 16) -> DataFrame:
+    """Adds rank: the sum of weight over rows of the same keys that come before or at (pos, tie)."""
+    return running_sums(points, by, pos, {"rank": weight}, tie, block)
+
 
+def _reached(queries: DataFrame, items: DataFrame, by: list[str], row: Column, up: tuple[str, str, bool], gone: tuple[str, str, bool]) -> DataFrame:
+    """by, _row, _n, _first: two rows for each query, whose _n sum to the items that it has reached, less those that are gone.
 
-def count_up_to(queries: DataFrame, items: DataFrame, by: list[str], query: str, item: str, inclusive: bool, name: str) -> DataFrame:
-    """queries plus, under name, how many items of the same keys lie at or before (inclusive) or before their position: a rank in the union of both."""
-    tie = 1 if inclusive else 0
-    q = queries.select(*[F.col(c) for c in by], F.col(query).alias("_pos"), F.lit(tie).alias("_tie"), F.lit(0).cast("long").alias("_w"), F.struct(*queries.columns).alias("_row"))
-    i = items.groupBy(*by, F.col(item).alias("_pos")).agg(F.count("*").alias("_w"))
-    i = i.select(*by, "_pos", F.lit(1 - tie).alias("_tie"), "_w", F.lit(None).cast(q.schema["_row"].dataType).alias("_row"))
-    ranked = running_rank(q.unionByName(i), by, "_pos", "_w", "_tie").where(F.col("_row").isNotNull())
-    return ranked.select("_row.*", F.col("rank").alias(name))
+    up and gone are (query's column, item's column, whether an item at the query's place counts). Both ends of items and queries are ranked in one pass; the first of a query's rows is marked."""
+    tie = lambda inclusive: 0 if inclusive else 2
+    end = lambda c, t, k: F.struct(F.col(c).alias("pos"), F.lit(t).alias("tie"), F.lit(k).alias("side"))
+    q = queries.where(F.col(up[0]).isNotNull() & F.col(gone[0]).isNotNull()).select(*by, row.alias("_row"), F.explode(F.array(end(up[0], 1, 0), end(gone[0], 1, 1))).alias("x"))
+    zero = F.lit(0).cast("long")
+    q = q.select(*by, "_row", F.col("x.pos").alias("_pos"), F.col("x.tie").alias("_tie"), F.col("x.side").alias("_side"), zero.alias("_up"), zero.alias("_gone"))
+    i = items.select(*by, F.explode(F.array(end(up[1], tie(up[2]), 0), end(gone[1], tie(gone[2]), 1))).alias("x")).where("x.pos is not null")
+    i = i.groupBy(*by, F.col("x.pos").alias("_pos"), F.col("x.tie").alias("_tie"), F.col("x.side").alias("_side")).agg(F.count("*").alias("_w"))
+    side = lambda k: F.when(F.col("_side") == k, F.col("_w")).otherwise(zero)
+    i = i.select(*by, F.lit(None).cast(q.schema["_row"].dataType).alias("_row"), "_pos", "_tie", "_side", side(0).alias("_up"), side(1).alias("_gone"))
+    ranked = running_sums(q.unionByName(i), by, "_pos", {"_reached": "_up", "_left": "_gone"}, "_tie").where(F.col("_row").isNotNull())
+    return ranked.select(*by, "_row", F.when(F.col("_side") == 0, F.col("_reached")).otherwise(-F.col("_left")).alias("_n"), (F.col("_side") == 0).alias("_first"))
+
+
+def _reached_by_row(queries: DataFrame, items: DataFrame, by: list[str], up: tuple[str, str, bool], gone: tuple[str, str, bool], name: str) -> DataFrame:
+    """queries with that number. Queries that are equal in all columns are counted once and come out as often as they went in."""
+    met = _reached(queries, items, by, F.struct(*queries.columns), up, gone).groupBy("_row").agg(F.sum("_n").alias("_n"), F.count_if("_first").alias("_copies"))
+    copies = met.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
+    return copies.select("_row.*", F.expr("_n div _copies").alias(name))
 
 
 def overlap_counts(queries: DataFrame, items: DataFrame, by: list[str], query_span=("start", "end"), item_span=("start", "end"), name: str = "n") -> DataFrame:
     """How many items overlap each query, without making pairs: starts up to the query's end, less ends before its start. Long items cost no more than short ones."""
     (qs, qe), (s, e) = query_span, item_span
-    got = count_up_to(queries, items, by, qe, s, True, "_upto")
-    got = count_up_to(got, items, by, qs, e, False, "_gone")
-    return got.withColumn(name, F.col("_upto") - F.col("_gone")).drop("_upto", "_gone")
+    return _reached_by_row(queries, items, by, (qe, s, True), (qs, e, False), name)
+
+
+def overlap_totals(queries: DataFrame, items: DataFrame, by: list[str], per: str, query_span=("start", "end"), item_span=("start", "end"), name: str = "n") -> DataFrame:
+    """by, per and how many items overlap the queries of each value of per, an item once for each query."""
+    (qs, qe), (s, e) = query_span, item_span
+    met = _reached(queries, items, by, F.struct(per), (qe, s, True), (qs, e, False))
+    return met.groupBy(*by, F.col(f"_row.{per}").alias(per)).agg(F.sum("_n").alias(name))
 
 
 def outer_contained(queries: DataFrame, items: DataFrame, by: list[str], query_span=("start", "end"), item_span=("start", "end"), name: str = "n") -> DataFrame:
     """Items that start before the query, less those that end at or before its end."""
     (qs, qe), (s, e) = query_span, item_span
-    got = count_up_to(queries, items, by, qs, s, False, "_upto")
-    got = count_up_to(got, items, by, qe, e, True, "_gone")
-    return got.withColumn(name, F.col("_upto") - F.col("_gone")).drop("_upto", "_gone")
+    return _reached_by_row(queries, items, by, (qs, s, False), (qe, e, True), name)
 
 
 def stabbing_join(points: DataFrame, spans: DataFrame, by: list[str], point: str, span=("start", "end"), closed: bool = False, share: int = 64, block: int = 1 << 20) -> DataFrame:

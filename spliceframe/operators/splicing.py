@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spliceframe.functions import stats
 from spliceframe.model import OWNERS_KEPT
-from spliceframe.operators.intervals import containment_join, overlap_counts
+from spliceframe.operators.intervals import containment_join, overlap_totals
 from spliceframe.operators.junctions import match_junctions
 
 
@@ -44,8 +44,7 @@ def retention_support(events: DataFrame, frags: DataFrame, junctions: DataFrame,
     Fragments are counted by ranks, without a pair of a fragment and an intron ever standing in a row."""
     spans = events.select(*by, "ase_id", F.explode("inn").alias("x")).select(*by, "ase_id", F.col("x.s").alias("i_start"), F.col("x.e").alias("i_end")).where("i_start <= i_end")
     plain = frags.where(~F.col("has_junction") & (F.col("start") <= F.col("end"))).select(*by, F.col("start").alias("f_start"), F.col("end").alias("f_end"))
-    met = overlap_counts(spans, plain, by, ("i_start", "i_end"), ("f_start", "f_end"))
-    n = met.groupBy(*by, "ase_id").agg((F.sum("n") / 2).alias("_in"))
+    n = overlap_totals(spans, plain, by, "ase_id", ("i_start", "i_end"), ("f_start", "f_end")).withColumn("_in", F.col("n") / 2).drop("n")
     out = junction_support(events, junctions, by).join(n, [*by, "ase_id"], "left")
     return out.withColumn("count_in", F.coalesce("_in", F.lit(0.0))).drop("_in")
 
