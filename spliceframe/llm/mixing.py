@@ -31,10 +31,6 @@ def _fill(rows: DataFrame, by: list[str], order: list[Column], weight: Column, c
     return rows.drop("_w", "_c", "_t", "_cb", "_wb", "_ws", "_l")
 
 
-def _expected(size: Column) -> Column:
-    return F.pow(F.lit(2.0), F.lit(FAVOUR) * F.floor(F.log2(F.greatest(size, F.lit(1)))))
-
-
 def source_targets(sizes: DataFrame) -> DataFrame:
     """sizes(source, size) -> source, source_size, target. One row for each source; a null source counts as one and comes last."""
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))

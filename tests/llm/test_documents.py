@@ -1,6 +1,7 @@
 """Document operators against brute force, and on odd rows."""
 
 import hashlib
+import itertools
 import random
 import textwrap
 from collections import Counter, defaultdict
@@ -179,6 +180,60 @@ def test_mixing(spark):
     assert mixed.columns == docs.columns and mixed.count() == sum(r["copies"] for r in got)
 
 
+def filled(weight, cap, total):
+    """Shares of total by weight, each stopping at its cap, the excess shared again."""
+    got, open_ = {}, {k for k in weight if weight[k] > 0}
+    while open_:
+        rest, w = total - sum(got.values()), sum(weight[k] for k in open_)
+        over = {k for k in open_ if rest * weight[k] / w >= cap[k]}
+        got |= {k: cap[k] if over else rest * weight[k] / w for k in over or open_}
+        open_ -= over or open_
+    return got
+
+
+def test_mixing_draws_by_pareto_order(spark):
+    """Each row's copies by brute force: certain whole copies, then all rows of a source sorted by their odds ratio."""
+    rng = random.Random(14)
+    rows = [(i, "w " * rng.choice([0, 1, 3, 9, 40, 41, 300, 2000 if i % 97 == 0 else 7]), f"s{min(rng.randrange(12), 5)}") for i in range(3000)]
+    rows += [(8000, "tiny text", "t"), (8001, None, "t"), (8002, "tiny " * 70, "t")] + [(8003, "again " * 31, "s1")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = Counter((r["doc_id"], r["copies"]) for r in mixing.copies(docs).select("row.doc_id", "copies").collect())
+    drawn = [(r["doc_id"], r["source"], len((r["text"] or "").split()), r["h"]) for r in docs.withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text")).collect()]
+    size = Counter()
+    for _, s, n, _ in drawn:
+        size[s] += n
+    targets = filled({s: (5, 2, 1)[k % 3] for k, s in enumerate(sorted(size))}, {s: 3.0 * n for s, n in size.items()}, float(sum(size.values())))
+    want, fractions = Counter(), 0
+    for s, target in targets.items():
+        docs_ = [(i, n, h, max(n, 1).bit_length() - 1) for i, t, n, h in drawn if t == s]
+        words = Counter()
+        for _, n, _, b in docs_:
+            words[b] += n
+        share = filled({b: 2.0 ** (mixing.FAVOUR * b) * w for b, w in words.items()}, {b: 3.0 * w for b, w in words.items()}, target)
+        copies = {b: round(share[b] / w, 9) if w else 0.0 for b, w in words.items()}
+        left = target - sum(int(copies[b]) * w for b, w in words.items())
+        order = []
+        for i, n, h, b in docs_:
+            p = copies[b] - int(copies[b])
+            if p > 0 and n > 0:
+                u = (((h & (1 << 64) - 1) >> 11) + 0.5) / 2**53
+                order.append((u / (1 - u) / (p / (1 - p)), h, n))
+        order.sort()
+        fractions += len(order)
+        chosen, behind = set(), []
+        for key, same in itertools.groupby(order, lambda r: r[:2]):  # equal rows are taken together
+            n = [r[2] for r in same]
+            if not behind and sum(n) <= left:
+                chosen.add(key)
+                left -= sum(n)
+            else:
+                behind.append((abs(n[0] - left), *key))
+        chosen |= {min(behind)[1:]} if behind and min(behind)[0] < left else set()
+        for i, n, h, b in docs_:
+            want[i, int(copies[b]) + any(h == k[1] for k in chosen)] += 1
+    assert got == want and fractions > 1000 and len({c for _, c in got}) >= 3
+
+
 def test_mixing_of_odd_rows(spark, odd, none):
     got = mixing.copies(odd).select("row.doc_id", "size", "copies").collect()
     assert len(got) == odd.count() and mixing.copies(none).count() == 0
