@@ -1,6 +1,6 @@
 """Order MinHash fingerprints in column expressions.
 
-A text's word k-mers are numbered by occurrence, so the second "a b c" differs from the first. Each numbered k-mer is dealt to one of BUCKETS by its
+A text's tokens are its words; a word of more than LONG code points, as text without spaces has, is taken as its single code points. Its token k-mers are numbered by occurrence, so the second "a b c" differs from the first. Each numbered k-mer is dealt to one of BUCKETS by its
 hash; the two of least hash in each bucket are its sample, put back into text order and hashed as a tuple. Equal tuples need equal k-mers in equal order, so
 the share of equal buckets falls with edit distance, and with reordering that set-based sketches don't see.
 Everything is packed into longs: sorting long arrays is the only costly step and it stays in one row.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KMER, BUCKETS, TUPLE_BITS = 3, 64, 18
+KMER, BUCKETS, TUPLE_BITS, LONG = 3, 64, 18, 32
 _POS = (1 << 26) - 1  # a position's bits: a text of more words wraps around, which only blurs its order
 _HIGH = ~_POS
 _LIFT = [1 << b for b in range(25, -1, -1)]
@@ -44,8 +44,10 @@ def _bucket(x: Column) -> Column:
 def sketch(text: Column) -> Column:
     """array<int>, one entry for each bucket that has a k-mer: bucket << TUPLE_BITS | tuple hash, in an order set by the text alone.
 
-    A text of fewer than KMER words is one k-mer; one without words gives an empty array."""
-    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    A text of fewer than KMER tokens is one k-mer; one without words gives an empty array."""
+    cut = lambda w: F.when(F.char_length(w) > LONG, F.split(w, "")).otherwise(F.array(w))
+    tokens = lambda w: F.when(F.exists(w, lambda x: F.char_length(x) > LONG), F.flatten(F.transform(w, cut))).otherwise(w)
+    words = _let(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""), tokens)
     grams = lambda w: F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (KMER - 1), F.lit(1))), lambda i: _high(F.xxhash64(F.slice(w, i, KMER))).bitwiseOR((i - 1).bitwiseAND(F.lit(_POS)).cast("long")))).otherwise(F.array().cast("array<bigint>"))
 
     def dealt(p: Column) -> Column:

@@ -261,12 +261,22 @@ def test_fingerprints_follow_edits(spark):
     assert near[3] < 0.85  # almost the same k-mers, in another order
 
 
+def test_fingerprints_of_text_without_spaces(spark):
+    rng = random.Random(9)
+    base = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(600))
+    other = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(600))
+    rows = [base, base[:300] + "改" + base[301:], "新" + base, base[:300] + other[:300], other, base[:200] + " " + base[200:]]
+    s = order_min_hash_of(spark, rows)
+    near = [r[0] for r in spark.createDataFrame([(s[0], x) for x in s], "a array<int>, b array<int>").select(fingerprints.likeness(F.col("a"), F.col("b"))).collect()]
+    assert near[0] == 1.0 and min(near[1], near[2], near[5]) > 0.85 and 0.02 < near[3] < 0.5 and near[4] < 0.1
+
+
 def test_sketch_equals_its_definition(spark):
     """Occurrence numbers, two least of each bucket, text order: rebuilt in Python on the same hashes."""
-    texts = ["a b a b a b a b c", "q", "", "x y", "t " * 300 + "u v w"]
+    texts = ["a b a b a b a b c", "q", "", "x y", "t " * 300 + "u v w", "a " + "漢字🙂" * 15 + " z " + "w" * 32, "x" * 200]
     signed = lambda n: n - (1 << 64) if n >= 1 << 63 else n
     for t, got in zip(texts, order_min_hash_of(spark, texts)):
-        w = t.split()
+        w = [x for v in t.split() for x in (v if len(v) > fingerprints.LONG else [v])]
         grams = [w[i : i + 3] for i in range(max(1, len(w) - 2))] if w else []
         h = [r[0] for r in spark.createDataFrame([(i, g) for i, g in enumerate(grams)], "i int, g array<string>").orderBy("i").select(F.xxhash64("g")).collect()] if grams else []
         mask = (1 << 26) - 1
