@@ -72,6 +72,21 @@ def attribute_map(spark, sf_dir):
     return got.select("line_no", F.size("m").alias("n"), *[F.try_element_at("m", F.lit(k)).alias(c) for k, c in (("ID", "id"), ("Note", "note"), ("brand", "brand"))])
 
 
+@query("""SELECT t.p_partkey AS line_no, 'ID=T' || t.p_partkey || ';Parent=G' || (t.p_partkey - t.p_partkey % 3) || ';product=' || t.p_brand || CASE WHEN g.p_brand <> t.p_brand THEN ';description=' || g.p_brand ELSE '' END
+ || CASE WHEN g.p_size <> 7 THEN ';biotype="b;' || g.p_size || '"' ELSE '' END || ';status=checked' AS attrs FROM part t LEFT JOIN part g ON g.p_partkey = t.p_partkey - t.p_partkey % 3 WHERE t.p_partkey % 3 <> 0""")
+def attribute_edits(spark, sf_dir):
+    gene, top = "p_partkey % 3 = 0", "concat('G', p_partkey - p_partkey % 3)"
+    attrs = f"if({gene}, concat('ID=', {top}, ';description=', p_brand, ';biotype=b:', p_size, ';status=raw;note=n'), concat('ID=T', p_partkey, ';Parent=', {top}, ';product=', p_brand, if(p_partkey % 2 = 0, ';note=mine', '')))"
+    features = _table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS line_no", f"if({gene}, 'gene', 'transcript') AS kind", f"if({gene}, {top}, concat('T', p_partkey)) AS id", f"if({gene}, array(), array({top})) AS parents",
+        "'chr1' AS seqid", "'+' AS strand", "p_partkey * 20 AS start", f"p_partkey * 20 + if({gene}, 100, 10) AS end", f"{attrs} AS attrs",
+    )
+    got = models.with_copied_attributes(features).where("kind = 'transcript'")
+    m = gff.without_attribute(gff.without_attribute(F.col("attributes"), "note"), "biotype", F.lit("b:7"))
+    m = F.transform_values(gff.without_attribute(m, "status"), lambda k, v: F.when(k == "biotype", F.regexp_replace(v, ":", ";")).otherwise(v))
+    return got.select("line_no", gff.attribute_text(gff.with_attribute(m, "status", F.lit("checked"))).alias("attrs"))
+
+
 @query("""l AS (SELECT p_partkey % 50 AS k, CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE p_size END AS n, p_partkey AS line FROM part) SELECT 'G' || k AS gene_id, CAST(arg_min(n, line) AS BIGINT) AS length FROM l WHERE n IS NOT NULL GROUP BY 1""")
 def length_table(spark, sf_dir):
     value = "concat('G', p_partkey % 50, ',', CASE WHEN p_partkey % 13 = 0 THEN 'none' ELSE concat(' ', p_size, 'bp,rest') END)"

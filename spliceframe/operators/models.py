@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spliceframe.operators.annotation import BLOCK
 from spliceframe.operators.intervals import checkpointed
+from spliceframe.sources.gff import attributes, copied_attributes, once
 
 #: How far a child may start from its parent. Fixed value.
 MAX_LOCUS = 7_000_000
@@ -63,6 +64,15 @@ def inherited(features: DataFrame, links: DataFrame | None = None) -> DataFrame:
     return named.withColumns({"gene_id": F.coalesce("gene_id", "_id"), "gene_name": F.coalesce("gene_name", "_name")}).drop("_id", "_name")
 
 
+def with_copied_attributes(features: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """features with attributes: the map of their own ones, then those of their first parent that they lack. Without a parent that fits, their own ones alone."""
+    links = parent_links(features) if links is None else links
+    own = features.withColumn("attributes", once(F.col("attrs"), attributes))
+    above = own.select(F.col("line_no").alias("_parent"), F.col("attributes").alias("_above"))
+    first = links.groupBy("line_no").agg(F.min("parent").alias("_parent")).join(above, "_parent").drop("_parent")
+    return own.join(first, "line_no", "left").withColumn("attributes", copied_attributes(F.col("attributes"), F.col("_above"))).drop("_above")
+
+
 def assembled(features: DataFrame) -> tuple[DataFrame, DataFrame]:
     """transcripts(tx_line, tx_id, gene_id, gene_name, seqid, strand, start, end), exons(tx_line, seqid, start, end) of a tree of any depth.
 

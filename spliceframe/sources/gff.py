@@ -20,6 +20,43 @@ def attributes(text: Column) -> Column:
     return F.map_from_arrays(keys, F.transform(keys, lambda k: F.regexp_replace(F.trim(F.get(first(k), F.lit(1))), '^"|"$', "")))
 
 
+def once(value: Column, use) -> Column:
+    """use(value), value computed once however often it occurs in it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def with_attribute(attrs: Column, name: str, value: Column) -> Column:
+    """The map with name set to value: in its place if it is there, else at the end. A null value leaves the map as it is."""
+    at = F.lit(name)
+
+    def put(m: Column) -> Column:
+        changed = F.when(F.map_contains_key(m, at), F.transform_values(m, lambda k, v: F.when(k == at, value).otherwise(v))).otherwise(F.map_concat(m, F.create_map(at, value)))
+        return F.when(value.isNull(), m).otherwise(changed)
+
+    return once(attrs, put)
+
+
+def without_attribute(attrs: Column, name: str, value: Column | None = None) -> Column:
+    """The map without name, or without it only where it has that value."""
+    return F.map_filter(attrs, lambda k, v: (k != name) if value is None else ~((k == name) & v.eqNullSafe(value)))
+
+
+def copied_attributes(attrs: Column, source: Column) -> Column:
+    """The map followed by what only source has. A description that the map already holds as its product isn't copied. A null source has nothing."""
+
+    def lacking(m: Column) -> Column:
+        twice = lambda k, v: (k == "description") & v.eqNullSafe(F.try_element_at(m, F.lit("product")))
+        return F.coalesce(F.map_concat(m, F.map_filter(source, lambda k, v: ~F.map_contains_key(m, k) & ~twice(k, v))), m)
+
+    return once(attrs, lacking)
+
+
+def attribute_text(attrs: Column) -> Column:
+    """Column nine of a GFF3 line from a map, in its order. A value that holds a ';' is put in quotes."""
+    pair = lambda e: F.concat(e["key"], F.lit("="), F.when(e["value"].contains(";"), F.concat(F.lit('"'), e["value"], F.lit('"'))).otherwise(e["value"]))
+    return F.array_join(F.transform(F.map_entries(attrs), pair), ";")
+
+
 def kind_of(feature: Column) -> Column:
     """exon, utr, stop, start, cds, intron, gene, transcript or other, by the feature's lower-cased name; the first that fits."""
     t = F.lower(feature)

@@ -134,3 +134,27 @@ def test_a_locus_of_many_isoforms(spark):
     got = models.collapsed(one.unionByName(two), ["seqid"], "tx")
     widest = [i for i in range(10_000) if i % 100 == 99 and i % 77 == 76]
     assert got.count() == 10_000 and {r["keeper"] for r in got.select("keeper").distinct().collect()} == {min(widest)}
+
+
+def test_attribute_edits(spark):
+    text = ['ID=a;product=p;x="1;2"', "x=1", ""]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(text)], "i int, t string").withColumn("m", gff.attributes(F.col("t")))
+    above = gff.attributes(F.lit("description=p;x=9;y=8;ID=z"))
+    edits = [
+        gff.with_attribute(F.col("m"), "x", F.lit("new")), gff.with_attribute(F.col("m"), "x", F.lit(None).cast("string")), gff.without_attribute(F.col("m"), "x"),
+        gff.without_attribute(F.col("m"), "x", F.lit("1")), gff.copied_attributes(F.col("m"), above), gff.copied_attributes(F.col("m"), F.lit(None).cast("map<string,string>")),
+    ]
+    got = [tuple(r) for r in rows.orderBy("i").select(*[gff.attribute_text(e).alias(f"e{k}") for k, e in enumerate(edits)]).collect()]
+    assert got[1] == ("x=new", "x=1", "", "", "x=1;description=p;y=8;ID=z", "x=1")
+    assert got[2] == ("x=new", "", "", "", "description=p;x=9;y=8;ID=z", "")
+    first = gff.attribute_text(F.create_map(F.lit("x"), F.lit("1;2")))
+    assert got[0][0] == "ID=a;product=p;x=new" and got[0][2] == "ID=a;product=p" and got[0][4].endswith(";y=8") and "description" not in got[0][4]
+    assert spark.range(1).select(first).first()[0] == 'x="1;2"'
+
+
+def test_attributes_of_the_first_parent(spark):
+    line = lambda kind, start, end, attrs: "\t".join(["c", "s", kind, str(start), str(end), ".", "+", ".", attrs])
+    lines = [line("gene", 100, 900, "ID=g;biotype=b;note=n"), line("gene", 150, 800, "ID=h;biotype=late;other=o"), line("mRNA", 100, 500, "ID=t;Parent=h,g;note=mine"), line("mRNA", 5000, 5500, "ID=far;Parent=g")]
+    got = models.with_copied_attributes(gff.parse_lines(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")))
+    text = {r["id"]: r["a"] for r in got.select("id", gff.attribute_text(F.col("attributes")).alias("a")).collect()}
+    assert text == {"g": "ID=g;biotype=b;note=n", "h": "ID=h;biotype=late;other=o", "t": "ID=t;Parent=h,g;note=mine;biotype=b", "far": "ID=far;Parent=g"}
