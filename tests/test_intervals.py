@@ -145,3 +145,16 @@ def test_sequences(spark):
     assert annotation.spliced_sequence(exons, spark.createDataFrame([("c", "AACGGTTTGG")], "ref_name string, seq string"), ["tx"]).first()["sequence"] == "AAAGTT"
     cds = spark.createDataFrame([("t", "+", 1, 4), ("t", "+", 10, 14), ("t", "+", 20, 22)], "tx string, strand string, start long, end long")
     assert [r["phase"] for r in annotation.cds_phases(cds, ["tx"]).orderBy("start").collect()] == [0, 2, 0]
+
+
+def test_counts_of_equal_and_incomplete_queries(spark):
+    """Queries that are equal in all columns come out as often as they went in; a query without an end gives no row, an item without one counts where it has one."""
+    q = spark.createDataFrame([(1, "a", 5, 9), (1, "a", 5, 9), (1, "b", 5, 9), (1, "c", 50, None), (2, "a", 5, 9), (None, "d", 5, 9), (1, "far", 200_000, 300_000), (1, "turned", 9, 5)], "ref_id int, k string, s long, e long")
+    i = spark.createDataFrame([(1, 1, 5), (1, 9, 9), (1, 9, 9), (1, 10, 12), (1, 1, 4), (2, 6, 7), (1, 250_000, 250_001), (1, 4, None)], "ref_id int, start long, end long")
+    got = sorted(tuple(r) for r in intervals.overlap_counts(q, i, ["ref_id"], ("s", "e")).where("k not in ('far', 'turned')").select("ref_id", "k", "n").collect())
+    assert got == [(1, "a", 4), (1, "a", 4), (1, "b", 4), (2, "a", 1)]
+    far = {r[0]: r[1] for r in intervals.overlap_counts(q, i, ["ref_id"], ("s", "e")).where("k in ('far', 'turned')").select("k", "n").collect()}
+    assert far == {"far": 2, "turned": 1}
+    totals = {tuple(r) for r in intervals.overlap_totals(q.where("k < 'd'"), i, ["ref_id"], "k", ("s", "e")).select("ref_id", "k", "n").collect()}
+    assert totals == {(1, "a", 8), (1, "b", 4), (2, "a", 1)}
+    assert intervals.overlap_counts(q, i.where("false"), ["ref_id"], ("s", "e")).agg({"n": "sum"}).first()[0] == 0
