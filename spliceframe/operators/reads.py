@@ -41,7 +41,8 @@ def with_policy(alignments: DataFrame, opt: Options, samples: DataFrame | None =
         return alignments.withColumn("keep", mapped_in_layout(opt.mode) & policy_filter("primary" if opt.primary else "multi"))
     first = alignments.groupBy("sample_id").agg(F.min_by("nh", "ord").isNull().alias("unmarked")) if samples is None else samples
     rule = F.when(F.col("unmarked"), policy_filter("multi")).otherwise(policy_filter("unique"))
-    return alignments.join(first, "sample_id").withColumn("keep", mapped_in_layout(opt.mode) & rule).drop("unmarked")
+    # One row a sample: sent to all tasks, as a shuffle by sample would make each one task's work.
+    return alignments.join(F.broadcast(first), "sample_id").withColumn("keep", mapped_in_layout(opt.mode) & rule).drop("unmarked")
 
 
 def read_struct(opt: Options) -> Column:
@@ -181,7 +182,7 @@ def fragments(alignments: DataFrame, opt: Options = Options(), samples: DataFram
     out = out.withColumn("has_junction", F.size("js") > 0)
     if opt.strict:
         some = out.groupBy("sample_id").agg(F.max("has_junction").alias("_some"))
-        out = out.join(some, "sample_id").withColumn("has_junction", F.when(F.col("_some"), F.col("has_junction")).otherwise(F.raise_error("no fragment has a junction"))).drop("_some")
+        out = out.join(F.broadcast(some), "sample_id").withColumn("has_junction", F.when(F.col("_some"), F.col("has_junction")).otherwise(F.raise_error("no fragment has a junction"))).drop("_some")
     return out
 
 

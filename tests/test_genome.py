@@ -268,3 +268,14 @@ def test_sam_without_a_dictionary(spark, files, tmp_path):
     refs = {r["ref_name"]: r["ref_id"] for r in al.sam_refs(spark, str(tmp_path / "n.sam")).collect()}
     assert refs == {"chr1": 0, "chrB": 1}
     assert {r["ref_id"] for r in al.read_sam(spark, str(tmp_path / "n.sam")).select("ref_id").collect()} == {0, 1}
+
+
+def test_few_samples_and_references_are_no_shuffle_keys(spark):
+    """Rows aren't dealt by sample or reference name, of which there may be one."""
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    records = spark.range(10).selectExpr("concat('s', id % 2) AS sample_id", "id AS ord", "concat('q', id) AS qname", "67 AS flag", "0 AS ref_id", "id AS pos", "CAST(1 AS INT) AS nh")
+    refs = spark.createDataFrame([("chr0", 0)], "ref_name string, ref_id int")
+    sam = al.parse_sam(spark.range(10).selectExpr("id AS ord", "'s' AS sample_id", "concat_ws('\\t', id, 0, 'chr0', 1, 0, '5M', '=', 1, 0, 'A', '*') AS value"), refs)
+    events = tables.parse_events(spark.range(10).selectExpr("id AS line_no", "'SE' AS ase_type", "0 AS file_idx", "concat('E', id, ',chr0,+,5^,60-,10^20-') AS value"), refs)
+    for d in (reads.with_policy(records, Options()), sam, events):
+        assert d.count() == 10 and "BroadcastHashJoin" in plan(d) and "SortMergeJoin" not in plan(d)
