@@ -126,7 +126,7 @@ def gene_table(features: DataFrame, refs: DataFrame, lengths: DataFrame, length_
     refs(ref_name, ref_id), lengths(gene_id, length). length_key: gene_id, or gene_name for tables by name. Rows that repeat an id keep their places, but name, reference name and strand are
     those of the first of them on a known reference: by line_no if features have it, else by place."""
     g = features.where("kind = 'gene' and gene_id is not null").withColumn("gene_name", F.coalesce("gene_name", "gene_id"))
-    g = g.join(refs, g["seqid"] == refs["ref_name"])
+    g = g.join(F.broadcast(refs), g["seqid"] == refs["ref_name"])
     order = F.struct(*[c for c in ("line_no", "ref_id", "start", "end", "gene_name", "strand") if c in g.columns])
     first = g.groupBy("gene_id").agg(F.min_by(F.struct("gene_name", "ref_name", "strand"), order).alias("_first"))
     g = g.join(first, "gene_id").withColumns({c: F.col(f"_first.{c}") for c in ("gene_name", "ref_name", "strand")})

@@ -39,7 +39,7 @@ def parse_events(lines: DataFrame, refs: DataFrame, check_pairs: bool = False) -
     cut = lambda c: leading_int(F.left(c, F.length(c) - 1))
     rows = lines.withColumn("f", f).where(F.size("f") == 6)
     rows = rows.select("ase_type", "file_idx", "line_no", g(0).alias("ase_id"), g(1).alias("ref_name"), g(2).alias("strand"), cut(g(3)).alias("d"), cut(g(4)).alias("a"), g(5).alias("rest"))
-    rows = rows.join(refs, "ref_name")
+    rows = rows.join(F.broadcast(refs), "ref_name")  # as in parse_sam()
     places = F.transform(F.filter(F.split("rest", r"[\^-]"), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("bigint"))
     rows = rows.withColumn("p", F.when(plus, places).otherwise(F.reverse(places)))
     if check_pairs:
