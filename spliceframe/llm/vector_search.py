@@ -8,7 +8,9 @@ stand in several lists; a list whose centroid is nearer to one already chosen th
 dealt into parts of about PART_ROWS, so that no list grows with a popular region. A query reads, in each shell, the lists of
 all centroids within PROBE_RATIO of its nearest, whatever their number: few where vectors cluster, many where they lie alike in all directions. The
 FIRST most promising of them are read first; their k-th best score is a bound. Of the other lists those are read that may hold more: a list's products are
-at most that of its centroid plus its radius, and that of its shell's largest norm. Vectors that are equal bit
+at most that of its centroid plus its radius, and that of its shell's largest norm. A ratio of distances says little where all vectors point one way, so a last step
+holds every list that a query hasn't read against the k-th best score found, by the same bounds over the vectors whose nearest centroid is the list's: what may
+still hold a better one is read, so the result is that of all products. Vectors that are equal bit
 by bit stand for one another: only the least vec_ids of such a group can be among the nearest, and a vector's rank among its equals decides
 that without gathering the group.
 """
@@ -191,7 +193,7 @@ def _postings(shells: dict[int, tuple[float, int, Graph]]):
                     part = rows.iloc[at : at + 64]
                     row, node, place, dist = graph.within(_lifted(part["embedding"], norm), REPLICA_RATIO, REPLICAS)
                     ok = graph.apart(row, node, place, dist)
-                    yield part.iloc[row[ok]][["vec_id", "embedding"]].assign(list=node[ok] + offset, dist=dist[ok])
+                    yield part.iloc[row[ok]][["vec_id", "embedding"]].assign(list=node[ok] + offset, dist=dist[ok], home=place[ok] == 0)
 
     return run
 
@@ -219,6 +221,30 @@ def _reads(shells: dict[int, tuple[float, int, Graph]]):
     return run
 
 
+def _left(shells: dict[int, tuple[float, int, Graph]], reach: np.ndarray):
+    """One row for each list whose home vectors may hold a product of at least a query's bound. reach: by list, the largest distance of a home vector to the centroid, below 0 without one."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 64):
+                part = pdf.iloc[at : at + 64]
+                unit, own = _norms(np.stack([np.asarray(v, np.float64) for v in part["embedding"]]))
+                bound = part["least"].to_numpy(np.float64)[:, None]
+                for norm, offset, graph in shells.values():
+                    held = reach[offset : offset + len(graph.c)]
+                    cosine = unit @ graph.c[:, :-1].T
+                    dist = np.sqrt(np.maximum(1 + graph.sq - 2 * cosine, 0))
+                    best = np.minimum(np.minimum(cosine + held, 1 - np.maximum(dist - held, 0) ** 2 / 2), 1)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        top = (norm * own)[:, None]
+                        # With a little room for rounding; an infinite or vanishing largest product bounds nothing.
+                        most = np.where((top >= 1e-290) & (top <= 1e300), top * (best + 1e-9), np.inf)
+                    row, node = np.nonzero((held >= 0) & (most >= bound))
+                    yield part.iloc[row].assign(list=node + offset)
+
+    return run
+
+
 _FOUND = "query_id long, vec_id long, score double"
 
 
@@ -262,8 +288,8 @@ def nearest(vectors: DataFrame, is_query=None, k: int = K, ws: Workspace | None
     """vectors(vec_id, embedding, ...) -> query_id, rank, vec_id, score: for each query its k nearest found by inner product, itself left out; ties to the smaller vec_id.
 
     is_query: a condition on vec_id (by default divisible by 20). Components that a vector lacks to the longest one count as 0. A product may be infinite;
-    one that isn't a number comes last. Of rows that repeat a vec_id the least vector counts. Queries that find fewer than k are searched
-    again over all lists, so fewer than k rows mean fewer candidates. No usable vectors give no rows."""
+    one that isn't a number comes last. Of rows that repeat a vec_id the least vector counts. A query that finds fewer than k
+    has no bound and reads all lists, so fewer than k rows mean fewer candidates. No usable vectors give no rows."""
     spark = vectors.sparkSession
     ws = ws or Workspace(spark, "vectors")
     rows = ws.save(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "usable")
@@ -291,14 +317,17 @@ def nearest(vectors: DataFrame, is_query=None, k: int = K, ws: Workspace | None
         shells[s["shell"]] = (s["norm"], lists, graph)
         lists += len(graph.c)
 
-    postings = ws.save(kept.select("vec_id", "embedding", "shell").mapInPandas(_postings(shells), "vec_id long, embedding array<double>, list int, dist double"), "postings")
-    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"), F.max("dist").alias("radius"))  # LISTS rows, and one for each rare shell, at most
+    postings = ws.save(kept.select("vec_id", "embedding", "shell").mapInPandas(_postings(shells), "vec_id long, embedding array<double>, list int, dist double, home boolean"), "postings")
+    sizes = postings.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"), F.max("dist").alias("radius"), F.max(F.when(F.col("home"), F.col("dist"))).alias("reach"))  # LISTS rows, and one for each rare shell, at most
     sizes = ws.save(sizes, "lists")
+    reach = np.full(lists, -1.0)
+    for r in sizes.where("reach is not null").select("list", "reach").collect():
+        reach[r["list"]] = r["reach"]
     radius, sizes = sizes.select("list", "radius"), sizes.select("list", "parts")
     postings = postings.drop("dist").join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
     queries = rows.where((F.col("vec_id") % 20 == 0) if is_query is None else is_query).select("vec_id", "embedding")
 
-    def search(reads: DataFrame) -> DataFrame:
+    def search(reads: DataFrame, postings: DataFrame = postings) -> DataFrame:
         """reads(vec_id, embedding, list, least): scores of at least least within all parts of the lists, in blocks of queries."""
         blocks = reads.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("blocks"))
         q = reads.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
@@ -318,9 +347,11 @@ def nearest(vectors: DataFrame, is_query=None, k: int = K, ws: Workspace | None
     most = F.when(F.col("top").between(1e-290, 1e300), F.col("top") * (F.least(F.lit(1.0), F.col("cosine") + F.col("radius")) + 1e-9)).otherwise(F.lit(_INF))
     others = reads.where(F.col("place") >= FIRST).join(bound, "vec_id", "left").join(F.broadcast(radius), "list").where(most >= F.coalesce("bound", none))
     others = ws.save(others.select("vec_id", "embedding", "list", F.coalesce("bound", none).alias("least")), "others")
-    found = ws.save(top(first.drop("rank").unionByName(search(others))), "found")
-    short = ws.save(queries.join(found.groupBy("query_id").count().where(F.col("count") >= k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti"), "short")
-    if not short.isEmpty():
-        every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(lists - 1)))).withColumn("least", none)  # the queries left over, times at most LISTS
-        found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(top(search(every)))
+    near = ws.save(top(first.drop("rank").unionByName(search(others))), "near")
+    kth = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.when(F.isnan("score"), none).otherwise(F.col("score")).alias("least"))
+    bounded = queries.join(kth, "vec_id", "left").withColumn("least", F.coalesce("least", none))
+    done = reads.where(F.col("place") < FIRST).select("vec_id", "list").unionByName(others.select("vec_id", "list"))
+    rest = bounded.mapInPandas(_left(shells, reach), "vec_id long, embedding array<double>, least double, list int").join(done, ["vec_id", "list"], "left_anti")
+    rest = ws.save(rest.select("vec_id", "embedding", "list", "least"), "rest")
+    found = ws.save(top(near.drop("rank").unionByName(search(rest, postings.where("home")))), "found")
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

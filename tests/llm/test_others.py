@@ -413,6 +413,23 @@ def test_one_long_vector_changes_nothing(spark, norm):
     assert read < 0.06 * len(got) * len(x), read / (len(got) * len(x))
 
 
+@pytest.mark.parametrize("kind", ["one direction", "rare and frequent clusters"])
+def test_vectors_of_which_distances_tell_little(spark, kind):
+    """All nearest are found where no ratio of distances to centroids tells the lists that hold them."""
+    rng = np.random.default_rng(9)
+    if kind == "one direction":
+        x = rng.normal(size=32) + 0.3 * rng.normal(size=(6000, 32))
+    else:
+        p = 1 / np.arange(1, 201)
+        x = rng.normal(size=(200, 32))[rng.choice(200, 6000, p=p / p.sum())] + 0.3 * rng.normal(size=(6000, 32))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    got = defaultdict(list)
+    for r in vector_search.nearest(spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    want = exact_neighbours(list(enumerate(x.tolist())))
+    assert {q: [v for v, _ in w] for q, w in want.items()} == got
+
+
 def test_vectors_of_far_norms(spark):
     """Norms over twelve powers of ten, equal directions, and fewer candidates than asked for."""
     rng = np.random.default_rng(8)
