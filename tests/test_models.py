@@ -158,3 +158,22 @@ def test_attributes_of_the_first_parent(spark):
     got = models.with_copied_attributes(gff.parse_lines(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")))
     text = {r["id"]: r["a"] for r in got.select("id", gff.attribute_text(F.col("attributes")).alias("a")).collect()}
     assert text == {"g": "ID=g;biotype=b;note=n", "h": "ID=h;biotype=late;other=o", "t": "ID=t;Parent=h,g;note=mine;biotype=b", "far": "ID=far;Parent=g"}
+
+
+def test_blocks_are_not_shuffled_for_each_span(spark, tmp_path, monkeypatch):
+    """Whole spans over many blocks and regions, a missing block, and no rows of blocks where pieces are gathered."""
+    rng = random.Random(8)
+    seq = "".join(rng.choice("ACGT") for _ in range(5000))
+    rows = [("c", i, seq[i * 16 : i * 16 + 16]) for i in range(-(-5000 // 16)) if i != 100]
+    blocks = spark.createDataFrame(rows, "ref_name string, block long, seq string")
+    left = lambda a, b: "".join(seq[i] for i in range(a - 1, min(b, 5000)) if i // 16 != 100)
+    spans = [(i, a := rng.randrange(-20, 5100), a + rng.randrange(0, 3000)) for i in range(300)]
+    exons = spark.createDataFrame([(i, "c", "+", a, b) for i, a, b in spans], "tx long, ref_name string, strand string, start long, end long")
+    want = {i: s for i, a, b in spans if (s := left(max(a, 1), b))}
+    for region in (16, 100, 1 << 16):
+        monkeypatch.setattr(sequences, "REGION", region)
+        for f in (sequences.unspliced, sequences.spliced):
+            got = f(exons, blocks, ["tx"], 16)
+            assert {r["tx"]: r["sequence"] for r in got.collect()} == want
+    pieces = sequences.unspliced(exons, blocks, ["tx"], 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert pieces.count("collect_list") == 1 and "collect_list(struct(block" in pieces  # windows alone are gathered
