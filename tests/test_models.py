@@ -198,3 +198,29 @@ def test_merged_exons_hold_one_sort(spark):
     assert dict(map(tuple, lengths.collect())) == {t: sum(e - s for s, e in runs) for t, runs in expected.items()}
     got = {r["tx_id"]: (r["start"], r["end"], [tuple(i) for i in r["introns"]]) for r in chains.collect()}
     assert got == {t: (runs[0][0], runs[-1][1], [(a[1] + 1, b[0] - 1) for a, b in zip(runs, runs[1:])]) for t, runs in expected.items()}
+
+
+def test_pieces_of_transcripts_are_sorted_once(spark):
+    blocks = spark.createDataFrame([("c", k, "ACGTTGCAAC"[k:] + "ACGTTGCAAC"[:k]) for k in range(6)], "ref_name string, block long, seq string")
+    exons = spark.createDataFrame([(t, "c", "+-"[t % 2], s, s + 12 + t) for t in range(3) for s in (5 + t, 31)], "tx_id long, ref_name string, strand string, start long, end long")
+    whole = "".join(r["seq"] for r in blocks.orderBy("block").collect())
+    got = sequences.spliced(exons, blocks, ["tx_id"], 10)
+    assert "collect_list" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Aggregate" in x)
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    joined = {t: whole[4 + t : 17 + 2 * t] + whole[30 : 43 + t] for t in range(3)}
+    assert dict(map(tuple, got.collect())) == {t: turn(s) if t % 2 else s for t, s in joined.items()}
+
+
+def test_coding_parts_take_the_shuffle_of_exons(spark, tmp_path):
+    from spliceframe import format_queries
+
+    spark.range(40).selectExpr("id AS l_orderkey", "id % 7 + 1 AS l_partkey", "CAST(id % 9 + 1 AS double) AS l_quantity").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(1, 30).selectExpr("id AS p_partkey").write.parquet(f"{tmp_path}/part.parquet")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = format_queries.coding_sequence(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # Exons, the ends of coding parts and pieces, once each; before, five.
+    assert sum("Exchange hashpartitioning(tx_id" in x for x in plan.splitlines()) == 3
