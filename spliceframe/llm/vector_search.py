@@ -324,15 +324,17 @@ def nearest(vectors: DataFrame, is_query=None, k: int = K, ws: Workspace | None
     for r in sizes.where("reach is not null").select("list", "reach").collect():
         reach[r["list"]] = r["reach"]
     radius, sizes = sizes.select("list", "radius"), sizes.select("list", "parts")
-    postings = postings.drop("dist").join(F.broadcast(sizes), "list").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int")).drop("parts")
+    postings = postings.drop("dist")
     queries = rows.where((F.col("vec_id") % 20 == 0) if is_query is None else is_query).select("vec_id", "embedding")
 
     def search(reads: DataFrame, postings: DataFrame = postings) -> DataFrame:
         """reads(vec_id, embedding, list, least): scores of at least least within all parts of the lists, in blocks of queries."""
         blocks = reads.groupBy("list").count().select("list", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("blocks"))
-        q = reads.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int")).drop("blocks")
-        q = q.join(F.broadcast(sizes), "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-        p = postings.join(F.broadcast(blocks), "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        dealt = F.broadcast(blocks.join(F.broadcast(sizes), "list"))  # so a read or a posting is looked up once for both
+        share = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        q = reads.join(dealt, "list").withColumn("block", share("blocks")).withColumn("part", every("parts")).drop("blocks", "parts")
+        p = postings.join(dealt, "list").withColumn("part", share("parts")).withColumn("block", every("blocks")).drop("blocks", "parts")
         keys = ["list", "part", "block"]
         return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInPandas(_nearest(k), _FOUND)
 
