@@ -297,7 +297,10 @@ SELECT a.strand, a.t AS a, b.t AS b, CASE WHEN len(a.i) = 0 AND len(b.i) = 0 THE
  a.s >= b.s AND a.e <= b.e AND CASE WHEN len(a.i) = 0 THEN len(list_filter(b.i, lambda v: v.s <= a.e AND v.e >= a.s)) = 0 ELSE contains(b.k, a.k) END AS within
 FROM c a JOIN c b ON a.strand = b.strand AND a.t <> b.t AND a.s <= b.e AND b.s <= a.e""")
 def transcript_matches(spark, sf_dir):
-    return annotation.transcript_matches(annotation.intron_chains(_blocks(spark, sf_dir), ["strand", "tx_id"]), ["strand"], "tx_id")
+    exons = _blocks(spark, sf_dir)
+    tasks = intervals.tasks_for(exons)
+    chains = annotation.intron_chains(intervals.dealt(exons, tasks, "strand", "tx_id"), ["strand", "tx_id"])
+    return annotation.transcript_matches(chains, ["strand"], "tx_id", tasks)
 
 
 @query(f"""{_RUNS}, g AS (SELECT t, strand, min(s) + t % 150 AS c0, max(e) - t % 70 AS c1, t % 4 AS phase FROM m GROUP BY 1, 2),

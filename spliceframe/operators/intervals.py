@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 512
+#: Rows of the input for each task of a job whose tasks grow in number with it.
+SHARE = 1 << 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -24,17 +26,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def tasks_for(rows: DataFrame) -> int | None:
+    """Tasks of SHARE rows each on average, None where Spark's own number is enough. With a fixed number of tasks what one of them sorts grows with the input. Counts rows."""
+    spark = rows.sparkSession
+    tasks = -(-rows.count() // SHARE)
+    return tasks if tasks > min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) else None
+
+
+def dealt(rows: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    """rows dealt by their keys to so many tasks; with None, as Spark does."""
+    return rows if tasks is None else rows.repartition(tasks, *by)
+
+
 def _bins(start: Column, end: Column, width: int) -> Column:
     first, last = F.floor(start / width), F.floor(end / width)
     return F.sequence(first, F.greatest(first, last))
 
 
-def overlap_join(left: DataFrame, right: DataFrame, by: list[str], width: int = BIN, left_span=("start", "end"), right_span=("start", "end")) -> DataFrame:
-    """Pairs with left.start <= right.end and right.start <= left.end and equal keys. Columns of right but its keys are to have names of their own."""
+def overlap_join(left: DataFrame, right: DataFrame, by: list[str], width: int = BIN, left_span=("start", "end"), right_span=("start", "end"), tasks: int | None = None) -> DataFrame:
+    """Pairs with left.start <= right.end and right.start <= left.end and equal keys. Columns of right but its keys are to have names of their own.
+
+    tasks: to how many at least bins are dealt, as of tasks_for()."""
     (ls, le), (rs, re_) = left_span, right_span
     a = left.where(F.col(ls) <= F.col(le)).withColumn("_bin", F.explode(_bins(F.col(ls), F.col(le), width)))
     b = right.where(F.col(rs) <= F.col(re_)).withColumn("_bin", F.explode(_bins(F.col(rs), F.col(re_), width)))
-    met = a.join(b, [*by, "_bin"])
+    met = dealt(a, tasks, *by, "_bin").join(dealt(b, tasks, *by, "_bin"), [*by, "_bin"])
     first = F.greatest(F.floor(F.col(ls) / width), F.floor(F.col(rs) / width))
     return met.where((F.col(ls) <= F.col(re_)) & (F.col(rs) <= F.col(le)) & (F.col("_bin") == first)).drop("_bin")
 

@@ -1,6 +1,7 @@
 """FASTA blocks, sequences, ancestors and the collapse of redundant transcripts."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -238,3 +239,34 @@ def test_loci_hold_links_alone(spark, monkeypatch):
     want = {("+", t): t for _, t, *_ in lone} | {("-", t): 0 for _, t, *_ in chain + far[:2]} | {("+", 5): 5}
     assert {(r["strand"], r["t"]): r["locus"] for r in got.collect()} == want
     assert max(df.count() for df in held) <= len(chain) + 2 and len(held) <= 8  # before, all 344 transcripts in each round
+
+
+def test_tasks_of_matches_grow_with_the_exons(spark, tmp_path, monkeypatch):
+    from spliceframe import format_queries
+    from spliceframe.operators import intervals
+
+    spark.range(900).selectExpr("id div 2 AS l_orderkey", "CAST(pmod(hash(id), 4) AS long) AS l_partkey", "CAST(pmod(hash(id, 1), 9) AS long) AS l_suppkey", "pmod(hash(id, 2), 3) + 1 AS l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    merged = {}
+    for r in annotation.merged_exons(format_queries._blocks(spark, str(tmp_path)), ["strand", "tx_id"]).orderBy("start").collect():
+        merged.setdefault((r["strand"], r["tx_id"]), []).append((r["start"], r["end"]))
+
+    def alike(x, y):
+        if len(x) == len(y) == 1:
+            return (min(x[0][1], y[0][1]) - max(x[0][0], y[0][0]) + 1) * 10 >= (max(x[0][1] - x[0][0], y[0][1] - y[0][0]) + 1) * 8
+        return [a[1] for a in x[:-1]] == [a[1] for a in y[:-1]] and [a[0] for a in x[1:]] == [a[0] for a in y[1:]]
+
+    def redundant(x, y):
+        if len(x) > 1:
+            return within(x, y)
+        return y[0][0] <= x[0][0] and x[0][1] <= y[-1][1] and not any(a[1] + 1 <= x[0][1] and b[0] - 1 >= x[0][0] for a, b in zip(y, y[1:]))
+
+    pairs = [(a, b) for a in merged for b in merged if a[0] == b[0] and a != b and merged[a][0][0] <= merged[b][-1][1] and merged[b][0][0] <= merged[a][-1][1]]
+    want = sorted((a[0], a[1], b[1], alike(merged[a], merged[b]), redundant(merged[a], merged[b])) for a, b in pairs)
+    assert len(want) > 300 and {x[3] for x in want} == {x[4] for x in want} == {True, False}
+    for share, tasks in ((1 << 20, None), (225, None), (100, 9), (30, 30)):
+        monkeypatch.setattr(intervals, "SHARE", share)
+        got = format_queries.transcript_matches(spark, str(tmp_path))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        held = [int(n) for n in re.findall(r"Exchange hashpartitioning\(strand#\d+L?, (?:_bin|tx_id)#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
+        assert set(held) == ({tasks} if tasks else set())  # exons and chains in their bins
+        assert sorted(map(tuple, got.collect())) == want
