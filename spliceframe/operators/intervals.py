@@ -27,9 +27,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def tasks_for(rows: DataFrame) -> int | None:
-    """Tasks of SHARE rows each on average, None where Spark's own number is enough. With a fixed number of tasks what one of them sorts grows with the input. Counts rows."""
+    """Tasks of SHARE rows each on average, None where Spark's own number is enough. With a fixed number of tasks what one of them sorts grows with the input. Counts rows.
+
+    No more than Spark's map tasks write to without a sort of their own (200), which takes more memory than shares of that many rows save; beyond, shares grow."""
     spark = rows.sparkSession
-    tasks = -(-rows.count() // SHARE)
+    unsorted = int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    tasks = min(-(-rows.count() // SHARE), unsorted)
     return tasks if tasks > min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))) else None
 
 

@@ -263,7 +263,7 @@ def test_tasks_of_matches_grow_with_the_exons(spark, tmp_path, monkeypatch):
     pairs = [(a, b) for a in merged for b in merged if a[0] == b[0] and a != b and merged[a][0][0] <= merged[b][-1][1] and merged[b][0][0] <= merged[a][-1][1]]
     want = sorted((a[0], a[1], b[1], alike(merged[a], merged[b]), redundant(merged[a], merged[b])) for a, b in pairs)
     assert len(want) > 300 and {x[3] for x in want} == {x[4] for x in want} == {True, False}
-    for share, tasks in ((1 << 20, None), (225, None), (100, 9), (30, 30)):
+    for share, tasks in ((1 << 20, None), (225, None), (100, 9), (3, 200)):
         monkeypatch.setattr(intervals, "SHARE", share)
         got = format_queries.transcript_matches(spark, str(tmp_path))
         plan = got._jdf.queryExecution().executedPlan().toString()
