@@ -26,7 +26,8 @@ def parse_sam(lines: DataFrame, refs: DataFrame) -> DataFrame:
         "sample_id", "ord", g(0).alias("qname"), g(1).cast("int").alias("flag"), g(2).alias("ref_name"), (g(3).cast("bigint") - 1).alias("pos"), (g(7).cast("bigint") - 1).alias("mpos"),
         g(8).cast("int").alias("isize"), F.when(g(9) == "*", 0).otherwise(F.length(g(9))).cast("int").alias("l_seq"), nh.alias("nh"), cigar.parse(g(5)).alias("cigar"),
     )
-    rows = rows.join(F.broadcast(refs), "ref_name", "left")  # a header's length; a shuffle would deal all rows by their few names.withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)))
+    # refs have a header's length; a shuffle would deal all rows by their few names.
+    rows = rows.join(F.broadcast(refs), "ref_name", "left").withColumn("ref_id", F.coalesce("ref_id", F.lit(-1)))
     return rows.select("sample_id", "ord", "qname", "flag", "ref_id", "pos", "mpos", "isize", "l_seq", "nh", "cigar")
 
 

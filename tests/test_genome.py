@@ -279,3 +279,11 @@ def test_few_samples_and_references_are_no_shuffle_keys(spark):
     events = tables.parse_events(spark.range(10).selectExpr("id AS line_no", "'SE' AS ase_type", "0 AS file_idx", "concat('E', id, ',chr0,+,5^,60-,10^20-') AS value"), refs)
     for d in (reads.with_policy(records, Options()), sam, events):
         assert d.count() == 10 and "BroadcastHashJoin" in plan(d) and "SortMergeJoin" not in plan(d)
+
+
+def test_unknown_references_are_minus_one(spark):
+    """Named but not in the header, and '*'; such records go on as rows, not as nulls."""
+    refs = spark.createDataFrame([("chr0", 0), ("chr1", 1)], "ref_name string, ref_id int")
+    lines = [(i, "s", "\t".join(["q", "0", ref, "1", "0", "5M", "=", "1", "0", "ACGTA", "*"])) for i, ref in enumerate(["chr1", "chr9", "*", "chr0"])]
+    sam = al.parse_sam(spark.createDataFrame(lines, "ord long, sample_id string, value string"), refs)
+    assert [r["ref_id"] for r in sam.orderBy("ord").collect()] == [1, -1, -1, 0]
