@@ -181,6 +181,24 @@ def test_blocks_are_not_shuffled_for_each_span(spark, tmp_path, monkeypatch):
     assert pieces.count("collect_list") == 1 and "collect_list(struct(block" in pieces  # windows alone are gathered
 
 
+def test_windows_are_turned_and_dealt_in_shares(spark, monkeypatch):
+    """Spans of both strands of one region: each is one substring, and its rows don't all meet in one key of the join."""
+    rng = random.Random(9)
+    seq = "".join(rng.choice("ACGTRN") for _ in range(3000))
+    blocks = spark.createDataFrame([("c", i, seq[i * 16 : i * 16 + 16]) for i in range(-(-3000 // 16)) if i != 100], "ref_name string, block long, seq string")
+    left = lambda a, b: "".join(seq[i] for i in range(a - 1, min(b, 3000)) if i // 16 != 100)
+    turn = lambda s: s[::-1].translate(str.maketrans("ACGTRN", "TGCAYN"))
+    spans = [(i, rng.choice("+-"), a := rng.randrange(-20, 3100), a + rng.randrange(0, 2000)) for i in range(300)] + [(300, "-", 1601, 1616), (301, "+", 1605, 1610), (302, "-", 2500, 10**15), (303, "+", 10**12, 10**15)]
+    exons = spark.createDataFrame([(i, "c", t, a, b) for i, t, a, b in spans], "tx long, ref_name string, strand string, start long, end long")
+    want = {i: turn(s) if t == "-" else s for i, t, a, b in spans if (s := left(max(a, 1), b))}
+    for share in (1 << 28, 5000):
+        monkeypatch.setattr(sequences, "SHARE", share)
+        got = {r["tx"]: r["sequence"] for r in sequences.unspliced(exons, blocks, ["tx"], 16).collect()}
+        assert got == want
+    met = sequences.unspliced(exons, blocks, ["tx"], 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert met.count("translate(") == 1 and "share" in met  # windows alone are turned
+
+
 def test_merged_exons_hold_one_sort(spark):
     rng = random.Random(8)
     rows = [(t, s, s + rng.choice([0, 3, 40])) for t in range(60) for s in (rng.randrange(200) for _ in range(rng.randrange(1, 12)))]
